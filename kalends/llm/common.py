@@ -83,3 +83,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
+
+
+#: Ids that a semi-join may broadcast: 8 bytes each, so some tens of MB at most.
+BROADCAST_IDS = 1_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is among the distinct ids, broadcast if they are counted to be few and by a shuffle otherwise."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
