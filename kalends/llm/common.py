@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
+from ..session import cut, shared_dir
+
+__all__ = ["connected_components", "cut", "id_text", "only", "shared_dir", "slices"]
+
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.
 SLICE_BYTES = 6_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's spark.checkpoint.dir; where that is unset (tests, one
-    machine) a temporary folder is set once.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return where or current.get()
-    where = where or "file://" + tempfile.mkdtemp(prefix="kalends-")
-    sc.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about SLICE_BYTES of text, a row at least."""
     for batch in batches:
@@ -57,34 +39,6 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
-    """Union-find by joins: (node, component), component the least node of each.
-
-    Alternates large-star and small-star rounds. Each round takes the least
-    neighbour with a combining aggregate, never a list of neighbours, so a hub
-    with a third of all edges is an ordinary skewed join. A round's edges are
-    cut into the shared folder; the fixed point is known by the edges' count
-    and checksum. Nodes without an edge have no row.
-    """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    last = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
-
-
 #: Ids that a semi-join may broadcast: 8 bytes each, so some tens of MB at most.
 BROADCAST_IDS = 1_000_000
 

@@ -38,7 +38,51 @@ def byte_alphabet() -> dict[int, str]:
     return out
 
 
-class Encoder:
+class WordStore:
+    """Ids of words, each worked out once; texts are gathered from them."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
+
+    def word(self, word: str) -> list[int]:
+        raise NotImplementedError
+
+    def _lookup(self, words: list[str]) -> np.ndarray:
+        known, out = self.known, np.empty(len(words), np.int64)
+        for k, word in enumerate(words):
+            at = known.get(word)
+            if at is None:
+                ids = self.word(word)
+                at = known[word] = len(self.starts)
+                self.starts.append(len(self.ids))
+                self.counts.append(len(ids))
+                self.ids.extend(ids)
+            out[k] = at
+        return out
+
+    def gather(self, parts: pa.ListArray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row as uint32, number of ids of each text), a text being a list of words."""
+        if len(self.known) > MAX_WORDS:
+            self.clear()
+        offsets = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        at = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.frombuffer(self.counts, np.int64)[at]
+        ends = np.concatenate([[0], counts.cumsum()])
+        total = ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
+        if counts_only or not len(at):
+            return np.empty(0, np.uint32), total
+        first = np.frombuffer(self.starts, np.int64)[at] - ends[:-1]
+        where = np.repeat(first, counts)
+        where += np.arange(len(where))
+        return np.frombuffer(self.ids, np.uint32)[where] if len(self.ids) else np.empty(0, np.uint32), total
+
+
+class Encoder(WordStore):
     """Ids as tokenizers gives them, add_special_tokens=False."""
 
     def __init__(self, path: str):
@@ -52,12 +96,11 @@ class Encoder:
         spec = json.loads(text)
         self.by_words = spec["model"].get("end_of_word_suffix") == "</w>"
         self.alphabet = byte_alphabet()
-        self.clear()
+        super().__init__()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        super().clear()
         self.pieces: dict[str, list[int]] = {}
-        self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
 
     def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
@@ -66,7 +109,7 @@ class Encoder:
             got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
         return got
 
-    def _word(self, word: str) -> list[int]:
+    def word(self, word: str) -> list[int]:
         if not PLAIN.fullmatch(word):
             return self.library.encode(word, add_special_tokens=False).ids
         if self.by_words:
@@ -77,19 +120,6 @@ class Encoder:
             return self._piece(parts[0])
         return [i for p in parts for i in self._piece(p)]
 
-    def _lookup(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, np.empty(len(words), np.int64)
-        for k, word in enumerate(words):
-            at = known.get(word)
-            if at is None:
-                ids = self._word(word)
-                at = known[word] = len(self.starts)
-                self.starts.append(len(self.ids))
-                self.counts.append(len(ids))
-                self.ids.extend(ids)
-            out[k] = at
-        return out
-
     def encode(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, number of ids of each text)."""
         n = len(texts)
@@ -115,23 +145,10 @@ class Encoder:
             for k, end, c in zip(plain, ends, counts, strict=True):
                 each[k] = ids[end - c : end]
             return np.concatenate(each), total
-        if len(self.known) > MAX_WORDS:
-            self.clear()
         if not self.by_words:  # all words but a text's first have their blank
             texts = pc.replace_substring(texts, " ", "\x00 ")
         parts = pc.split_pattern(texts, " " if self.by_words else "\x00")
-        offsets = parts.offsets.to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        at = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = np.frombuffer(self.counts, np.int64)[at]
-        ends = np.concatenate([[0], counts.cumsum()])
-        total = ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
-        if counts_only:
-            return np.empty(0, np.uint32), total
-        first = np.frombuffer(self.starts, np.int64)[at] - ends[:-1]
-        where = np.repeat(first, counts)
-        where += np.arange(len(where))
-        return np.frombuffer(self.ids, np.uint32)[where], total
+        return self.gather(parts, counts_only)
 
 
 _encoders: dict[str, Encoder] = {}
