@@ -1,0 +1,66 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from kalends.llm.boosting import BoostedTrees
+from kalends.llm.pii import KINDS, find, labelled, listed, model, redact
+
+
+def luhn(d):
+    total = sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+    return total % 10 == 0
+
+
+def base(text):
+    out = []
+    for k, (kind, pattern) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+def test_base_spans_equal_regular_expressions(spark, texts):
+    rng = random.Random(8)
+    bits = ["a.b@c.de", "x@y", "@", ".", "..", "+", "-", " ", "1", "12", "255", "256", "001", "1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "+1 (555) 123-4567", "é", "日本", "foo@bar.com.", "%", "\n", "9" * 20, "z", "+49.30.1234567"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(1500)]
+    rows += [(2000, None), (2001, ""), (2002, "1 " * 30000), (2003, "a" * 60000), (2004, "a@" * 3000), (2005, "9" * 50000), (2006, "a.b@c.de " * 500)]
+    got = {r.doc_id: r for r in find(texts(rows)).select("doc_id", listed(F.col("base")).alias("b"), F.sha2(listed(F.col("base")), 256).alias("h"), listed(F.col("spans")).alias("s"), "n_tokens").collect()}
+    for i, text in rows:
+        want = base(text or "")
+        assert got[i].b == want, text
+        assert got[i].h == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(got[i].s.split(","))
+    assert find(texts([])).collect() == []
+
+
+def test_method_adds_personal_data_and_leaves_look_alikes(texts):
+    rows = [(1, "please call (555) 123-4567 now"), (2, "see ISBN 555 123 4567/x for more"), (3, "mail me at jane (at) site (dot) com today"), (4, "login from fe80:1:2:3:4:5:6:7 ok"), (5, "in 1999 there were 2000 of them, 3.1415.")]
+    got = {r.doc_id: r.s for r in find(texts(rows)).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "phone:12:26", 2: "", 3: "email:11:35", 4: "ip:11:29", 5: ""}
+    out = {r.doc_id: r.text for r in redact(texts([*rows, (6, "a.b@c.de, 1.2.3.4"), (7, None)])).collect()}
+    assert out == {1: "please call [PHONE] now", 2: rows[1][1], 3: "mail me at [EMAIL] today", 4: "login from [IP] ok", 5: rows[4][1], 6: "[EMAIL], [IP]", 7: None}
+    assert redact(texts(rows)).columns == ["doc_id", "text", "n_tokens"]
+
+
+def test_held_out_accuracy_and_columns(spark):
+    trees, least = model()
+    x, y, kinds = labelled(1000, 9)
+    chosen = trees.score(x) >= np.array([least[k] for k in kinds])
+    assert (y[chosen] == 1).mean() > 0.95
+    assert all(chosen[[k == kind for k in kinds]].any() for kind in KINDS)
+    rows = spark.createDataFrame([[float(v) for v in r] for r in x[:200]], [f"f{j}" for j in range(x.shape[1])])
+    got = [r[0] for r in rows.select(trees.column(lambda j: F.col(f"f{j}"))).collect()]
+    assert np.allclose(got, trees.score(x[:200]))
+
+
+def test_trees_learn_a_rule():
+    rng = np.random.default_rng(0)
+    x = rng.random((500, 3))
+    y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.3)).astype(float)
+    assert ((BoostedTrees().fit(x, y).score(x) > 0) == y).mean() > 0.97
