@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .encoder import public
 
 
@@ -85,4 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Quality rules alone: SQL has no tokenizers, MinHash, alignment, trees, packing or files."""
+    return {"op4_quality": sql.quality()}
