@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as the calendar and contact formats' tools trim it.
 SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -20,18 +21,18 @@ GENERIC_MAILBOXES = ["admin", "contact", "enquiries", "hello", "info", "mail", "
 ASCII = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_bare(s: pd.Series) -> pd.Series:
     drop = dict.fromkeys(range(0x300, 0x370))
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFKD", x).translate(drop))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _nfkc_each(s: pd.Series) -> pd.Series:
     return s.map(lambda v: v if v is None else [unicodedata.normalize("NFKC", x) if x is not None else None for x in v])
 
@@ -119,7 +120,7 @@ def escape_ics(c: Column) -> Column:
 
 
 def unescape_text(c: Column) -> Column:
-    """\\n, \\N, \\, \; and \\\\ read back, from left to right."""
+    """Escaped line ends, commas, semicolons and backslashes read back."""
     mark = "\ue000"  # a private-use character
     out = F.regexp_replace(c, r"\\\\", mark)
     out = F.regexp_replace(out, r"\\[nN]", "\n")

@@ -96,9 +96,8 @@ def latest(resolutions: DataFrame) -> DataFrame:
     live = resolutions.withColumn("reset", reset).where("seq > reset").where("type <> 'reset'")
     # walking back, an undo cancels the nearest decision that no later undo has cancelled
     depth = F.sum(F.when(F.col("type") == "undo", 1).otherwise(-1)).over(Window.partitionBy("group").orderBy(F.desc("seq")))
-    most = F.coalesce(F.max("depth").over(Window.partitionBy("group").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    least = F.coalesce(F.min("depth").over(Window.partitionBy("group").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = live.withColumn("depth", depth).withColumn("most", most).withColumn("least", least).where("type <> 'undo' and depth < least")
+    least = F.least(F.lit(0), F.coalesce(F.min("depth").over(Window.partitionBy("group").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = live.withColumn("depth", depth).withColumn("least", least).where("type <> 'undo' and depth < least")
     return kept.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("seq")))).where("n = 1").select("group", "type", "seq")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import escape_ics
 from ..sources.ics import UNTITLED
@@ -13,7 +14,7 @@ from ..sources.ics import UNTITLED
 PRESERVED = ["ORGANIZER", "ATTENDEE", "URL", "GEO"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(lines: pd.Series) -> pd.Series:
     def one(line: str) -> str:
         raw, out, room = line.encode("utf-8"), [], 75

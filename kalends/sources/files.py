@@ -13,15 +13,11 @@ FILES = "source_index int, source_file string, text string"
 def admit(spark: SparkSession, path: str, extension: str, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
     """(files with FILES columns, rejected with source_file and message): the extension, 1 byte to the size limit.
 
-    Files are numbered by name. Sizes are checked before any content is read.
+    Files are numbered by name. Empty files don't appear: Spark doesn't list them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    message = (
-        F.when(~F.lower(name).endswith(extension), "The file type isn't supported.")
-        .when(F.col("length") == 0, "The file is empty.")
-        .when(F.col("length") > limits.file_bytes, "The file is too large.")
-    )
+    message = F.when(~F.lower(name).endswith(extension), "The file type isn't supported.").when(F.col("length") > limits.file_bytes, "The file is too large.")
     seen = raw.select(name.alias("source_file"), "path", message.alias("message"), "content")
     text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", "")
     # the numbering window is over admitted names, as many as there are files

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import LIMITS, Limits
 from ..functions.text import base64_bytes, is_safe_url, unescape_text
@@ -30,7 +31,7 @@ class Contacts:
     diagnostics: DataFrame
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _quoted_printable(value: pd.Series, charset: pd.Series) -> pd.Series:
     def one(v: str, c: str) -> str:
         name = CHARSETS.get((c or "").lower())
