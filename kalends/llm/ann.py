@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BITS, TREES, SHARE, SEED = 32, 48, 0.6, 7
+BITS, TREES, SHARE, SEED = 32, 48, 1.0, 7
 CHUNK_ROWS, QUERY_ROWS = 8192, 2048
 FOUND = "query_id long, vec_id long, score double"
 
