@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions.text import search_key
+from ..session import cut
 
 
 def search_events(events: DataFrame, query: str = "", start: str = "", timezone: str = "", recurring: bool | None = None) -> DataFrame:
@@ -72,3 +73,14 @@ def presence_counts(contacts: DataFrame) -> DataFrame:
 def first_diagnostics(diagnostics: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One diagnostic per key, the first in order."""
     return diagnostics.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def ranked(df: DataFrame, by: str) -> DataFrame:
+    """df with `rank`, as SQL's rank() over all rows: rows are dealt by ranges of `by`, ranked inside, and each range starts after those before."""
+    parts = df.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+    parts = cut(parts)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.rank().over(Window.partitionBy("_part").orderBy(by))
+    return parts.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("rank", (F.col("_before") + own).cast("long")).drop("_part", "_before")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import time as TM
-from ..operators import calendar_merge, contact_duplicates, contact_merge, event_duplicates, recurrence, rows, search, timezones
+from ..operators import calendar_merge, contact_duplicates, contact_merge, event_duplicates, placements, recurrence, rows, search, timezones
 from ..operators.components import connected_components
 from ..sinks import csv, ics, vcf
 from ..sources.ics import legacy_blocks, parse_ics
@@ -507,6 +507,69 @@ def legacy_event_blocks(spark, d):
     return b.select("source_index", F.size("b.events").alias("events"), "b.malformed")
 
 
+def _placed(spark, d):
+    """Parts as placed records, some of them unsound."""
+    k = F.col("p_partkey")
+    start = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd")
+    end = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300 + k % 90).cast("int")), "yyyy-MM-dd")
+    place = F.get(F.array(*map(F.lit, placements.PLACES)), (k % 5).cast("int"))
+    return table(spark, d, "part").select(
+        k.cast("string").alias("id"), F.col("p_name").alias("name"), F.when(k % 11 == 0, " ").otherwise("d").alias("description"), F.when(k % 13 == 0, "http://x/y.png").otherwise("/sponsors/a.png").alias("image"),
+        F.when(k % 7 == 0, "http://a.b/").otherwise("https://a.b/").alias("url"), start.alias("start_date"), end.alias("end_date"), F.lit("l").alias("label"), (k % 2 == 0).alias("is_active"), F.array(place).alias("placement"),
+    )
+
+
+_PLACED = "p as (select p_partkey as k, p_partkey % 300 as s, p_partkey % 300 + p_partkey % 90 as e, p_partkey % 11 <> 0 and p_partkey % 13 <> 0 and p_partkey % 7 <> 0 and p_partkey % 90 > 0 as sound from part)"
+
+
+@query("select p_partkey::varchar as id, concat_ws(';', case when p_partkey % 11 = 0 then 'invalid description' end, case when p_partkey % 90 = 0 then 'invalid date range' end, case when p_partkey % 7 = 0 then 'URL must use HTTPS' end, case when p_partkey % 13 = 0 then 'image must be local' end) as errors from part")
+def record_errors(spark, d):
+    """FLT14."""
+    return _placed(spark, d).select("id", F.array_join(placements.errors(), ";").alias("errors"))
+
+
+@query(f"with {_PLACED} select k::varchar as id from p where sound and k % 2 = 0 and s <= 100 and 100 < e and k % 5 in (1, 3)")
+def active_records(spark, d):
+    """FLT13."""
+    return placements.active(_placed(spark, d), "2024-04-10", "ics-tools").select("id")
+
+
+@query(f"""
+with {_PLACED}, a as (select k % 5 as c from p where sound and k % 2 = 0 and s <= 100 and 100 < e), u as (select 'homepage' as placement, 3 as total, count(*) filter (c = 0) as n from a union all select 'ics-tools', 1000, count(*) filter (c in (1, 3)) from a union all select 'vcf-tools', 1000, count(*) filter (c in (2, 3)) from a)
+select placement, total::bigint as total, least(total, n)::bigint as active, (total - least(total, n))::bigint as available from u
+""")
+def placement_inventory(spark, d):
+    """AGG16."""
+    return placements.inventory(_placed(spark, d), "2024-04-10", {"homepage": 3, "ics-tools": 1000, "vcf-tools": 1000})
+
+
+@query("select o_custkey, case when count(*) <= 1 then '1' when count(*) <= 5 then '2-5' else '6+' end as bucket from orders group by 1")
+def count_buckets(spark, d):
+    """FN-M3."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(placements.count_bucket(F.count("*")).alias("bucket"))
+
+
+@query("select c_nationkey as \"group\", 'organization' as field, string_agg(c_mktsegment, ',' order by c_custkey) as values from customer group by 1")
+def contact_comparison(spark, d):
+    """PRJ10, PRJ14."""
+    c = contacts(spark, d)
+    g = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("group"), F.col("c_custkey").alias("idx"))
+    return rows.comparison(c, g, ["organization"]).select(F.col("group").cast("int").alias("group"), "field", F.array_join("values", ",").alias("values"))
+
+
+@query("select '0:' || c_custkey || ':' || c_name as id, u.field, u.value from customer, lateral (values ('formatted_name', c_name), ('given_name', 'Given' || c_custkey % 83), ('family_name', 'Family' || c_custkey % 71), ('organization', c_mktsegment), ('title', case when c_custkey % 3 = 0 then 'Buyer' end), ('birthday', case when c_custkey % 5 = 0 then '19' || lpad((c_custkey % 97)::varchar, 2, '0') || '-01-01' end), ('uid', case when c_custkey % 6 = 0 then 'uid-' || c_custkey % 1200 end)) u(field, value) where u.value is not null")
+def contact_details(spark, d):
+    """PRJ11."""
+    return rows.detail_rows(contacts(spark, d))
+
+
+@query("select c_custkey as idx, rank() over (order by c_acctbal) as rank from customer")
+def sort_ranks(spark, d):
+    """SRT1-4: an order as ranks, without one task for all rows: counts of ranges come before."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), "c_acctbal")
+    return search.ranked(c, "c_acctbal").select("idx", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
