@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
+from ..functions.bind import let
 from ..functions.text import unescape_text, unfold
 from ..functions.time import TIME, typed, zone_label
 from .properties import first_value, named, parameter, parse_lines
 
 UNTITLED = "(Untitled event)"
-VEVENT = r"(?s)(?<=\n)BEGIN:VEVENT\n((?:(?!BEGIN:VEVENT\n).)*?)(?<=\n)END:VEVENT(?=\n|$)"
+BEGIN, END = "\nBEGIN:VEVENT\n", "\nEND:VEVENT"
 NESTED = r"(?s)BEGIN:(VALARM|VTODO|VJOURNAL)\n.*?END:\1\n?"
 METADATA = {"prodid": ["PRODID"], "version": ["VERSION"], "method": ["METHOD"], "calscale": ["CALSCALE"], "name": ["NAME", "X-WR-CALNAME"], "description": ["DESCRIPTION", "X-WR-CALDESC"], "timezone": ["X-WR-TIMEZONE", "TIMEZONE-ID"], "refresh_interval": ["REFRESH-INTERVAL", "X-PUBLISHED-TTL"], "color": ["COLOR", "X-APPLE-CALENDAR-COLOR"], "source": ["SOURCE"]}
 #: Properties that an event has once at most; fixed values.
@@ -32,6 +33,13 @@ class Calendars:
     diagnostics: DataFrame
 
 
+def event_blocks(body: Column) -> Column:
+    """The lines of each event of an unfolded text that starts with a line end. An event that doesn't end before the next begins has none."""
+    parts = let(F.split(body, BEGIN), lambda x: F.slice(x, 2, F.size(x)))
+    ended = F.filter(F.transform(parts, lambda b: F.concat(F.lit("\n"), b)), lambda b: b.contains(END))
+    return F.transform(ended, lambda b: F.concat(F.substring(F.substring_index(b, END, 1), 2, 2**31 - 1), F.lit("\n")))
+
+
 def time_of(p: Column) -> Column:
     return typed(F.trim(p["value"]), parameter(p, "TZID"), F.upper(parameter(p, "VALUE")) == "DATE")
 
@@ -63,7 +71,7 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
     whole = files.select("source_index", "source_file", F.concat(F.lit("\n"), unfold(F.coalesce("text", F.lit("")))).alias("body"))
     is_calendar = F.col("body").contains("\nBEGIN:VCALENDAR")
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
-    blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(F.regexp_extract_all("body", F.lit(VEVENT), F.lit(1)), 1, limits.events)).alias("event_index", "block"))
+    blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
     # parsed properties are kept as a column of their own so that each is parsed once
     parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(F.regexp_replace("block", NESTED, "")))).alias("p"))
     p = F.col("p")

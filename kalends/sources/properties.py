@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
+
 PROPERTY = "struct<group:string,name:string,value:string,parameters:map<string,array<string>>,raw:string>"
-LINE = r'^(?:([A-Za-z0-9-]+)\.)?([A-Za-z0-9-]+)((?:;(?:"[^"]*"|[^":])*)?):(.*)$'
+#: What is before a line's first colon outside quotes; possessive, so that the matcher doesn't recurse.
+HEAD = r'^((?:"[^"]*+"|[^":]++)*+):'
 #: A comma or semicolon outside quotes.
 OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
@@ -22,14 +25,27 @@ def parameters_of(c: Column) -> Column:
     """;A=x,"y";B as a map of lists; a bare parameter is a TYPE; repeated names join."""
     parts = F.filter(F.split(c, ";" + OUTSIDE), lambda p: p != "")
     named = F.transform(parts, lambda p: F.struct(F.when(p.contains("="), F.upper(F.substring_index(p, "=", 1))).otherwise("TYPE").alias("name"), F.transform(F.split(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise(p), "," + OUTSIDE), unquote).alias("values")))
+    return let(named, by_name)
+
+
+def by_name(named: Column) -> Column:
     names = F.array_distinct(F.transform(named, lambda p: p["name"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.flatten(F.transform(F.filter(named, lambda p: p["name"] == n), lambda p: p["values"]))))
 
 
 def parse_line(line: Column) -> Column:
     """A PROPERTY; its name is empty if the line isn't one."""
-    part = lambda k: F.regexp_extract(line, LINE, k)
-    return F.struct(part(1).alias("group"), F.upper(part(2)).alias("name"), part(4).alias("value"), parameters_of(part(3)).alias("parameters"), line.alias("raw"))
+    start = F.substring_index(line, ":", 1)
+    head = F.when(start.contains('"'), F.regexp_extract(line, HEAD, 1)).when(line.contains(":"), start).otherwise("")
+
+    def of(head: Column) -> Column:
+        full = F.substring_index(head, ";", 1)
+        name = F.when(full.rlike(r"^(?:[A-Za-z0-9-]+\.)?[A-Za-z0-9-]+$"), F.upper(F.substring_index(full, ".", -1))).otherwise("")
+        none = F.expr("cast(map() as map<string,array<string>>)")
+        parameters = F.when(head.contains(";"), parameters_of(F.substring(head, F.length(full) + 1, F.length(head)))).otherwise(none)
+        return F.struct(F.when(full.contains("."), F.substring_index(full, ".", 1)).otherwise("").alias("group"), name.alias("name"), F.substring(line, F.length(head) + 2, F.length(line)).alias("value"), parameters.alias("parameters"), line.alias("raw"))
+
+    return let(head, of)
 
 
 def parse_lines(block: Column) -> Column:

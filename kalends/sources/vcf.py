@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..config import LIMITS, Limits
+from ..functions.bind import let
 from ..functions.text import base64_bytes, is_safe_url, unescape_text
 from .properties import first_value, named, parameter, parse_lines
 
 UNNAMED = "(Unnamed contact)"
-CARD = r"(?si)(?<=\n)BEGIN:VCARD[ \t]*\n((?:(?!BEGIN:VCARD).)*?)(?<=\n)END:VCARD(?=\s|$)"
+BEGIN, END = r"(?i)\nBEGIN:VCARD[ \t]*\n", r"(?i)\nEND:VCARD(?=\s|$)"
 VERSIONS = ["2.1", "3.0", "4.0"]
 CHARSETS = {"": "utf-8", "utf-8": "utf-8", "us-ascii": "utf-8", "iso-8859-1": "cp1252", "latin1": "cp1252", "windows-1252": "cp1252"}
 ADDRESS = ["po_box", "extended", "street", "locality", "region", "postal_code", "country"]
@@ -46,15 +47,23 @@ def _quoted_printable(value: pd.Series, charset: pd.Series) -> pd.Series:
 
 
 def unfold_vcf(c: Column) -> Column:
-    """Folded lines join the one before, and so do lines after a quoted-printable soft break."""
-    lines = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"\n[ \t]", "")
-    return F.when(lines.rlike("(?i)QUOTED-PRINTABLE"), F.regexp_replace(lines, r"(?i)((?:^|\n)[^\n:]*QUOTED-PRINTABLE[^\n]*?)=\n((?:[^\n]*=\n)*)", "$1$2")).otherwise(lines)
+    """Folded lines join the one before, and so do lines after a quoted-printable soft break. The result starts with a line end."""
+    lines = F.concat(F.lit("\n"), F.regexp_replace(c, r"\r\n?", "\n"))
+    # \G goes on where the last soft break of the same value ended
+    soft = F.regexp_replace(lines, r"(?i)(\n[^\n:]*QUOTED-PRINTABLE[^\n:]*:|\G(?!^))([^\n]*?)=\n", "$1$2")
+    return F.regexp_replace(F.when(lines.rlike("(?i)QUOTED-PRINTABLE"), soft).otherwise(lines), r"\n[ \t]", "")
+
+
+def card_blocks(body: Column) -> Column:
+    """The lines of each card of an unfolded text that starts with a line end. A card that doesn't end before the next begins has none."""
+    ended = F.filter(F.transform(let(F.split(body, BEGIN), lambda x: F.slice(x, 2, F.size(x))), lambda b: F.split(F.concat(F.lit("\n"), b), END, 2)), lambda b: F.size(b) > 1)
+    return F.transform(ended, lambda b: F.concat(F.substring(F.get(b, F.lit(0)), 2, 2**31 - 1), F.lit("\n")))
 
 
 def cards(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """A row per card with its parsed properties, quoted-printable values decoded."""
-    body = files.select("source_index", "source_file", F.concat(F.lit("\n"), unfold_vcf(F.coalesce("text", F.lit("")))).alias("body"))
-    each = body.select("source_index", "source_file", F.posexplode(F.slice(F.regexp_extract_all("body", F.lit(CARD), F.lit(1)), 1, limits.contacts)).alias("original_index", "block"))
+    body = files.select("source_index", "source_file", unfold_vcf(F.coalesce("text", F.lit(""))).alias("body"))
+    each = body.select("source_index", "source_file", F.posexplode(F.slice(card_blocks(F.col("body")), 1, limits.contacts)).alias("original_index", "block"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.length(x) <= limits.property_chars)
     parsed = each.select("source_index", "source_file", "original_index", F.concat(F.lit("BEGIN:VCARD\r\n"), F.replace("block", F.lit("\n"), F.lit("\r\n")), F.lit("END:VCARD")).alias("raw"), F.explode(F.array(parse_lines(F.array_join(lines, "\n")))).alias("p"))
     quoted = lambda x: F.exists(F.coalesce(x["parameters"]["ENCODING"], F.array().cast("array<string>")), lambda e: F.upper(e).isin("QUOTED-PRINTABLE", "Q")) | F.exists(F.coalesce(x["parameters"]["TYPE"], F.array().cast("array<string>")), lambda e: F.upper(e) == "QUOTED-PRINTABLE")

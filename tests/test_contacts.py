@@ -27,7 +27,8 @@ END:VCARD
 BEGIN:VCARD
 VERSION:2.1
 FN;CHARSET=ISO-8859-1;ENCODING=QUOTED-PRINTABLE:Jos=E9=
- Silva
+ Sil=
+va
 N;CHARSET=UTF-8;QUOTED-PRINTABLE:Silva;Jos=C3=A9
 TEL;WORK:00351912345678
 END:VCARD
@@ -49,7 +50,7 @@ def test_contacts(parsed):
     assert (ana.organization, ana.organization_units, ana.notes, ana.birthday) == ("Acme", ["Research"], ["=danger\nline"], "--04-15")
     assert (ana.photo.kind, ana.photo.estimated_bytes, ana.logo) == ("embedded", 4, None)
     assert [(p.group, p.value) for p in ana.raw_properties if p.name == "X-LABEL"] == [("item1", "mine")]
-    assert (jose.version, jose.given_name, jose.family_name, jose.phones[0].types) == ("2.1", "José", "Silva", ["work"])
+    assert (jose.formatted_name, jose.version, jose.given_name, jose.family_name, jose.phones[0].types) == ("José Silva", "2.1", "José", "Silva", ["work"])
     codes = {(r.source_file, r.code) for r in parsed.diagnostics.collect()}
     assert codes >= {("a.vcf", "UNSAFE_URI"), ("a.vcf", "TRUNCATED_VCARD"), ("a.vcf", "UNSUPPORTED_BINARY_FIELD"), ("b.vcf", "MALFORMED_VCARD")}
 
