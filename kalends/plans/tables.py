@@ -19,7 +19,8 @@ def stamp(c: str) -> F.Column:
 
 def calendar_events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as calendar events: by event_id % 4 utc, in New York, floating, whole days."""
-    e = table(spark, d, "events")
+    # the table is one small file; its rows are dealt to all cores, as many files' would be
+    e = table(spark, d, "events").repartition(spark.sparkContext.defaultParallelism)
     kind = F.col("event_id") % 4
     raw = F.when(kind == 0, F.concat(stamp("ts"), F.lit("Z"))).when(kind == 3, F.date_format("ts", "yyyyMMdd")).otherwise(stamp("ts"))
     later = F.col("ts") + F.expr("interval '1' hour")

@@ -72,6 +72,8 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
     is_calendar = F.col("body").contains("\nBEGIN:VCALENDAR")
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
     blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
+    # a file's events spread over the cluster, parsing being the costly part; one file may hold most of them
+    blocks = blocks.repartition(files.sparkSession.sparkContext.defaultParallelism, "source_index", "event_index")
     # parsed properties are kept as a column of their own so that each is parsed once
     parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(F.regexp_replace("block", NESTED, "")))).alias("p"))
     p = F.col("p")
