@@ -3,8 +3,8 @@
 Files, all in one folder that driver and executors share:
 
 * `ids-SSSSS.bin`: the ids of a range of documents in ascending doc_id order,
-  each document's ids and its end id, as little-endian unsigned 32-bit integers
-  and nothing else;
+  each document's ids and its end id, as little-endian unsigned integers and
+  nothing else, of 16 bits if the vocabulary has no more ids, else of 32;
 * `index-BBBBB.npz`: for the keys whose hash falls into bucket B, the levels of
   a minimal perfect hash (bit sets with running popcounts) and, in its order,
   each key's fingerprint, shard, first id in the shard and number of ids.
@@ -127,11 +127,16 @@ class Index:
         return ok, {c: self.of[c][at[ok]] for c in ("shard", "first", "n")}
 
 
+def ids_at(f: pa.NativeFile, first: int, n: int, width: str) -> np.ndarray:
+    size = np.dtype(width).itemsize
+    return np.frombuffer(f.read_at(n * size, first * size), width).astype("<u4")
+
+
 class TokenFiles:
     """A written folder: where it is, its buckets, and the shards' first ids in the corpus."""
 
-    def __init__(self, path: str, buckets: int, bases: DataFrame):
-        self.path, self.buckets, self.bases = path, buckets, bases
+    def __init__(self, path: str, width: str, buckets: int, bases: DataFrame):
+        self.path, self.width, self.buckets, self.bases = path, width, buckets, bases
 
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(self.buckets)).cast("int")
@@ -146,11 +151,11 @@ class TokenFiles:
         if not ok[0]:
             return None
         with files.open_input_file(f"{base}/ids-{at['shard'][0]:05d}.bin") as f:
-            return np.frombuffer(f.read_at(int(at["n"][0]) * 4, int(at["first"][0]) * 4), "<u4")
+            return ids_at(f, int(at["first"][0]), int(at["n"][0]), self.width)
 
     def read(self, keys: DataFrame) -> DataFrame:
         """(doc_id, occurrence, start, n_tokens, ids_crc32) of the keys that are there, from the files."""
-        path = self.path
+        path, width = self.path, self.width
 
         def locate(group: pd.DataFrame) -> pd.DataFrame:
             ok, at = Index(f"{path}/index-{group['bucket'].iloc[0]:05d}.npz").find(keys_of(group["doc_id"].to_numpy(), group["occurrence"].to_numpy()))
@@ -166,7 +171,7 @@ class TokenFiles:
                         if f:
                             f.close()
                         name, f = shard, files.open_input_file(f"{base}/ids-{shard:05d}.bin")
-                    crc.append(zlib.crc32(f.read_at(4 * n, 4 * first)))
+                    crc.append(zlib.crc32(ids_at(f, first, n, width).tobytes()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "occurrence", "shard", "first", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "occurrence", "shard", "first", "n_tokens", "ids_crc32"])
             if f:
                 f.close()
@@ -188,6 +193,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: st
     path = path or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     files, base = pafs.FileSystem.from_uri(path)
     files.create_dir(base)
+    width = "<u2" if max(encoder(tokenizer).library.get_vocab_size(), end_id + 1) <= 2**16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -198,7 +204,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: st
             f = f or files.open_output_stream(temporary)
             ids, counts = own.encode(batch.column(1))
             ends = counts.cumsum()
-            f.write(np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False).tobytes())
+            f.write(np.insert(ids, ends, np.uint32(end_id)).astype(width).tobytes())
             docs_, seen = batch.column(0).to_pylist(), []
             for doc in docs_:
                 occurrence = occurrence + 1 if doc == last else 0
@@ -217,7 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, path: st
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     placed = cut(ordered.mapInArrow(write, PLACED))
     n = placed.count()
-    written = TokenFiles(path, max(1, min(n // SMALL_KEYS, SMALL_BUCKETS), n // BUCKET_KEYS), None)
+    written = TokenFiles(path, width, max(1, min(n // SMALL_KEYS, SMALL_BUCKETS), n // BUCKET_KEYS), None)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         keys = keys_of(group["doc_id"].to_numpy(), group["occurrence"].to_numpy())
