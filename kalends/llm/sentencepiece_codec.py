@@ -66,20 +66,28 @@ class Codec(WordStore):
                 if not (self.kind == UNIGRAM and p.type == UNUSED):
                     automaton.add_word(p.piece, (i, len(p.piece), p.score))
         automaton.make_automaton()
+        self.pairs = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
         self.automaton = automaton
         self.fallback = proto.trainer_spec.byte_fallback
         self.worst = min((p.score for p in proto.pieces if p.type == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.byte_of = {i: b for b, i in enumerate(self.bytes)} if self.fallback else {}
+        # ids that decode to their piece, and those pieces with blanks for word marks
+        self.ordinary = np.array([t in (NORMAL, USER_DEFINED, UNUSED) for t in self.types])
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
         self.checks: dict[str | tuple[str, str], bool] = {}
         super().__init__()
 
+    def clear(self) -> None:
+        super().clear()
+        self.segments: dict[str, list[tuple[str, int | None]]] = {}
+
     # encoding
 
     def word(self, word: str) -> list[int]:
-        if not word:
-            return []
+        if self.plain and not word.startswith(MARK):
+            word = MARK + word  # words of ordinary texts are kept without their mark
         out: list[int] = []
-        for piece, i in self._viterbi(word) if self.kind == UNIGRAM else self._merged(word):
+        for piece, i in self._parts(word):
             if i is not None:
                 out.append(i)
             elif self.fallback:
@@ -88,6 +96,19 @@ class Codec(WordStore):
                 out.append(self.unknown)
         return out
 
+    def _parts(self, word: str) -> list[tuple[str, int | None]]:
+        """A word's pieces; where two characters stand together in no piece, no piece reaches over, and the word is cut."""
+        pairs, segments, out, start = self.pairs, self.segments, [], 0
+        for k in range(1, len(word) + 1):
+            if k == len(word) or word[k - 1 : k + 1] not in pairs:
+                part = word[start:k]
+                found = segments.get(part)
+                if found is None:
+                    found = segments[part] = self._viterbi(part) if self.kind == UNIGRAM else self._merged(part)
+                out += found
+                start = k
+        return out
+
     def _viterbi(self, word: str) -> list[tuple[str, int | None]]:
         n, single = len(word), np.float32
         best: list = [None] * (n + 1)
@@ -119,33 +140,28 @@ class Codec(WordStore):
         return out[::-1]
 
     def _merged(self, word: str) -> list[tuple[str, int | None]]:
-        n = len(word)
-        before: list = [None] * (n + 1)  # where the last piece of each prefix starts
+        n, checks, together = len(word), self.checks, self._together
+        before = [0] * (n + 1)  # where the last piece of each prefix starts
         last: list = [None] * (n + 1)
         last[0] = ""
         done = 0
-
-        def lone_to(stop: int) -> None:
-            # a position that no piece reaches ends with a character that isn't a piece
-            nonlocal done
-            while done < stop:
-                if last[done + 1] is None and last[done] is not None:
-                    c = word[done]
-                    if c not in self.scores or self._together(last[done], c):
-                        before[done + 1], last[done + 1] = done, c
-                done += 1
-
         for end, (_, length, _) in self.automaton.iter(word):
-            lone_to(end)
-            start = end + 1 - length
-            if last[end + 1] is None and last[start] is not None:
-                piece = word[start : end + 1]
-                if self._together(last[start], piece):
-                    before[end + 1], last[end + 1] = start, piece
-        lone_to(n)
-        out, at = [], n
+            while done < end:
+                done += 1
+                if last[done] is None:  # no piece ends here, so a character without one does
+                    before[done], last[done] = done - 1, word[done - 1]
+            if last[end + 1] is None and (prior := last[end + 1 - length]) is not None:
+                piece = word[end + 1 - length : end + 1]
+                ok = checks.get((prior, piece))
+                if together(prior, piece) if ok is None else ok:
+                    before[end + 1], last[end + 1] = end + 1 - length, piece
+        while done < n:
+            done += 1
+            if last[done] is None:
+                before[done], last[done] = done - 1, word[done - 1]
+        out, at, id_of = [], n, self.id_of
         while at:
-            out.append((last[at], self.id_of.get(last[at])))
+            out.append((last[at], id_of.get(last[at])))
             at = before[at]
         return out[::-1]
 
@@ -175,17 +191,21 @@ class Codec(WordStore):
         """(ids of all texts in a row, number of each)."""
         if not self.plain:
             texts = pa.array([self.library.normalize(t) for t in texts.to_pylist()], pa.string())
-        else:
-            texts = pc.replace_substring(texts, " ", MARK)
-            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(MARK, texts, ""))
-        if pc.any(pc.match_substring(texts, "\0")).as_py():
             return self.gather(pa.array([WORDS.findall(t) for t in texts.to_pylist()], pa.list_(pa.string())))
-        return self.gather(pc.split_pattern(pc.replace_substring_regex(texts, f"([^{MARK}]){MARK}", f"\\1\0{MARK}"), "\0"))
+        # in a text of single blanks alone, the words are what is between them
+        odd = pc.or_(pc.match_substring_regex(texts, f"^ |  |{MARK}"), pc.equal(texts, ""))
+        if not pc.any(odd).as_py():
+            return self.gather(pc.split_pattern(texts, " "))
+        own = [WORDS.findall(MARK + t.replace(" ", MARK)) if t and o else t.split(" ") if t else [] for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)]
+        return self.gather(pa.array(own, pa.list_(pa.string())))
 
     # decoding
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD one by one."""
+        if self.ordinary[ids].all():
+            shown = self.shown
+            return "".join([shown[i] for i in ids]).removeprefix(" ")
         out, run = [], bytearray()
         for i in ids:
             b = self.byte_of.get(i)
