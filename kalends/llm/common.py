@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import cut, shared_dir
 
-__all__ = ["connected_components", "cut", "id_text", "only", "shared_dir", "slices"]
+__all__ = ["bucket_components", "connected_components", "cut", "id_text", "only", "shared_dir", "slices"]
 
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.
@@ -47,3 +47,43 @@ def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """The rows whose `on` is among the distinct ids, broadcast if they are counted to be few and by a shuffle otherwise."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
+#: Members of a bucket that are all compared with each other at once; the leaders of larger ones grow by this factor from round to round.
+LEADERS = 4
+
+
+def bucket_components(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) as if all pairs of each bucket were verified; buckets has distinct rows (key, id).
+
+    In each round a bucket's leaders are compared with its members of other
+    components, and are done there; components follow. A bucket ends when it
+    lies in one component, so no untested pair of different components is left.
+    The first leader is the member that shares most buckets with others (in a
+    group of edited copies, the text they come from). Nodes without a link have
+    no row.
+    """
+    spark = buckets.sparkSession
+    held = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    weight = buckets.join(held, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+    own = buckets.join(weight, "id").select("key", "id", "weight", F.col("id").alias("component"))
+    named = spark.createDataFrame([], "node long, component long")
+    links, tested = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "lo long, hi long")
+    leaders = 1
+    while True:
+        state = own.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n", "first")
+        leads = (F.col("id") == F.col("first")) | (F.col("n") <= max(leaders, LEADERS)) | (F.pmod(F.xxhash64("key", "id"), "n") < leaders)
+        own = cut(own.join(state, "key").select("key", "id", "weight", "component", leads.alias("leads")))
+        if own.isEmpty():
+            return named
+        lead = own.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
+        pairs = own.join(lead, "key").where("component <> other and (not leads or a < id)").select(F.least("a", "id").alias("lo"), F.greatest("a", "id").alias("hi"), "a")
+        fresh = cut(pairs.groupBy("lo", "hi").agg(F.min("a").alias("a")).join(tested, ["lo", "hi"], "left_anti"))
+        found = cut(verified(fresh.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))))
+        tested = tested.unionByName(fresh.select("lo", "hi"))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            named = connected_components(links)
+        rest = own.where("not leads").select("key", "id", "weight")
+        own = rest.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
+        leaders *= LEADERS

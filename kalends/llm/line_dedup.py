@@ -5,10 +5,9 @@ collapsed; lines under `min_chars` characters are left alone, for short lines
 repeat in clean texts too. Equal lines are one node from the start. A node's
 character shingles are hashed once; one-permutation MinHash with rotation keeps
 the least hash of each of BANDS * ROWS bins, and each band of ROWS bins is a
-bucket key. In each bucket the least and the greatest node are compared with
-all others by exact Jaccard similarity of their shingle sets; links at the
-threshold are joined into components, and of each component the first
-occurrence by document and line stays.
+bucket key. Nodes of a bucket are compared by exact Jaccard similarity of their
+shingle sets, in rounds, until no bucket holds an untested pair of different
+components; of each component the first occurrence by document and line stays.
 
 Nodes are 64-bit hashes of lines: two different lines share one with a chance
 of n * n / 3.7e19 for n lines. Lines are split, normalised and hashed in the
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, only, slices
+from .common import bucket_components, cut, only, slices
 from .token_files import mix
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, BLOCK = 8, 12, 4, 0.8, 40, 100
@@ -101,8 +100,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     n_removed are replaced, others stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
-    links = linked(rows, threshold, min_chars)
-    named = cut(connected_components(links))
+    named = cut(linked(rows, threshold, min_chars))
     found = cut(lines_of(rows, min_chars).select("doc_id", "t", "line", "h"))
     # an occurrence's component is its node's, or the node itself; partial minima come before the shuffle
     places = found.select("doc_id", "t", "line", "h").join(named.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "t", "line", F.coalesce("component", "h").alias("c"))
@@ -122,7 +120,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
 
 
 def linked(rows: DataFrame, threshold: float, min_chars: int) -> DataFrame:
-    """Verified links (a, b) between nodes."""
+    """(node, component) of the nodes that verified links join."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -134,11 +132,9 @@ def linked(rows: DataFrame, threshold: float, min_chars: int) -> DataFrame:
     lines = lines_of(rows, min_chars).select("h", "text")
     keyed = lines.mapInArrow(band, "key long, h long")
     bucket = Window.partitionBy("key")
-    ends = keyed.select("h", F.min("h").over(bucket).alias("lo"), F.max("h").over(bucket).alias("hi")).where("lo <> hi")
-    pairs = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("h").alias("b")), F.struct(F.col("h").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b").distinct()
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = only(lines, ids, "h").groupBy("h").agg(F.first("text").alias("text"))
+    ends = keyed.select("key", "h", F.min("h").over(bucket).alias("lo"), F.max("h").over(bucket).alias("hi")).where("lo <> hi")
+    buckets = cut(ends.select("key", F.col("h").alias("id")).distinct())
+    texts = cut(only(lines, cut(buckets.select(F.col("id").alias("h")).distinct()), "h").groupBy("h").agg(F.first("text").alias("text")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, set()
@@ -150,5 +146,9 @@ def linked(rows: DataFrame, threshold: float, min_chars: int) -> DataFrame:
                 keep.append(jaccard(x, shingles(tb)) >= threshold)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        second = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+        both = second.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+
+    return bucket_components(buckets, verified)

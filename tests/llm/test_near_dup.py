@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from kalends.llm.common import connected_components
-from kalends.llm.line_dedup import dedup_lines, jaccard, shingles
+from kalends.llm.line_dedup import dedup_lines, jaccard, shingles, signatures
 from kalends.llm.near_dup import aligned, keep_one, near_duplicates, windows
 
 
@@ -100,3 +100,26 @@ def test_lines_equal_brute_force(spark, texts):
         assert r.text == (None if t is None else "\n".join(want))
         assert (r.n_lines, r.n_removed) == ((0, 0) if t is None else (len(t.split("\n")), len(t.split("\n")) - len(want)))
     assert dedup_lines(texts([])).collect() == []
+
+
+def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, texts):
+    rng = random.Random(17)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    lines = set()
+    while len(lines) < 150:
+        line = list(base)
+        for _ in range(rng.randint(2, 4)):
+            line[rng.randrange(300)] = rng.choice("ijklmnop")
+        lines.add(normal("".join(line)))
+    lines = sorted(lines, key=lambda x: rng.random())
+    root = list(range(len(lines)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    # equal to the operator's own candidates: pairs that share a band, all verified
+    keys = [set(k.tolist()) for k in signatures(lines)]
+    for i in range(len(lines)):
+        for j in range(i):
+            if keys[i] & keys[j] and jaccard(shingles(lines[i]), shingles(lines[j])) >= 0.8:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r.doc_id for r in dedup_lines(texts(list(enumerate(lines)))).collect() if not r.n_removed}
+    assert got == {find(i) for i in range(len(lines))}
