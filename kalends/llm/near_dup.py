@@ -8,11 +8,10 @@ takes the L labelled windows of least hash and keeps their text order, so two
 texts that share it agree in content and order; SKETCHES of them find a pair at
 0.8 with a probability over 0.9999.
 
-Equal texts are one row from the start. In each bucket of a sketch the member
-that shares most buckets with others (in a group of edited copies, the text
-they come from) is compared with the rest; rounds follow in which the most
-central member that isn't joined yet is compared with those outside its
-component, until a round has no new pair. Comparing aligns the window sequences within the
+Equal texts are one row from the start, known by a 64-bit hash: two of n
+different texts share one with a chance of n * n / 3.7e19. Texts of a sketch's
+bucket are compared in rounds until no bucket holds an untested pair of
+different components. Comparing aligns the window sequences within the
 diagonal band that a similarity of 0.8 leaves, exactly: labelled windows are
 distinct, so the longest common subsequence is a longest increasing one.
 """
@@ -28,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_text, only, slices
+from .common import bucket_components, connected_components, cut, id_text, only, slices
 from .token_files import mix
 
-K, L, SKETCHES, THRESHOLD, ROUNDS = 5, 4, 20, 0.8, 4
+K, L, SKETCHES, THRESHOLD = 5, 4, 20, 0.8
 
 
 def windows(text: str, k: int = K) -> np.ndarray:
@@ -100,82 +99,72 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     null id are left out; repeated ids give a row each, all in their least
     class if their texts differ. No rows give none; other columns are left out.
     """
-    rows = id_text(docs, id_col, text_col).where("doc_id is not null")
+    known = hashed(docs, id_col, text_col)
+    classes = linked(known, threshold)
+    owned = cut(known.select("doc_id", "h"))
+    # the same id under several texts ties these together, too
+    several = owned.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
+    ties = owned.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b")).distinct()
+    tied = connected_components(ties.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    named = owned.join(tied.withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("component", "h").alias("c"))
+    whole = named.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return named.join(whole, "c").select("doc_id", "class_id", "class_size")
+
+
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, h): the rows that have an id, and their texts' hashes."""
+    return id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+
+
+def linked(known: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the texts, by their hashes, that verified links join."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, keys = [], []
-            for text in batch.column(1).to_pylist():
-                raw, x = text.encode(), windows(text)
-                h.append((xxhash.xxh64_intdigest(raw, 1) - 2**63, xxhash.xxh64_intdigest(raw, 2) - 2**63))
-                keys.append(sketches(x).view(np.int64) if len(x) else np.empty(0, np.int64))
-            h1, h2 = zip(*h, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "keys"])
-
-    sketched = cut(rows.mapInArrow(sketch, "doc_id long, h1 long, h2 long, keys array<long>"))
-    texts = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    same = sketched.select("doc_id", "h1", "h2").join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
-    keyed = texts.select("id", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    bucketed = keyed.join(counts.select("key", "n"), "key")
-    buckets = cut(bucketed.select("key", "id", "n").distinct())
-    links = linked(buckets, rows, threshold)
-    # the same id under several texts ties these together, too
-    classes = connected_components(links.unionByName(same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()))
-    named = rows.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return named.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-
-
-def linked(buckets: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between texts that share buckets, round by round."""
-    spark = buckets.sparkSession
-    central = cut(buckets.groupBy("id").agg(F.sum("n").alias("weight")))
-    links = tested = spark.createDataFrame([], "a long, b long")
-    part = central.select("id", F.col("id").alias("component"), "weight")
-    for _ in range(ROUNDS):
-        own = buckets.select("key", "id").join(part, "id")
-        # the most central member of each bucket; later, of those outside the first one's component
-        lead = own.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("weight", -F.col("id"))).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        pairs = own.join(lead, "key").where("component <> lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        tested = tested.unionByName(fresh)
-        found = cut(verified(fresh, rows, threshold))
-        links = links.unionByName(found)
-        # whom a text is linked to so far, one step far; components come at the end, once
-        label = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
-        led = tested.select(F.col("a").alias("id")).distinct().withColumn("led", F.lit(True))
-        joined = central.join(label, "id", "left").join(led, "id", "left")
-        # a leader hands over: it comes last the next time
-        part = cut(joined.select("id", F.coalesce("component", "id").alias("component"), F.when(F.col("led"), -F.col("weight")).otherwise(F.col("weight")).alias("weight")))
-    return links
-
-
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose texts reach the threshold by alignment."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = only(rows, ids, "doc_id").dropDuplicates(["doc_id"])
+            x = [windows(text) for text in batch.column("text").to_pylist()]
+            keys = [sketches(w).view(np.int64) if len(w) else np.empty(0, np.int64) for w in x]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.list_(pa.int64()))], names=["h", "keys"])
+
+    def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = [windows(text).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(x, pa.binary())], names=["h", "x"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
-        for batch in slices(batches, "tb"):
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if a != last:
-                    last, x = a, windows(ta)
-                keep.append(aligned(x, windows(tb), threshold) >= threshold)
+        for batch in slices(batches, "xb"):
+            x = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("xa", "xb"))
+            keep = [aligned(a, b, threshold) >= threshold for a, b in zip(*x, strict=True)]
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    second = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = second.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    sketched = cut(known.select("h", "text").mapInArrow(sketch, "h long, keys array<long>"))
+    keyed = sketched.groupBy("h").agg(F.first("keys").alias("keys")).select(F.col("h").alias("id"), F.explode("keys").alias("key"))
+    counts = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
+    buckets = cut(keyed.join(counts.select("key"), "key").select("key", "id").distinct())
+    wanted = cut(buckets.select(F.col("id").alias("h")).distinct())
+    one = only(known.select("h", "text"), wanted, "h").groupBy("h").agg(F.first("text").alias("text"))
+    vectors = cut(one.mapInArrow(vector, "h long, x binary"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        second = pairs.join(vectors.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
+        both = second.join(vectors.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a")
+        return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long")
+
+    return bucket_components(buckets, verified)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose class has a lesser id; rows with a null id stay, rows that repeat an id once."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    dropped = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(dropped, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    """docs with one row of each class of texts, that of the least id (of its texts, the one of least hash).
+
+    Rows with a null id stay. Rows that repeat an id are told apart by their
+    texts: those of one class stay once, those of several once for each.
+    """
+    known = hashed(docs, id_col, text_col)
+    named = cut(linked(known, THRESHOLD))
+    owned = cut(known.select("doc_id", "h").distinct())
+    classes = owned.join(named.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("component", "h").alias("c"))
+    own = F.struct("doc_id", "h")
+    firsts = classes.groupBy("c").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("c", "first")
+    dropped = classes.join(firsts, "c").where(own != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = rows.join(dropped, (F.col("_t") == F.col("_h")) & (F.col(id_col).cast("long") == F.col("_d")), "left_anti")
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_t"]).unionByName(kept.where(F.col(id_col).isNull())).drop("_t")

@@ -4,7 +4,7 @@ import numpy as np
 
 from kalends.llm.common import connected_components
 from kalends.llm.line_dedup import dedup_lines, jaccard, shingles, signatures
-from kalends.llm.near_dup import aligned, keep_one, near_duplicates, windows
+from kalends.llm.near_dup import aligned, keep_one, near_duplicates, sketches, windows
 
 
 def normal(line):
@@ -123,3 +123,29 @@ def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, tex
                 root[max(p, q)] = min(p, q)
     got = {r.doc_id for r in dedup_lines(texts(list(enumerate(lines)))).collect() if not r.n_removed}
     assert got == {find(i) for i in range(len(lines))}
+
+
+def test_texts_whose_source_is_absent_are_whole_classes(spark, texts):
+    rng = random.Random(23)
+    base = prose(rng, 300)
+    data = [edited(rng, base, rng.randint(3, 5)) for _ in range(100)]
+    x = [windows(t) for t in data]
+    keys = [set(sketches(w).tolist()) for w in x]
+    root = list(range(len(data)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(data)):
+        for j in range(i):
+            if keys[i] & keys[j] and aligned(x[i], x[j]) >= 0.8:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    got = {r.doc_id: r.class_id for r in near_duplicates(texts(list(enumerate(data)))).collect()}
+    assert got == {i: find(i) for i in range(len(data))}
+
+
+def test_texts_of_a_repeated_id_are_told_apart(spark, texts):
+    rng = random.Random(29)
+    one, other = prose(rng, 80), prose(rng, 80)
+    near_one, near_other = edited(rng, one, 1), edited(rng, other, 1)
+    rows = [(1, one), (1, other), (1, one), (2, near_one), (3, near_other), (4, prose(rng, 80))]
+    assert sorted((r.doc_id, r.text) for r in keep_one(texts(rows)).collect()) == sorted({(1, one), (1, other), rows[5]})
+    assert {(r.doc_id, r.class_id, r.class_size) for r in near_duplicates(texts(rows)).collect()} == {(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 4, 1)}
