@@ -64,3 +64,9 @@ def test_trees_learn_a_rule():
     x = rng.random((500, 3))
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.3)).astype(float)
     assert ((BoostedTrees().fit(x, y).score(x) > 0) == y).mean() > 0.97
+
+
+def test_cards_of_single_digit_groups_have_base_spans(spark, texts):
+    rows = [(1, "no " + "-".join("4111111111111111") + " end"), (2, "no " + " ".join("4111111111111111") + " end"), (3, "1 - 2 a 3")]
+    got = {r.doc_id: r.b for r in find(texts(rows)).select("doc_id", listed(F.col("base")).alias("b")).collect()}
+    assert got == {i: base(t) for i, t in rows} == {1: "card:3:34", 2: "card:3:34", 3: ""}
