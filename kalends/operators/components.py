@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import discard, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
     """Union-find by joins: (node, component), component the least node of each.
 
-    Alternates large-star and small-star rounds. Each round takes the least
-    neighbour with a combining aggregate, never a list of neighbours, so a hub
-    with a third of all edges is an ordinary skewed join. A round's edges are
-    cut into the shared folder; the fixed point is known by the edges' count
-    and checksum. Nodes without an edge have no row.
+    Alternates large-star and small-star rounds until every node is either a
+    root or has one edge, to a root. Each round takes the least neighbour with
+    a combining aggregate, never a list of neighbours, and stores it before it
+    is joined, so a hub with a third of all edges is a plain skewed join that
+    Spark splits. A round's edges are a table in the shared folder, the last
+    round's is deleted. Nodes without an edge have no row.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    last = None
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(max_rounds):
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            break
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == last:
-            break
-        last = now
+        last, e = e, stored(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        for done in (last, least, large):
+            discard(done)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
