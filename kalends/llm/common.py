@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, shared_dir
+from ..session import cut, discard, shared_dir, stored
 
-__all__ = ["bucket_components", "connected_components", "cut", "id_text", "only", "shared_dir", "slices"]
+__all__ = ["bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored"]
 
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.
@@ -43,47 +44,146 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """The rows whose `on` is among the distinct ids, broadcast if they are counted to be few and by a shuffle otherwise."""
+def only(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
+    """The rows whose `on` is among ids, distinct rows, broadcast if they are counted to be few and by a shuffle otherwise."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
-#: Members of a bucket that are all compared with each other at once; the leaders of larger ones grow by this factor from round to round.
+def private(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bytes of values that a join may broadcast, after they are summed up.
+BROADCAST_BYTES = 8_000_000
+
+
+def few_bytes(df: DataFrame, value: str) -> DataFrame:
+    """df, marked for broadcast if its values are summed up to be small."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(value))).first()
+    return F.broadcast(df) if (size or 0) + 64 * n <= BROADCAST_BYTES else df
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct rows (key, id, size) whose key has two ids or more, stored.
+
+    keyed's rows are distinct within a task at least, so a key has a row per
+    task and id. One shuffle by key serves the comparison and the distinct.
+    """
+    bucket = Window.partitionBy("key")
+    ends = keyed.select("key", "id", "size", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
+    return stored(ends.where("lo <> hi").select("key", "id", "size").distinct())
+
+
+#: A bucket of so many members, and of so large a sum of sizes, is compared within a task; larger ones in rounds.
+MEMBERS, SIZE = 64, 4_000_000
+#: The leaders of a larger bucket grow by this factor from round to round.
 LEADERS = 4
 
 
-def bucket_components(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) as if all pairs of each bucket were verified; buckets has distinct rows (key, id).
+def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
+    """(node, component) as if all pairs of each bucket were compared.
+
+    buckets: distinct rows (key, id, size) of keys with two ids and more; items:
+    a row (id, value) of each id. alike(prepare(a), prepare(b)) says whether two
+    values are linked. Nodes without a link have no row.
 
-    In each round a bucket's leaders are compared with its members of other
-    components, and are done there; components follow. A bucket ends when it
-    lies in one component, so no untested pair of different components is left.
-    The first leader is the member that shares most buckets with others (in a
-    group of edited copies, the text they come from). Nodes without a link have
-    no row.
+    Buckets of the same members are one. The members of an ordinary bucket are
+    compared in one task, but for those that links found there join already.
+    Larger buckets go in rounds: leaders are compared with the members of other
+    components, and are done; components follow. A bucket ends when it lies in
+    one component, so no uncompared pair of different components is left. The
+    first leader is the member that shares most buckets with others (in a group
+    of edited copies, the text they come from).
     """
-    spark = buckets.sparkSession
-    held = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    weight = buckets.join(held, "key").groupBy("id").agg(F.sum("n").alias("weight"))
-    own = buckets.join(weight, "id").select("key", "id", "weight", F.col("id").alias("component"))
-    named = spark.createDataFrame([], "node long, component long")
-    links, tested = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "lo long, hi long")
-    leaders = 1
+    members = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    ordinary = (F.col("n") <= MEMBERS) & (F.col("size") <= SIZE)
+    kinds = stored(members.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"), F.min("size").alias("size")).select("key", "n", ordinary.alias("ordinary")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = up
+            return i
+
+        def links(group: list) -> Iterator[tuple[int, int]]:
+            ready = [None] * len(group)
+            for k in range(1, len(group)):
+                for j in range(k):
+                    p, q = find(group[k][0]), find(group[j][0])
+                    if p == q:
+                        continue
+                    for x in (j, k):
+                        if ready[x] is None:
+                            ready[x] = prepare(group[x][1])
+                    if alike(ready[j], ready[k]):
+                        root[max(p, q)] = min(p, q)
+                        yield max(p, q), min(p, q)
+
+        key, group = None, []
+        for batch in slices(batches, "value"):
+            found = []
+            for k, i, value in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "value")), strict=True):
+                if k != key:
+                    found += links(group)
+                    key, group = k, []
+                group.append((i, value))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=PAIRS)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(group)], schema=PAIRS)
+
+    rows = buckets.join(kinds.where("ordinary").select("key"), "key").select("key", "id").join(items, "id")
+    links = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct())
+    large = kinds.where("not ordinary").select("key", "n")
+    if large.isEmpty():
+        return connected_components(links)
+    return _in_rounds(buckets.join(large, "key").select("key", "id", "n"), items, links, prepare, alike)
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _in_rounds(buckets: DataFrame, items: DataFrame, links: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
+    """The rounds of `bucket_components` over its larger buckets, rows (key, id, n)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for batch in slices(batches, "vb"):
+            keep = []
+            for a, va, vb in zip(*(batch.column(c).to_pylist() for c in ("a", "va", "vb")), strict=True):
+                if a != last:  # pairs of one leader mostly come together
+                    last, x = a, prepare(va)
+                keep.append(alike(x, prepare(vb)))
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
+
+    weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
+    own = stored(buckets.select("key", "id").join(weight, "id"))
+    named, leaders = connected_components(links), 1
     while True:
-        state = own.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n", "first")
+        placed = own.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
+        state = placed.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n", "first")
         leads = (F.col("id") == F.col("first")) | (F.col("n") <= max(leaders, LEADERS)) | (F.pmod(F.xxhash64("key", "id"), "n") < leaders)
-        own = cut(own.join(state, "key").select("key", "id", "weight", "component", leads.alias("leads")))
-        if own.isEmpty():
+        now = stored(placed.join(state, "key").select("key", "id", "weight", "component", leads.alias("leads")))
+        discard(own)
+        if now.isEmpty():
             return named
-        lead = own.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
-        pairs = own.join(lead, "key").where("component <> other and (not leads or a < id)").select(F.least("a", "id").alias("lo"), F.greatest("a", "id").alias("hi"), "a")
-        fresh = cut(pairs.groupBy("lo", "hi").agg(F.min("a").alias("a")).join(tested, ["lo", "hi"], "left_anti"))
-        found = cut(verified(fresh.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))))
-        tested = tested.unionByName(fresh.select("lo", "hi"))
+        lead = now.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
+        pairs = now.join(lead, "key").where("component <> other and (not leads or a < id)").select("a", F.col("id").alias("b")).distinct()
+        leading = stored(items.join(lead.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("value").alias("va")))
+        valued = pairs.join(items.select(F.col("id").alias("b"), F.col("value").alias("vb")), "b").join(few_bytes(leading, "va"), "a")
+        found = stored(valued.select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
         if not found.isEmpty():
-            links = links.unionByName(found)
-            named = connected_components(links)
-        rest = own.where("not leads").select("key", "id", "weight")
-        own = rest.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
+            named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        own = stored(now.where("not leads").select("key", "id", "weight"))
+        for done in (now, leading, found):
+            discard(done)
         leaders *= LEADERS

@@ -1,17 +1,19 @@
 """Fuzzy line dedup: MinHash signatures, banding, exact Jaccard, union-find.
 
 A line is a \\n-separated part of a text, lower-cased and with its white space
-collapsed; lines under `min_chars` characters are left alone, for short lines
-repeat in clean texts too. Equal lines are one node from the start. A node's
-character shingles are hashed once; one-permutation MinHash with rotation keeps
-the least hash of each of BANDS * ROWS bins, and each band of ROWS bins is a
-bucket key. Nodes of a bucket are compared by exact Jaccard similarity of their
-shingle sets, in rounds, until no bucket holds an untested pair of different
-components; of each component the first occurrence by document and line stays.
+collapsed; lines that are then empty, or under `min_chars` characters, are left
+alone. Equal lines are one node from the start. A node's character shingles
+(of a line shorter than SHINGLE, the line itself) are hashed once; one-permutation
+MinHash with rotation keeps the least hash of each of BANDS * ROWS bins, and each
+band of ROWS bins is a bucket key. Nodes of a bucket are compared by exact Jaccard
+similarity of their shingle sets until no bucket holds an uncompared pair of
+different components; of each component the first occurrence by document and
+line stays.
 
 Nodes are 64-bit hashes of lines: two different lines share one with a chance
-of n * n / 3.7e19 for n lines. Lines are split, normalised and hashed in the
-JVM; Python makes signatures and compares candidates.
+of n * n / 3.7e19 for n lines. The texts are read once for signatures, which
+are a table in the shared folder, once for the lines that share a band with
+others, and once for the result.
 """
 
 from __future__ import annotations
@@ -20,46 +22,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, cut, only, slices
+from .common import BROADCAST_IDS, bucket_components, private, shared_keys, slices, stored
 from .token_files import mix
 
-SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, BLOCK = 8, 12, 4, 0.8, 40, 100
+SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, BLOCK = 8, 12, 4, 0.8, 1, 100
+#: Lines whose signatures a task remembers to have given; the store is emptied beyond it, which bounds memory.
+SEEN = 500_000
+FOUND = "doc_id long, t long, line int, h long, size long, keys array<long>"
 
 
-def normal(line: Column) -> Column:
+def normal(lines: pa.Array) -> pa.Array:
     """Lower case, white space collapsed to one blank and none at the ends."""
-    lower = F.lower(line)
-    return F.trim(F.when(lower.rlike(r"[\t\x0B\f\r]|  "), F.regexp_replace(lower, r"[\t\x0B\f\r ]+", " ")).otherwise(lower))
+    lower = pc.utf8_lower(lines)
+    odd = pc.match_substring(lower, "  ")
+    for blank in "\t\x0b\f\r":
+        odd = pc.or_(odd, pc.match_substring(lower, blank))
+    if pc.any(odd).as_py():
+        lower = pc.replace_with_mask(lower, odd, pc.replace_substring_regex(lower.filter(odd), r"[\t\x0B\f\r ]+", " "))
+    return pc.utf8_trim(lower, " ")
 
 
-def lines_of(rows: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, t, line, text, h): the lines of min_chars characters and more, and their nodes."""
-    each = rows.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.length("text") >= min_chars)
-    tidy = each.select("doc_id", "t", "line", normal(F.col("text")).alias("text")).where(F.length("text") >= max(min_chars, SHINGLE))
-    return tidy.withColumn("h", F.xxhash64("text"))
+def padded(line: str) -> str:
+    """A line of SHINGLE characters at least; lines hold no line break themselves."""
+    return line.ljust(SHINGLE, "\n")
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all lines' shingles in a row, the line of each); lines have SHINGLE characters at least."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     lengths = np.array([len(x) for x in lines])
     with np.errstate(over="ignore"):
-        base, h, span = np.uint64(0x9E3779B97F4A7C15), code, 1
+        base, span = np.uint64(0x9E3779B97F4A7C15), 1
         while span < SHINGLE:  # hashes of 2, 4 and 8 characters from those of half as many
             h = h[:-span] * base + h[span:]
             base, span = base * base, span * 2
     ends = lengths.cumsum()
-    owner = np.repeat(np.arange(len(lines)), lengths)[: len(h)]
-    inside = np.arange(len(h)) + SHINGLE <= ends[owner]
-    return mix(h[inside], 5), owner[inside]
+    inside = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):
+        inside[ends[:-1] - k] = False
+    return mix(h[inside], 5), np.repeat(np.arange(len(lines)), lengths - SHINGLE + 1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys, a row for each line; in blocks whose arrays stay in the processor's cache."""
-    return np.concatenate([block_signatures(lines[k : k + BLOCK]) for k in range(0, len(lines), BLOCK)])
+    return np.concatenate([np.empty((0, BANDS), np.int64), *(block_signatures(lines[k : k + BLOCK]) for k in range(0, len(lines), BLOCK))])
 
 
 def block_signatures(lines: list[str]) -> np.ndarray:
@@ -82,6 +93,7 @@ def block_signatures(lines: list[str]) -> np.ndarray:
 
 
 def shingles(line: str) -> set[str]:
+    line = padded(line)
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
@@ -90,65 +102,86 @@ def jaccard(x: set[str], y: set[str]) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def line_table(rows: DataFrame, min_chars: int) -> DataFrame:
+    """A row per line of rows (doc_id, text, t): its place, node h and length; band keys where a task meets a node first."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches):
+            parts = pc.split_pattern(batch.column("text"), "\n")
+            counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.repeat(np.arange(batch.num_rows), counts)
+            line = np.arange(len(at)) - np.repeat(counts.cumsum() - counts, counts)
+            text = normal(parts.flatten())
+            size = pc.utf8_length(text).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(size >= max(1, min_chars))
+            text = text.take(pa.array(keep))
+            h = np.array([xxhash.xxh64_intdigest(x) for x in text.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)]
+            keys = signatures([padded(x) for x in text.take(pa.array(fresh, pa.int64())).to_pylist()])
+            ends = np.zeros(len(keep) + 1, np.int32)
+            ends[np.array(fresh, np.int64) + 1] = BANDS
+            new = np.zeros(len(keep), bool)
+            new[fresh] = True
+            lists = pa.ListArray.from_arrays(pa.array(ends.cumsum(dtype=np.int32)), pa.array(keys.reshape(-1)), mask=pa.array(~new))
+            places = [batch.column(c).take(pa.array(at[keep])) for c in ("doc_id", "t")]
+            yield pa.RecordBatch.from_arrays([*places, pa.array(line[keep].astype(np.int32)), pa.array(h), pa.array(size[keep].astype(np.int64)), lists], names=["doc_id", "t", "line", "h", "size", "keys"])
+
+    return stored(rows.mapInArrow(read, FOUND))
+
+
+def linked(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the nodes that verified links join."""
+    buckets = shared_keys(table.where("keys is not null").select(F.explode("keys").alias("key"), F.col("h").alias("id"), "size"))
+    place = F.struct("doc_id", "t", "line")
+    nodes = buckets.select(F.col("id").alias("h")).distinct()
+    first = stored(table.select("doc_id", "t", "line", "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min(place).alias("p")))
+    # one row per document, its lines being bounded by its own text
+    wanted = first.groupBy(F.col("p.doc_id").alias("d"), F.col("p.t").alias("t")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "h")).alias("wanted"))
+    wanted = F.broadcast(wanted) if first.count() <= BROADCAST_IDS else wanted
+    holding = rows.join(wanted.withColumnRenamed("t", "own"), (F.col("t") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    parts = holding.select(F.split("text", "\n").alias("parts"), "wanted").select(F.transform("wanted", lambda w: F.struct(w["h"].alias("id"), F.get("parts", w["line"]).alias("value"))).alias("of"))
+    items = parts.select(F.inline("of"))
+    # rows that repeat an id and a text give their lines again
+    items = stored(items.groupBy("id").agg(F.first("value").alias("value")))
+
+    def prepare(line: str) -> set[str]:
+        return shingles(normal(pa.array([line], pa.string()))[0].as_py())
+
+    return bucket_components(buckets, items, prepare, lambda x, y: jaccard(x, y) >= threshold)
+
+
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text` less its repeated lines, and two columns, n_lines and n_removed.
 
     Null texts stay null and have no lines; a text all of whose lines go is
-    empty. A null id orders before others. Rows that repeat both id and text
-    count as one document and are treated alike; rows that repeat an id alone
-    are told apart by their texts. No rows give none. Columns named n_lines or
-    n_removed are replaced, others stay.
+    empty; lines without a character but white space stay. A null id orders
+    before others. Rows that repeat both id and text count as one document and
+    are treated alike; rows that repeat an id alone are told apart by their
+    texts. Long texts are handled whole. No rows give none. Columns named
+    n_lines or n_removed are replaced, others stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
-    named = cut(linked(rows, threshold, min_chars))
-    found = cut(lines_of(rows, min_chars).select("doc_id", "t", "line", "h"))
-    # an occurrence's component is its node's, or the node itself; partial minima come before the shuffle
-    places = found.select("doc_id", "t", "line", "h").join(named.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "t", "line", F.coalesce("component", "h").alias("c"))
+    table = line_table(rows, min_chars)
+    named = linked(rows, table, threshold)
+    # components by nodes, for a node may have very many places; a component's first place stays
     place = F.struct("doc_id", "t", "line")
-    firsts = places.groupBy("c").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("c", "first")
-    again = places.join(firsts, "c").where(place != F.col("first"))
+    nodes = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(named.withColumnRenamed("node", "h"), "h", "left")
+    several = stored(nodes.where("component is not null or first <> last").select("h", "first", F.coalesce("component", "h").alias("c")))
+    firsts = stored(several.groupBy("c").agg(F.min("first").alias("kept")))
+    keep = stored(several.join(firsts, "c").select("h", "kept"))
+    again = table.select("doc_id", "t", "line", "h").join(keep, "h").where(place != F.col("kept"))
+    own, doc, of, gone = private(docs, "own", "doc", "of", "gone")
     # one row per document, its lines being bounded by its own text
-    removed = again.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone")).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "gone")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    t = F.xxhash64(F.col(text_col).cast("string"))
-    joined = docs.select(*names).withColumn("_h", t).join(removed, (F.col("_h") == F.col("_t")) & F.col(id_col).cast("long").eqNullSafe(F.col("_d")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
-    counted = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long")).withColumn(text_col, text).select(*names, "n_lines", "n_removed")
-
-
-def linked(rows: DataFrame, threshold: float, min_chars: int) -> DataFrame:
-    """(node, component) of the nodes that verified links join."""
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            first = dict(zip(batch.column("h").to_pylist(), range(batch.num_rows), strict=True))  # equal lines of a batch once
-            lines = batch.column("text").take(pa.array(first.values())).to_pylist()
-            keys = signatures(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(np.array(list(first), np.int64), BANDS))], names=["key", "h"])
-
-    lines = lines_of(rows, min_chars).select("h", "text")
-    keyed = lines.mapInArrow(band, "key long, h long")
-    bucket = Window.partitionBy("key")
-    ends = keyed.select("key", "h", F.min("h").over(bucket).alias("lo"), F.max("h").over(bucket).alias("hi")).where("lo <> hi")
-    buckets = cut(ends.select("key", F.col("h").alias("id")).distinct())
-    texts = cut(only(lines, cut(buckets.select(F.col("id").alias("h")).distinct()), "h").groupBy("h").agg(F.first("text").alias("text")))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, set()
-        for batch in batches:
-            keep = []
-            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
-                if a != last:  # pairs of one node mostly come together
-                    last, x = a, shingles(ta)
-                keep.append(jaccard(x, shingles(tb)) >= threshold)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        second = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        both = second.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
-
-    return bucket_components(buckets, verified)
+    removed = again.groupBy(F.col("doc_id").alias(doc), F.col("t").alias(of)).agg(F.collect_set("line").alias(gone))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    keyed = docs.select(*names).withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    joined = keyed.join(removed, (F.col(own) == F.col(of)) & F.col(id_col).cast("long").eqNullSafe(F.col(doc)), "left")
+    text = F.col(text_col).cast("string")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    counts = [F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
+    columns = [F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in names]
+    return joined.select(*columns, *counts)

@@ -10,8 +10,8 @@ texts that share it agree in content and order; SKETCHES of them find a pair at
 
 Equal texts are one row from the start, known by a 64-bit hash: two of n
 different texts share one with a chance of n * n / 3.7e19. Texts of a sketch's
-bucket are compared in rounds until no bucket holds an untested pair of
-different components. Comparing aligns the window sequences within the
+bucket are compared until no bucket holds an uncompared pair of different
+components. Comparing aligns the window sequences within the
 diagonal band that a similarity of 0.8 leaves, exactly: labelled windows are
 distinct, so the longest common subsequence is a longest increasing one.
 """
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, connected_components, cut, id_text, only, slices
+from .common import bucket_components, connected_components, id_text, only, private, shared_keys, slices, stored
 from .token_files import mix
 
 K, L, SKETCHES, THRESHOLD = 5, 4, 20, 0.8
+#: Texts whose sketches a task remembers to have given; the store is emptied beyond it, which bounds memory.
+SEEN = 500_000
 
 
 def windows(text: str, k: int = K) -> np.ndarray:
@@ -97,18 +99,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Classes are connected by equal texts and by similarities of the threshold
     and more. Null texts count as empty, and empty texts as equal. Rows with a
     null id are left out; repeated ids give a row each, all in their least
-    class if their texts differ. No rows give none; other columns are left out.
+    class if their texts differ. Long texts are compared whole. No rows give
+    none; other columns are left out.
     """
     known = hashed(docs, id_col, text_col)
-    classes = linked(known, threshold)
-    owned = cut(known.select("doc_id", "h"))
+    sketched = sketch_table(known)
+    tied = linked(known, sketched, threshold)
+    owned = sketched.select("doc_id", "h")
     # the same id under several texts ties these together, too
-    several = owned.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z")
-    ties = owned.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b")).distinct()
-    tied = connected_components(ties.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    named = owned.join(tied.withColumnRenamed("node", "h"), "h", "left").select("doc_id", F.coalesce("component", "h").alias("c"))
-    whole = named.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return named.join(whole, "c").select("doc_id", "class_id", "class_size")
+    several = stored(owned.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z"))
+    if not several.isEmpty():
+        ties = owned.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b")).distinct()
+        tied = connected_components(ties.unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    # classes by texts, for a text may have very many rows
+    named = texts_of(sketched).join(tied.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
+    several = stored(named.select("h", "first", "n", F.coalesce("component", "h").alias("c")))
+    whole = stored(several.groupBy("c").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))
+    classes = stored(several.join(whole, "c").select("h", "class_id", "class_size"))
+    return owned.join(classes, "h", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,55 +124,70 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_text(docs, id_col, text_col).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
 
 
-def linked(known: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the texts, by their hashes, that verified links join."""
+def texts_of(sketched: DataFrame) -> DataFrame:
+    """(h, first, n): each text's least doc_id and number of rows."""
+    return sketched.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+
+
+def sketch_table(known: DataFrame) -> DataFrame:
+    """(doc_id, h, size, keys) of the rows: number of windows, and the sketches where a task meets a text first."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in slices(batches):
-            x = [windows(text) for text in batch.column("text").to_pylist()]
-            keys = [sketches(w).view(np.int64) if len(w) else np.empty(0, np.int64) for w in x]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(keys, pa.list_(pa.int64()))], names=["h", "keys"])
+            if len(seen) > SEEN:
+                seen.clear()
+            size, keys = [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                new = h not in seen
+                seen.add(h)
+                x = windows(text) if new else ()
+                size.append(len(x))
+                keys.append(sketches(x).view(np.int64) if len(x) else None)
+            columns = [batch.column("doc_id"), batch.column("h"), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "size", "keys"])
+
+    return stored(known.mapInArrow(sketch, "doc_id long, h long, size long, keys array<long>"))
+
+
+def linked(known: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the texts, by their hashes, that verified links join."""
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [windows(text).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(x, pa.binary())], names=["h", "x"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "xb"):
-            x = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("xa", "xb"))
-            keep = [aligned(a, b, threshold) >= threshold for a, b in zip(*x, strict=True)]
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    sketched = cut(known.select("h", "text").mapInArrow(sketch, "h long, keys array<long>"))
-    keyed = sketched.groupBy("h").agg(F.first("keys").alias("keys")).select(F.col("h").alias("id"), F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    buckets = cut(keyed.join(counts.select("key"), "key").select("key", "id").distinct())
-    wanted = cut(buckets.select(F.col("id").alias("h")).distinct())
-    one = only(known.select("h", "text"), wanted, "h").groupBy("h").agg(F.first("text").alias("text"))
-    vectors = cut(one.mapInArrow(vector, "h long, x binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        second = pairs.join(vectors.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
-        both = second.join(vectors.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a")
-        return both.select("a", "b", "xa", "xb").mapInArrow(compare, "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(x, pa.binary())], names=["id", "value"])
 
-    return bucket_components(buckets, verified)
+    buckets = shared_keys(sketched.where("keys is not null").select(F.explode("keys").alias("key"), F.col("h").alias("id"), "size"))
+    nodes = buckets.select(F.col("id").alias("h")).distinct()
+    first = stored(sketched.select("doc_id", "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id")))
+    one = only(known, first, ["doc_id", "h"]).select("h", "text")
+    # rows that repeat an id and a text give it again
+    items = stored(one.mapInArrow(vector, "id long, value binary").groupBy("id").agg(F.first("value").alias("value")))
+    return bucket_components(buckets, items, lambda x: np.frombuffer(x, np.uint64), lambda x, y: aligned(x, y, threshold) >= threshold)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of texts, that of the least id (of its texts, the one of least hash).
 
     Rows with a null id stay. Rows that repeat an id are told apart by their
-    texts: those of one class stay once, those of several once for each.
+    texts: those of one class stay once, those of several once for each. Null
+    texts count as empty, long ones are compared whole; no rows give none.
     """
     known = hashed(docs, id_col, text_col)
-    named = cut(linked(known, THRESHOLD))
-    owned = cut(known.select("doc_id", "h").distinct())
-    classes = owned.join(named.withColumnRenamed("node", "h"), "h", "left").select("doc_id", "h", F.coalesce("component", "h").alias("c"))
-    own = F.struct("doc_id", "h")
-    firsts = classes.groupBy("c").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first <> last").select("c", "first")
-    dropped = classes.join(firsts, "c").where(own != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    kept = rows.join(dropped, (F.col("_t") == F.col("_h")) & (F.col(id_col).cast("long") == F.col("_d")), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_t"]).unionByName(kept.where(F.col(id_col).isNull())).drop("_t")
+    sketched = sketch_table(known)
+    named = linked(known, sketched, THRESHOLD).withColumnRenamed("node", "h")
+    texts = texts_of(sketched).join(named, "h", "left").where("component is not null or n > 1")
+    several = stored(texts.select("h", "first", F.coalesce("component", "h").alias("c")))
+    firsts = stored(several.groupBy("c").agg(F.min(F.struct(F.col("first").alias("doc_id"), "h")).alias("kept")))
+    kept = stored(several.join(firsts, "c").select("h", "kept"))
+    doc, of, own, n = private(docs, "doc", "of", "own", "n")
+    row = F.struct("doc_id", "h")
+    dropped = sketched.select("doc_id", "h").join(kept, "h").where(row != F.col("kept")).select(F.col("doc_id").alias(doc), F.col("h").alias(of)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    same = (F.col(own) == F.col(of)) & (F.col(id_col).cast("long") == F.col(doc))
+    left = rows.join(dropped, same, "left_anti")
+    again = stored(sketched.groupBy(F.col("doc_id").alias(doc), F.col("h").alias(of)).agg(F.count("*").alias(n)).where(F.col(n) > 1).drop(n))
+    if not again.isEmpty():
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, own]))
+    return left.drop(own)

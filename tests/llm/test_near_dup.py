@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 
-from kalends.llm.common import connected_components
 from kalends.llm.line_dedup import dedup_lines, jaccard, shingles, signatures
 from kalends.llm.near_dup import aligned, keep_one, near_duplicates, sketches, windows
 
@@ -70,12 +69,6 @@ def test_alignment_respects_order():
     assert aligned(a, a[:81]) >= 0.8 > aligned(a, a[:79])
 
 
-def test_components_of_a_chain_and_a_hub(spark):
-    edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
-
-
 def test_lines_equal_brute_force(spark, texts):
     rng = random.Random(5)
     base = [prose(rng, 30) for _ in range(12)]
@@ -85,7 +78,7 @@ def test_lines_equal_brute_force(spark, texts):
         rows.append((i, "\n".join([*lines, "short line", "  TAB\tand  blank " + base[i % 12] + " "][: 5 if i % 3 else 9])))
     rows += [(50, None), (51, ""), (52, rows[3][1]), (None, rows[4][1])]
     got = {r.doc_id: r for r in dedup_lines(texts(rows)).collect()}
-    places = sorted((d if d is not None else -1, i, normal(x)) for d, t in rows if t for i, x in enumerate(t.split("\n")) if len(normal(x)) >= 40)
+    places = sorted((d if d is not None else -1, i, normal(x)) for d, t in rows if t for i, x in enumerate(t.split("\n")) if normal(x))
     root = list(range(len(places)))
     find = lambda i: i if root[i] == i else find(root[i])
     for i in range(len(places)):
