@@ -36,7 +36,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, rate
 
-    rated = rate(documents(spark, sf_dir))
+    rated = rate(documents(spark, sf_dir), columns=["doc_id"])
     return rated.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in [*BASE, "base_failed", "kept"]))
 
 
