@@ -5,7 +5,9 @@ pre-tokenizers never join across it, so the ids of a text are the ids of its
 blank-separated words in a row. Words are counted with Arrow's dictionary
 encoding and only words not met before go through the tokenizers library.
 Texts in which a split isn't proven (special-token strings, blanks next to
-white space where that matters) are encoded whole by the library.
+white space where that matters) are encoded whole by the library, and so are
+all texts if a vocabulary's normalizer, pre-tokenizer or special tokens aren't
+those that this was proven for.
 """
 
 from __future__ import annotations
@@ -21,8 +23,18 @@ import regex
 
 #: Words kept at most; the store is emptied beyond it, which bounds memory.
 MAX_WORDS = 400_000
+#: Likewise of the pieces that words are made of, which outlast the words.
+MAX_PIECES = 300_000
 #: Words of these characters alone take the quick way; others go through the whole library.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7fßà-öø-ÿÀ-ÖØ-Þ]*")
+#: What the splits were proven for, as a vocabulary file states it; fixed values.
+PROVEN = {
+    "byte": {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}},
+    "word": {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    },
+}
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -52,17 +64,15 @@ class WordStore:
         raise NotImplementedError
 
     def _lookup(self, words: list[str]) -> np.ndarray:
-        known, out = self.known, np.empty(len(words), np.int64)
-        for k, word in enumerate(words):
-            at = known.get(word)
-            if at is None:
+        known = self.known
+        for word in words:
+            if word not in known:
                 ids = self.word(word)
-                at = known[word] = len(self.starts)
+                known[word] = len(self.starts)
                 self.starts.append(len(self.ids))
                 self.counts.append(len(ids))
                 self.ids.extend(ids)
-            out[k] = at
-        return out
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def gather(self, parts: pa.ListArray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, number of ids of each text), a text being a list of words."""
@@ -70,7 +80,7 @@ class WordStore:
             self.clear()
         offsets = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        at = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        at = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
         counts = np.frombuffer(self.counts, np.int64)[at]
         ends = np.concatenate([[0], counts.cumsum()])
         total = ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]]
@@ -95,21 +105,35 @@ class Encoder(WordStore):
         self.model = self.library.model
         spec = json.loads(text)
         self.by_words = spec["model"].get("end_of_word_suffix") == "</w>"
+        model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>" if self.by_words else None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+        as_proven = all(spec["model"].get(k) == v for k, v in model.items()) and all(spec.get(k) == v for k, v in PROVEN["word" if self.by_words else "byte"].items())
+        self.proven = as_proven and all(t["content"].startswith("<|") for t in spec.get("added_tokens", [])) and not spec.get("truncation") and not spec.get("padding")
         self.alphabet = byte_alphabet()
+        self.blank = self.alphabet[32]
+        self.pieces: dict[str, list[int]] = {}
         super().__init__()
 
     def clear(self) -> None:
         super().clear()
-        self.pieces: dict[str, list[int]] = {}
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
 
     def _piece(self, piece: str) -> list[int]:
         got = self.pieces.get(piece)
         if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.alphabet)
+            if piece.isascii() and piece.isprintable():  # of these the blank alone has another character
+                mapped = piece.replace(" ", self.blank)
+            else:
+                mapped = piece.encode().decode("latin-1").translate(self.alphabet)
             got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
         return got
 
     def word(self, word: str) -> list[int]:
+        end = word[-1:] if word[-1:] in (".", ",") else ""
+        core = word[:-1] if end else word
+        if core.isascii() and (core if self.by_words else core.removeprefix(" ")).isalpha():  # most words: letters, and a mark after them
+            own = self._piece(core.lower() if self.by_words else core)
+            return own + self._piece(end) if end else own
         if not PLAIN.fullmatch(word):
             return self.library.encode(word, add_special_tokens=False).ids
         if self.by_words:
@@ -125,6 +149,9 @@ class Encoder(WordStore):
         n = len(texts)
         if n == 0:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if not self.proven:
+            each = [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         unsafe = pc.match_substring(texts, "<|")
         if not self.by_words:
             unsafe = pc.or_(unsafe, pc.match_substring(texts, "\x00"))
