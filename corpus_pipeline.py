@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalends.llm.common import shared_dir
+from kalends.llm.common import private, shared_dir
 from kalends.llm.encoder import public
 from kalends.llm.line_dedup import dedup_lines
 from kalends.llm.near_dup import keep_one
@@ -18,7 +18,8 @@ from kalends.llm.quality import rate
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that pass the quality rules."""
-    return rate(docs).where(F.col("quality.kept")).drop("quality")
+    (out,) = private(docs, "quality")
+    return rate(docs, out=out).where(F.col(f"{out}.kept")).drop(out)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
