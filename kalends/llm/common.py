@@ -83,7 +83,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 
 
 #: A bucket of so many members, and of so large a sum of sizes, is compared within a task; larger ones in rounds.
-MEMBERS, SIZE = 64, 4_000_000
+MEMBERS, SIZE = 512, 4_000_000
 #: The leaders of a larger bucket grow by this factor from round to round.
 LEADERS = 4
 

@@ -121,7 +121,10 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def jaccard(x: set[str], y: set[str]) -> float:
+def jaccard(x: set[str], y: set[str], threshold: float = 0.0) -> float:
+    """The similarity of two sets; 0 where their sizes alone keep it under the threshold."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return 0.0
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -167,14 +170,15 @@ def linked(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     wanted = F.broadcast(wanted) if first.count() <= BROADCAST_IDS else wanted
     holding = rows.join(wanted.withColumnRenamed("t", "own"), (F.col("t") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("d")))
     parts = holding.select(F.split("text", "\n").alias("parts"), "wanted").select(F.transform("wanted", lambda w: F.struct(w["h"].alias("id"), F.get("parts", w["line"]).alias("value"))).alias("of"))
-    items = parts.select(F.inline("of"))
-    # rows that repeat an id and a text give their lines again
-    items = stored(items.groupBy("id").agg(F.first("value").alias("value")))
 
-    def prepare(line: str) -> set[str]:
-        return shingles(normal(pa.array([line], pa.string()))[0].as_py())
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "value"):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), normal(batch.column("value"))], names=["id", "value"])
 
-    return bucket_components(buckets, items, prepare, lambda x, y: jaccard(x, y) >= threshold)
+    items = parts.select(F.inline("of")).mapInArrow(tidy, "id long, value string")
+    # rows that repeat an id and a text give their lines again
+    items = stored(items.groupBy("id").agg(F.first("value").alias("value")))
+    return bucket_components(buckets, items, shingles, lambda x, y: jaccard(x, y, threshold) >= threshold)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
