@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, slices
+from .common import cut, id_text, slices, stored
 from .encoder import encoder
 
 WIDEN = 8
@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     small = rows.where(F.length("text") <= chunk_chars).mapInArrow(count, COUNTS)
-    huge = rows.where(F.length("text") > chunk_chars).withColumn("h", F.xxhash64("text"))
+    huge = stored(rows.where(F.length("text") > chunk_chars).withColumn("h", F.xxhash64("text")))  # read again by each widening
     counted = small.unionByName(count_huge(huge, tokenizer, chunk_chars, overlap_chars))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
