@@ -145,6 +145,8 @@ def column_generation(widths: np.ndarray, need: np.ndarray, size: int, gap: floa
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         patterns[:, out] = column
+    else:
+        raise RuntimeError(f"column generation did not come within {gap} of its bound: {value - 1}")
     return patterns, amount
 
 

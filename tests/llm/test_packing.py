@@ -22,6 +22,39 @@ def test_plan_covers_the_demand_with_little_padding():
     assert len(filled) * 4096 < 1.02 * (lengths * counts).sum()
 
 
+def fewest(pieces: list[int], size: int) -> int:
+    """The least number of sequences, by trying every place for the longest piece first."""
+    best = len(pieces)
+
+    def go(k: int, rooms: list[int]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for r in sorted({*rooms}):
+            if r >= pieces[k]:
+                i = rooms.index(r)
+                go(k + 1, [*rooms[:i], r - pieces[k], *rooms[i + 1 :]])
+        go(k + 1, [*rooms, size - pieces[k]])
+
+    pieces = sorted(pieces, reverse=True)
+    go(0, [])
+    return best
+
+
+def test_plans_are_near_the_least_number_of_sequences():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        size = int(rng.integers(8, 30))
+        pieces = rng.integers(1, size + 1, int(rng.integers(1, 10)))
+        lengths, counts = np.unique(pieces, return_counts=True)
+        plan = Plan(lengths, counts, size, 1, 0.002)
+        used = {int(s) for w, n in zip(lengths, counts, strict=True) for s in plan.place(int(w), np.arange(n))[0]}
+        assert len(used) <= fewest(pieces.tolist(), size) + 1
+
+
 def test_every_id_is_in_one_piece(spark, texts):
     library = Tokenizer.from_file(public("word_bpe_49k.json"))
     rows = [(1, "word " * 300), (2, None), (3, ""), (4, "a b c"), (4, "a b c"), (5, "x y " * 64), (None, "z")] + [(i, "tok " * (i % 37)) for i in range(10, 90)]
