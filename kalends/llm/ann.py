@@ -81,17 +81,19 @@ def valid(embedding: Column) -> Column:
 def search(rows: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, share: float = SHARE, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k rows of largest inner product found, ties to the smaller id.
 
-    is_query is a condition on columns of rows. Invalid vectors, rows with a
-    null id, and vectors of another length than the most frequent one take no
-    part. A query meets every row but those of its own id; rows that repeat an
-    id count once, with any of its vectors. No rows give none.
+    is_query is a condition on columns of rows. Invalid vectors and rows with a
+    null id take no part; shorter vectors count as if zeros followed. A query
+    meets every row but those of its own id; rows that repeat an id count once,
+    with the least of its vectors, and as a query if one of them is. Ties go to
+    the smaller id. No rows give none.
     """
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query"))
     own = own.where(F.col("vec_id").isNotNull() & valid(F.col("v")))
-    sizes = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("greatest"))
-    most = sizes.orderBy(F.desc("n"), "dim").first()
-    dim, n, greatest = (most["dim"], most["n"], most["greatest"]) if most else (1, 1, 1.0)
-    own = own.where(F.size("v") == dim).dropDuplicates(["vec_id"])
+    own = own.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("is_query").alias("is_query"))
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    size = own.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n"), F.max(squares).alias("greatest")).first()
+    dim, n, greatest = size["dim"] or 1, size["n"] or 1, size["greatest"] or 1.0
+    own = own.withColumn("v", F.when(F.size("v") < dim, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v")))).otherwise(F.col("v")))
     queries = own.where("is_query")
     chunks, blocks = -(-n // chunk_rows), max(1, -(-queries.count() // query_rows))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

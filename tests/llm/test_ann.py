@@ -19,7 +19,7 @@ def test_recall_ranks_and_scores(spark):
     vectors = {i: rng.standard_normal(24).tolist() for i in range(900)}
     for i in range(900, 960):
         vectors[i] = vectors[i % 7]  # groups of copies
-    odd = [(2000, None), (2020, [0.0] * 24), (2040, [math.nan] * 24), (2060, [None] + [1.0] * 23), (2080, [1.0] * 3), (None, [1.0] * 24), (2100, [math.inf] * 24)]
+    odd = [(2000, None), (2020, [0.0] * 24), (2040, [math.nan] * 24), (2060, [None] + [1.0] * 23), (None, [1.0] * 24), (2100, [math.inf] * 24)]
     rows = spark.createDataFrame([(i, v, 1) for i, v in [*vectors.items(), *odd, (5, vectors[5])]], "vec_id long, embedding array<double>, rank int")
     got = {}
     for r in search(rows, F.col("vec_id") % 20 == 0, k=10, chunk_rows=300, query_rows=20).collect():
@@ -36,6 +36,11 @@ def test_recall_ranks_and_scores(spark):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_shorter_vectors_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [2.0]), (2, [0.5, 0.5]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in search(rows, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2.0), (2, 1.5), (3, 1.5)]
+
+
 def test_few_or_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id, r.score) for r in search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 4.0), (2, 2, 1.5)]
