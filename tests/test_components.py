@@ -5,6 +5,8 @@ def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
+    stored = connected_components(spark.createDataFrame(edges, "a long, b long"), many=0)
+    assert {r.node: r.component for r in stored.collect()} == got
 
 
 def test_stars_and_no_edges(spark):
