@@ -61,16 +61,6 @@ def private(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Bytes of values that a join may broadcast, after they are summed up.
-BROADCAST_BYTES = 8_000_000
-
-
-def few_bytes(df: DataFrame, value: str) -> DataFrame:
-    """df, marked for broadcast if its values are summed up to be small."""
-    n, size = df.agg(F.count("*"), F.sum(F.octet_length(value))).first()
-    return F.broadcast(df) if (size or 0) + 64 * n <= BROADCAST_BYTES else df
-
-
 def shared_keys(keyed: DataFrame) -> DataFrame:
     """The distinct rows (key, id, size) whose key has two ids or more, stored.
 
@@ -82,10 +72,10 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return stored(ends.where("lo <> hi").select("key", "id", "size").distinct())
 
 
-#: A bucket of so many members, and of so large a sum of sizes, is compared within a task; larger ones in rounds.
+#: Members of a group that is compared within a task, and the largest sum of their sizes.
 MEMBERS, SIZE = 512, 4_000_000
-#: The leaders of a larger bucket grow by this factor from round to round.
-LEADERS = 4
+#: Leaders of a larger bucket in the first round; they grow by GROWTH from round to round.
+LEADERS, GROWTH = 16, 4
 
 
 def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
@@ -96,16 +86,26 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
     values are linked. Nodes without a link have no row.
 
     Buckets of the same members are one. The members of an ordinary bucket are
-    compared in one task, but for those that links found there join already.
-    Larger buckets go in rounds: leaders are compared with the members of other
-    components, and are done; components follow. A bucket ends when it lies in
-    one component, so no uncompared pair of different components is left. The
-    first leader is the member that shares most buckets with others (in a group
-    of edited copies, the text they come from).
+    compared in one task, but for those that links found there join already. A
+    larger bucket is dealt into groups of that size, each with the bucket's
+    first member besides: the one that shares most buckets with others (in a
+    group of edited copies, the text they come from). What is left of larger
+    buckets goes in rounds: leaders from outside the bucket's largest component
+    are compared with its members of other components, and are done; components
+    follow. A bucket ends when it lies in one component, so no uncompared pair
+    of different components is left.
     """
     members = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    ordinary = (F.col("n") <= MEMBERS) & (F.col("size") <= SIZE)
-    kinds = stored(members.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"), F.min("size").alias("size")).select("key", "n", ordinary.alias("ordinary")))
+    groups = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("size") / SIZE)).cast("int")
+    kinds = stored(members.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"), F.min("size").alias("size")).select("key", "n", groups.alias("groups")))
+    chosen = buckets.join(kinds, "key").select("key", "id", "n", "groups")
+    large = chosen.where("groups > 1")
+    dealt = chosen.select("key", F.pmod(F.xxhash64("key", "id"), "groups").alias("part"), "id")
+    several = not kinds.where("groups > 1").isEmpty()
+    if several:
+        weight = large.groupBy("id").agg(F.sum("n").alias("weight"))
+        first = large.join(weight, "id").groupBy("key", "groups").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("id"))
+        dealt = dealt.unionByName(first.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).cast("long").alias("part"), "id")).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -133,7 +133,7 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
         key, group = None, []
         for batch in slices(batches, "value"):
             found = []
-            for k, i, value in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "value")), strict=True):
+            for *k, i, value in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "id", "value")), strict=True):
                 if k != key:
                     found += links(group)
                     key, group = k, []
@@ -141,19 +141,17 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=PAIRS)
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(group)], schema=PAIRS)
 
-    rows = buckets.join(kinds.where("ordinary").select("key"), "key").select("key", "id").join(items, "id")
-    links = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct())
-    large = kinds.where("not ordinary").select("key", "n")
-    if large.isEmpty():
-        return connected_components(links)
-    return _in_rounds(buckets.join(large, "key").select("key", "id", "n"), items, links, prepare, alike)
+    rows = dealt.join(items, "id")
+    links = stored(rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long").distinct())
+    named = connected_components(links)
+    return _in_rounds(large.select("key", "id"), items, named, prepare, alike) if several else named
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _in_rounds(buckets: DataFrame, items: DataFrame, links: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
-    """The rounds of `bucket_components` over its larger buckets, rows (key, id, n)."""
+def _in_rounds(own: DataFrame, items: DataFrame, named: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
+    """The rounds of `bucket_components` over its larger buckets, rows (key, id), from the components so far."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, None
@@ -165,25 +163,24 @@ def _in_rounds(buckets: DataFrame, items: DataFrame, links: DataFrame, prepare:
                 keep.append(alike(x, prepare(vb)))
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    weight = buckets.groupBy("id").agg(F.sum("n").alias("weight"))
-    own = stored(buckets.select("key", "id").join(weight, "id"))
-    named, leaders = connected_components(links), 1
+    leaders, last = LEADERS, None
     while True:
-        placed = own.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("component", "id").alias("component"))
-        state = placed.groupBy("key").agg(F.count("*").alias("n"), F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n", "first")
-        leads = (F.col("id") == F.col("first")) | (F.col("n") <= max(leaders, LEADERS)) | (F.pmod(F.xxhash64("key", "id"), "n") < leaders)
-        now = stored(placed.join(state, "key").select("key", "id", "weight", "component", leads.alias("leads")))
-        discard(own)
+        placed = own.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        largest = F.max(F.struct("n", "component"))
+        state = parts.groupBy("key").agg(F.sum("n").alias("n"), largest.alias("main"), F.count("*").alias("parts"), F.min_by("least", F.struct("n", F.col("component")))).where("parts > 1")
+        state = state.toDF("key", "n", "main", "parts", "one").select("key", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("others"), "one")
+        leads = (F.col("component") != F.col("main")) & ((F.col("others") <= leaders) | (F.pmod(F.xxhash64("key", "id"), "others") < leaders) | (F.col("id") == F.col("one")))
+        now = stored(placed.join(state, "key").select("key", "id", "component", leads.alias("leads")))
+        if last is not None:
+            discard(last)
         if now.isEmpty():
             return named
         lead = now.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
         pairs = now.join(lead, "key").where("component <> other and (not leads or a < id)").select("a", F.col("id").alias("b")).distinct()
-        leading = stored(items.join(lead.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.col("value").alias("va")))
-        valued = pairs.join(items.select(F.col("id").alias("b"), F.col("value").alias("vb")), "b").join(few_bytes(leading, "va"), "a")
-        found = stored(valued.select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
+        value = lambda c: items.select(F.col("id").alias(c), F.col("value").alias(f"v{c}"))  # noqa: B023, E731
+        found = stored(pairs.join(value("b"), "b").join(value("a"), "a").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
         if not found.isEmpty():
             named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        own = stored(now.where("not leads").select("key", "id", "weight"))
-        for done in (now, leading, found):
-            discard(done)
-        leaders *= LEADERS
+        discard(found)
+        own, last, leaders = now.where("not leads").select("key", "id"), now, leaders * GROWTH

@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     nodes = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(named.withColumnRenamed("node", "h"), "h", "left")
     several = stored(nodes.where("component is not null or first <> last").select("h", "first", F.coalesce("component", "h").alias("c")))
     firsts = stored(several.groupBy("c").agg(F.min("first").alias("kept")))
-    keep = stored(several.join(firsts, "c").select("h", "kept"))
+    keep = several.join(firsts, "c").select("h", "kept")
     again = table.select("doc_id", "t", "line", "h").join(keep, "h").where(place != F.col("kept"))
     own, doc, of, gone = private(docs, "own", "doc", "of", "gone")
     # one row per document, its lines being bounded by its own text

@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     named = texts_of(sketched).join(tied.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
     several = stored(named.select("h", "first", "n", F.coalesce("component", "h").alias("c")))
     whole = stored(several.groupBy("c").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))
-    classes = stored(several.join(whole, "c").select("h", "class_id", "class_size"))
+    classes = several.join(whole, "c").select("h", "class_id", "class_size")
     return owned.join(classes, "h", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
@@ -180,7 +180,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = texts_of(sketched).join(named, "h", "left").where("component is not null or n > 1")
     several = stored(texts.select("h", "first", F.coalesce("component", "h").alias("c")))
     firsts = stored(several.groupBy("c").agg(F.min(F.struct(F.col("first").alias("doc_id"), "h")).alias("kept")))
-    kept = stored(several.join(firsts, "c").select("h", "kept"))
+    kept = several.join(firsts, "c").select("h", "kept")
     doc, of, own, n = private(docs, "doc", "of", "own", "n")
     row = F.struct("doc_id", "h")
     dropped = sketched.select("doc_id", "h").join(kept, "h").where(row != F.col("kept")).select(F.col("doc_id").alias(doc), F.col("h").alias(of)).distinct()

@@ -1,7 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
+from kalends.llm import common
 from kalends.llm.line_dedup import dedup_lines, jaccard, shingles, signatures
 from kalends.llm.near_dup import aligned, keep_one, near_duplicates, sketches, windows
 
@@ -95,7 +98,10 @@ def test_lines_equal_brute_force(spark, texts):
     assert dedup_lines(texts([])).collect() == []
 
 
-def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, texts):
+@pytest.mark.parametrize("members", [512, 8])
+def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, texts, monkeypatch, members):
+    monkeypatch.setattr(common, "MEMBERS", members)  # larger buckets go in groups and rounds
+    monkeypatch.setattr(common, "LEADERS", 2)
     rng = random.Random(17)
     base = "".join(rng.choice("abcdefgh ") for _ in range(300))
     lines = set()
@@ -109,6 +115,7 @@ def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, tex
     find = lambda i: i if root[i] == i else find(root[i])
     # equal to the operator's own candidates: pairs that share a band, all verified
     keys = [set(k.tolist()) for k in signatures(lines)]
+    assert max(Counter(x for k in keys for x in k).values()) > 8
     for i in range(len(lines)):
         for j in range(i):
             if keys[i] & keys[j] and jaccard(shingles(lines[i]), shingles(lines[j])) >= 0.8:
@@ -118,12 +125,16 @@ def test_lines_of_a_template_whose_source_is_absent_equal_brute_force(spark, tex
     assert got == {find(i) for i in range(len(lines))}
 
 
-def test_texts_whose_source_is_absent_are_whole_classes(spark, texts):
+@pytest.mark.parametrize("members", [512, 8])
+def test_texts_whose_source_is_absent_are_whole_classes(spark, texts, monkeypatch, members):
+    monkeypatch.setattr(common, "MEMBERS", members)
+    monkeypatch.setattr(common, "LEADERS", 2)
     rng = random.Random(23)
     base = prose(rng, 300)
     data = [edited(rng, base, rng.randint(3, 5)) for _ in range(100)]
     x = [windows(t) for t in data]
     keys = [set(sketches(w).tolist()) for w in x]
+    assert max(Counter(v for k in keys for v in k).values()) > 8
     root = list(range(len(data)))
     find = lambda i: i if root[i] == i else find(root[i])
     for i in range(len(data)):
