@@ -105,7 +105,7 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
     if several:
         weight = large.groupBy("id").agg(F.sum("n").alias("weight"))
         first = large.join(weight, "id").groupBy("key", "groups").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("id"))
-        dealt = dealt.unionByName(first.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).cast("long").alias("part"), "id")).distinct()
+        dealt = dealt.unionByName(first.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("part"), "id")).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}

@@ -159,12 +159,11 @@ def line_table(rows: DataFrame, min_chars: int) -> DataFrame:
     return stored(rows.mapInArrow(read, FOUND))
 
 
-def linked(rows: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the nodes that verified links join."""
+def linked(rows: DataFrame, table: DataFrame, places: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the nodes that verified links join; places: each node's first place."""
     buckets = shared_keys(table.where("keys is not null").select(F.explode("keys").alias("key"), F.col("h").alias("id"), "size"))
-    place = F.struct("doc_id", "t", "line")
     nodes = buckets.select(F.col("id").alias("h")).distinct()
-    first = stored(table.select("doc_id", "t", "line", "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min(place).alias("p")))
+    first = stored(places.select("h", F.col("first").alias("p")).join(nodes, "h", "left_semi"))
     # one row per document, its lines being bounded by its own text
     wanted = first.groupBy(F.col("p.doc_id").alias("d"), F.col("p.t").alias("t")).agg(F.collect_list(F.struct(F.col("p.line").alias("line"), "h")).alias("wanted"))
     wanted = F.broadcast(wanted) if first.count() <= BROADCAST_IDS else wanted
@@ -193,10 +192,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
     table = line_table(rows, min_chars)
-    named = linked(rows, table, threshold)
-    # components by nodes, for a node may have very many places; a component's first place stays
+    # by nodes, for a node may have very many places; partial minima come before the shuffle
     place = F.struct("doc_id", "t", "line")
-    nodes = table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(named.withColumnRenamed("node", "h"), "h", "left")
+    places = stored(table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    named = linked(rows, table, places, threshold)
+    # a component's first place stays
+    nodes = places.join(named.withColumnRenamed("node", "h"), "h", "left")
     several = stored(nodes.where("component is not null or first <> last").select("h", "first", F.coalesce("component", "h").alias("c")))
     firsts = stored(several.groupBy("c").agg(F.min("first").alias("kept")))
     keep = several.join(firsts, "c").select("h", "kept")

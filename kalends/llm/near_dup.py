@@ -104,7 +104,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """
     known = hashed(docs, id_col, text_col)
     sketched = sketch_table(known)
-    tied = linked(known, sketched, threshold)
+    texts = texts_of(sketched)
+    tied = linked(known, sketched, texts, threshold)
     owned = sketched.select("doc_id", "h")
     # the same id under several texts ties these together, too
     several = stored(owned.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z"))
@@ -112,7 +113,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         ties = owned.join(several, "doc_id").where("h <> a").select("a", F.col("h").alias("b")).distinct()
         tied = connected_components(ties.unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     # classes by texts, for a text may have very many rows
-    named = texts_of(sketched).join(tied.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
+    named = texts.join(tied.withColumnRenamed("node", "h"), "h", "left").where("component is not null or n > 1")
     several = stored(named.select("h", "first", "n", F.coalesce("component", "h").alias("c")))
     whole = stored(several.groupBy("c").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")))
     classes = several.join(whole, "c").select("h", "class_id", "class_size")
@@ -125,8 +126,8 @@ def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def texts_of(sketched: DataFrame) -> DataFrame:
-    """(h, first, n): each text's least doc_id and number of rows."""
-    return sketched.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    """(h, first, n): each text's least doc_id and number of rows; partial ones come before the shuffle."""
+    return stored(sketched.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
 
 
 def sketch_table(known: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def sketch_table(known: DataFrame) -> DataFrame:
     return stored(known.mapInArrow(sketch, "doc_id long, h long, size long, keys array<long>"))
 
 
-def linked(known: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
+def linked(known: DataFrame, sketched: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of the texts, by their hashes, that verified links join."""
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def linked(known: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame
 
     buckets = shared_keys(sketched.where("keys is not null").select(F.explode("keys").alias("key"), F.col("h").alias("id"), "size"))
     nodes = buckets.select(F.col("id").alias("h")).distinct()
-    first = stored(sketched.select("doc_id", "h").join(nodes, "h", "left_semi").groupBy("h").agg(F.min("doc_id").alias("doc_id")))
+    first = stored(texts.select("h", F.col("first").alias("doc_id")).join(nodes, "h", "left_semi"))
     one = only(known, first, ["doc_id", "h"]).select("h", "text")
     # rows that repeat an id and a text give it again
     items = stored(one.mapInArrow(vector, "id long, value binary").groupBy("id").agg(F.first("value").alias("value")))
@@ -176,9 +177,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     known = hashed(docs, id_col, text_col)
     sketched = sketch_table(known)
-    named = linked(known, sketched, THRESHOLD).withColumnRenamed("node", "h")
-    texts = texts_of(sketched).join(named, "h", "left").where("component is not null or n > 1")
-    several = stored(texts.select("h", "first", F.coalesce("component", "h").alias("c")))
+    texts = texts_of(sketched)
+    named = linked(known, sketched, texts, THRESHOLD).withColumnRenamed("node", "h")
+    classes = texts.join(named, "h", "left").where("component is not null or n > 1")
+    several = stored(classes.select("h", "first", F.coalesce("component", "h").alias("c")))
     firsts = stored(several.groupBy("c").agg(F.min(F.struct(F.col("first").alias("doc_id"), "h")).alias("kept")))
     kept = several.join(firsts, "c").select("h", "kept")
     doc, of, own, n = private(docs, "doc", "of", "own", "n")
