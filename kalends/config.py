@@ -10,7 +10,8 @@ class Limits:
     """Fixed default values; pass another instance to change them."""
 
     file_bytes: int = 10 * 1024 * 1024
-    files: int = 20
+    #: None: all files. The interactive tool takes 20 at once.
+    files: int | None = None
     events: int = 25_000
     contacts: int = 50_000
     property_chars: int = 1_000_000
@@ -19,7 +20,8 @@ class Limits:
     series_occurrences: int = 10_000
     occurrences: int = 25_000
     range_days: int = 1830
-    candidate_pairs: int = 50_000
+    #: None: all pairs. The interactive tool stops at 50,000.
+    candidate_pairs: int | None = None
     group_members: int = 50
     weak_bucket: int = 100
     strong_bucket: int = 1000

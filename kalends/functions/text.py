@@ -10,14 +10,14 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 #: White space as the calendar and contact formats' tools trim it.
 SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Mailbox names that many people share: fixed values.
-GENERIC_MAILBOXES = ["admin", "contact", "enquiries", "hello", "info", "mail", "office", "sales", "support", "team"]
+GENERIC_MAILBOXES = ["admin", "contact", "hello", "help", "info", "office", "sales", "support", "team", "webmaster"]
 ASCII = r"^[\x00-\x7F]*$"
 
 
@@ -46,6 +46,18 @@ def as_is(c: Column) -> Column:
     return c
 
 
+def nfkc_parts(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    """rows and an array column for each of parts, arrays of texts, in NFKC; all of a row go through the UDF as one array."""
+    none = F.array().cast("array<string>")
+    sized = rows.select("*", *(F.coalesce(p, none).alias(f"{n}_raw") for n, p in parts.items()))
+    whole = sized.withColumn("nfkc_whole", nfkc_each(F.concat(*(f"{n}_raw" for n in parts))))
+    out, start = [], F.lit(1)
+    for n in parts:
+        out.append(F.slice("nfkc_whole", start, F.size(f"{n}_raw")).alias(n))
+        start = start + F.size(f"{n}_raw")
+    return whole.select("*", *out).drop("nfkc_whole", *(f"{n}_raw" for n in parts))
+
+
 def nfkc(c: Column) -> Column:
     return F.when(c.rlike(ASCII), c).otherwise(_nfkc(c))
 
@@ -120,12 +132,13 @@ def escape_ics(c: Column) -> Column:
 
 
 def unescape_text(c: Column) -> Column:
-    """Escaped line ends, commas, semicolons and backslashes read back."""
-    mark = "\ue000"  # a private-use character
-    out = F.regexp_replace(c, r"\\\\", mark)
-    out = F.regexp_replace(out, r"\\[nN]", "\n")
-    out = F.regexp_replace(out, r"\\([,;])", "$1")
-    return F.replace(out, F.lit(mark), F.lit("\\"))
+    """Escaped line ends, commas, semicolons and backslashes read back; other backslashes stay."""
+
+    def part(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, r"\\[nN]", "\n"), r"\\([,;])", "$1")
+
+    # what is between escaped backslashes has none of them, so its own escapes are plain
+    return F.when(c.contains("\\"), F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")).otherwise(c)
 
 
 def unfold(c: Column) -> Column:
@@ -133,6 +146,17 @@ def unfold(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"\n[ \t]", "")
 
 
+def fold(line: Column) -> Column:
+    """Parts of 75 bytes at most, those after the first behind a blank that counts; no part ends within a character.
+
+    A line's UTF-8 bytes are taken as characters of one byte each while it is cut.
+    """
+    raw = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    head = F.regexp_extract(raw, r"(?s)^.{1,75}(?![\x80-\xBF])", 0)
+    rest = F.regexp_replace(F.substring(raw, F.length(head) + 1, F.length(raw)), r"(?s)(.{1,74})(?![\x80-\xBF])", "\r\n $1")
+    return F.when(F.octet_length(line) <= 75, line).otherwise(F.decode(F.encode(F.concat(head, rest), "ISO-8859-1"), "UTF-8"))
+
+
 def is_safe_url(c: Column) -> Column:
     return F.coalesce(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))).isin("http", "https"), F.lit(False))
 

@@ -3,20 +3,23 @@
 Contacts are rows with idx (their place), the fields of CONTACT, and emails,
 phones and addresses as arrays of structs. Keys block pairs; a key shared by
 more contacts than its limit is skipped and reported, which is part of the
-tool's meaning, as are the caps on pairs and on members of a group.
+tool's meaning, as are the caps on pairs (none unless asked for) and on members
+of a group. What a cap leaves out is reported by a diagnostic.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
-from ..functions.text import as_is, is_generic_mailbox, name_similarity, nfkc_each, normalize_email, normalize_name, normalize_phone, normalize_text, normalize_uid
+from ..functions.text import as_is, is_generic_mailbox, name_similarity, nfkc_parts, normalize_email, normalize_name, normalize_phone, normalize_text, normalize_uid
 from ..session import cut
+from ..sources.properties import sorted_parameters, vendor_properties
 from .components import connected_components
 
 #: Keys in the order in which they are looked at, and whether they are strong: fixed values.
@@ -29,29 +32,57 @@ RANKS = ["possible", "likely", "certain"]
 
 @dataclass(frozen=True)
 class Duplicates:
+    """Scored pairs, groups, one row of counts (see `metrics`), and diagnostics (code, n)."""
+
     pairs: DataFrame
     groups: DataFrame
-    skipped: DataFrame
+    metrics: DataFrame
+    diagnostics: DataFrame
+
+
+#: Address parts, texts with one value, and lists of texts that the signature keeps in order.
+PARTS = ["po_box", "extended", "street", "locality", "region", "postal_code", "country"]
+TEXTS = ["formatted_name", "given_name", "family_name", "organization", "title", "role", "nickname", "gender", "kind"]
+LISTS = ["additional_names", "honorific_prefixes", "honorific_suffixes", "organization_units"]
 
 
 def prepared(contacts: DataFrame) -> DataFrame:
-    """Normalised columns of contacts, one pass: n_uid, n_name, emails and phones and addresses as arrays, signature."""
-    # repeated values get their Unicode form as whole arrays; inside lambdas only JVM functions work
-    value = lambda c: nfkc_each(F.transform(c, lambda x: x["value"]))
-    parts = [nfkc_each(F.col("addresses")[c]) for c in ("po_box", "extended", "street", "locality", "region", "postal_code", "country")]
+    """Normalised columns of contacts, one pass: n_uid, n_name, emails and phones and addresses as arrays, signature.
+
+    The signature is a hash of all fields in normal form, so equal ones mean
+    exact copies but for case, white space, Unicode forms and order in lists.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    value = lambda c: F.transform(c, lambda x: F.coalesce(x["value"], F.lit("")))
     work = F.filter("phones", lambda p: F.arrays_overlap(p["types"], F.array(*map(F.lit, WORK_TYPES))))
-    raw = contacts.select("*", value("emails").alias("_e"), value("phones").alias("_p"), value(work).alias("_w"), *(p.alias(f"_a{k}") for k, p in enumerate(parts)), nfkc_each(F.col("notes")).alias("_n"))
+    # inside lambdas only JVM functions work, so all texts get their Unicode form before, as one array
+    parts = {"_s": F.array(*map(text, TEXTS)), "_e": value("emails"), "_p": value("phones"), "_w": value(work), "_u": value("urls"), "_n": F.col("notes"), "_c": F.col("categories")}
+    parts |= {f"_l{k}": F.col(c) for k, c in enumerate(LISTS)} | {f"_a{k}": F.transform(F.col("addresses")[c], lambda x: F.coalesce(x, F.lit(""))) for k, c in enumerate(PARTS)}
+    raw = nfkc_parts(contacts.withColumn("_v", vendor_properties(F.col("raw_properties"))), parts)
     unique = lambda c, f: F.array_distinct(F.filter(F.transform(c, lambda x: f(x, as_is)), lambda x: x != ""))
-    address = F.transform("_a0", lambda _, i: F.concat_ws("|", *(normalize_text(F.get(f"_a{k}", i), as_is) for k in range(len(parts)))))
+    plain = lambda c: F.transform(c, lambda x: normalize_text(x, as_is))
+    address = F.transform("_a0", lambda _, i: F.concat_ws("|", *(normalize_text(F.get(f"_a{k}", i), as_is) for k in range(len(PARTS)))))
     own = F.trim(F.concat_ws(" ", "given_name", F.array_join("additional_names", " "), "family_name"))
-    rows = raw.select(
-        "idx", normalize_uid(F.col("uid")).alias("n_uid"), normalize_name(F.when(own != "", own).otherwise(F.col("formatted_name"))).alias("n_name"), normalize_name(F.col("family_name")).alias("n_family"),
+
+    def typed(values: Column, items: str) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            types = F.array_sort(F.transform(x["types"], lambda t: F.lower(F.trim(t))))
+            return F.to_json(F.struct(F.get(values, i).alias("v"), types.alias("t"), F.coalesce(x["preference"].cast("string"), F.lit("")).alias("p"), sorted_parameters(x["parameters"]).alias("o")))
+
+        return F.array_sort(F.transform(items, one))
+
+    vendor = F.array_sort(F.transform("_v", lambda p: F.to_json(F.struct(F.coalesce(p["group"], F.lit("")).alias("g"), p["name"].alias("n"), p["value"].alias("v"), sorted_parameters(p["parameters"]).alias("o")))))
+    phones = F.transform("_p", lambda x: normalize_phone(x, as_is))
+    n_uid = normalize_uid(F.col("uid"))
+    signature = F.to_json(F.struct(
+        plain("_s").alias("texts"), *(plain(f"_l{k}").alias(c) for k, c in enumerate(LISTS)), typed(plain("_e"), "emails").alias("emails"), typed(phones, "phones").alias("phones"), typed(address, "addresses").alias("addresses"), typed(plain("_u"), "urls").alias("urls"),
+        F.array_sort(plain("_c")).alias("categories"), F.array_sort(plain("_n")).alias("notes"), *(F.trim(text(c)).alias(c) for c in ("birthday", "anniversary", "geo", "timezone")), n_uid.alias("uid"), vendor.alias("vendor"),
+    ))
+    return raw.select(
+        "idx", n_uid.alias("n_uid"), normalize_name(F.when(own != "", own).otherwise(F.col("formatted_name"))).alias("n_name"), normalize_name(F.col("family_name")).alias("n_family"),
         unique("_e", normalize_email).alias("n_emails"), unique("_p", normalize_phone).alias("n_phones"), unique("_w", normalize_phone).alias("work_phones"),
-        F.array_distinct(address).alias("n_addresses"), normalize_text(F.col("organization")).alias("n_organization"), F.trim(F.coalesce("birthday", F.lit(""))).alias("n_birthday"),
-        F.array_sort(F.transform("_n", lambda x: normalize_text(x, as_is))).alias("n_notes"), normalize_text(F.col("title")).alias("n_title"), normalize_text(F.col("formatted_name")).alias("n_formatted"),
+        F.array_distinct(address).alias("n_addresses"), normalize_text(F.get("_s", F.lit(TEXTS.index("organization"))), as_is).alias("n_organization"), F.trim(text("birthday")).alias("n_birthday"), F.sha2(signature, 256).alias("signature"),
     )
-    signature = F.to_json(F.struct("n_uid", "n_formatted", "n_name", F.array_sort("n_emails").alias("e"), F.array_sort("n_phones").alias("p"), F.array_sort("n_addresses").alias("a"), "n_organization", "n_birthday", "n_notes", "n_title"))
-    return rows.withColumn("signature", F.sha2(signature, 256))
 
 
 def blocking_keys(rows: DataFrame) -> DataFrame:
@@ -68,17 +99,25 @@ def _ranked(values: Column, rank: int) -> Column:
 
 
 def pair_seeds(keys: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b with the rank of their first index, skipped buckets)."""
+    """(pairs a < b with the rank of their first index, diagnostics: code, rank, key, n).
+
+    Skipped buckets are DUPLICATE_BUCKET_TOO_LARGE rows. With a cap on pairs,
+    those of the first indexes and places stay, and one
+    DUPLICATE_CANDIDATE_LIMIT_REACHED row has how many there were.
+    """
     strong = F.get(F.array(*(F.lit(s) for _, s in INDEXES)), "rank")
     most = F.when(strong, limits.strong_bucket).otherwise(limits.weak_bucket)
     counts = keys.groupBy("rank", "key").agg(F.count_distinct("idx").alias("n"), F.min(F.struct("idx", "position")).alias("seen"))
-    skipped = counts.where(F.col("n") > most).select("rank", "key", "n", F.lit("DUPLICATE_BUCKET_TOO_LARGE").alias("code"))
+    skipped = counts.where(F.col("n") > most).select(F.lit("DUPLICATE_BUCKET_TOO_LARGE").alias("code"), "rank", "key", "n")
     usable = keys.select("idx", "rank", "key").distinct().join(counts.where((F.col("n") > 1) & (F.col("n") <= most)).select("rank", "key", "seen"), ["rank", "key"])
     # buckets are bounded by the limits, so this join is too
     a, b = usable.select("rank", "key", "seen", F.col("idx").alias("a")), usable.select("rank", "key", F.col("idx").alias("b"))
     found = a.join(b, ["rank", "key"]).where("a < b").groupBy("a", "b").agg(F.min(F.struct("rank", "seen")).alias("first"))
+    if limits.candidate_pairs is None:
+        return found.select("a", "b", F.col("first.rank").alias("rank")), skipped
     few = found.select("a", "b", "first").orderBy("first.rank", "first.seen", "a", "b").limit(limits.candidate_pairs)
-    return few.select("a", "b", F.col("first.rank").alias("rank")), skipped
+    over = found.agg(F.count("*").alias("n")).where(F.col("n") > limits.candidate_pairs).select(F.lit("DUPLICATE_CANDIDATE_LIMIT_REACHED").alias("code"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("key"), "n")
+    return few.select("a", "b", F.col("first.rank").alias("rank")), skipped.unionByName(over)
 
 
 def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -119,31 +158,45 @@ def rank_of(confidence: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, RANKS)), confidence).cast("int") - 1
 
 
-def grouped(pairs: DataFrame, most: int = LIMITS.group_members) -> DataFrame:
-    """(idx, group): components of the pairs; those over the cap are built pair by pair, the best first, as far as it allows."""
+def grouped(pairs: DataFrame, most: int = LIMITS.group_members) -> tuple[DataFrame, DataFrame]:
+    """((idx, group): components of the pairs, diagnostics: code, group, n).
+
+    Components over the cap are built pair by pair, the best first, as far as it
+    allows, and have a DUPLICATE_GROUP_LIMIT_REACHED row. A component's pairs
+    pass through a task one by one; it keeps its members only.
+    """
     whole = cut(connected_components(pairs.select("a", "b")))
-    sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
-    small = whole.join(sizes.where(F.col("n") <= most), "component").select(F.col("node").alias("idx"), F.col("component").alias("group"))
-    large = sizes.where(F.col("n") > most).select("component")
-    edges = pairs.join(whole.select(F.col("node").alias("a"), "component"), "a").join(large, "component").select("component", "a", "b", "score", rank_of(F.col("confidence")).alias("rank"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "score", "a", "b"], ascending=[False, False, True, True])
-        root: dict[int, int] = {}
-        members: dict[int, list[int]] = {}
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            p, q = root.setdefault(a, a), root.setdefault(b, b)
-            left, right = members.setdefault(p, [a]), members.setdefault(q, [b])
-            if p != q and len(left) + len(right) <= most:
-                for m in right:
-                    root[m] = p
-                left += right
-                del members[q]
-        kept = [(m, min(own)) for own in members.values() if len(own) > 1 for m in own]
-        return pd.DataFrame(kept, columns=["idx", "group"]).astype("int64")
-
-    # one component's pairs are a task; the cap on candidate pairs bounds them
-    return small.unionByName(edges.groupBy("component").applyInPandas(greedy, "idx long, group long"))
+    sizes = cut(whole.groupBy("component").agg(F.count("*").alias("n")))
+    small = whole.join(sizes.where(F.col("n") <= most).select("component"), "component").select(F.col("node").alias("idx"), F.col("component").alias("group"))
+    large = sizes.where(F.col("n") > most)
+    edges = pairs.join(whole.select(F.col("node").alias("a"), "component"), "a").join(large.select("component"), "component").select("component", rank_of(F.col("confidence")).alias("rank"), "score", "a", "b")
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, root, members = None, {}, {}
+
+        def kept() -> pa.RecordBatch:
+            rows = [(m, min(own)) for own in members.values() if len(own) > 1 for m in own]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["idx", "group"])
+
+        for batch in batches:
+            for component, a, b in zip(*(batch.column(c).to_pylist() for c in ("component", "a", "b")), strict=True):
+                if component != last:
+                    if members:
+                        yield kept()
+                    last, root, members = component, {}, {}
+                p, q = root.setdefault(a, a), root.setdefault(b, b)
+                left, right = members.setdefault(p, [a]), members.setdefault(q, [b])
+                if p != q and len(left) + len(right) <= most:
+                    for m in right:
+                        root[m] = p
+                    left += right
+                    del members[q]
+        if members:
+            yield kept()
+
+    ordered = edges.repartition("component").sortWithinPartitions("component", F.desc("rank"), F.desc("score"), "a", "b")
+    found = small.unionByName(ordered.mapInArrow(greedy, "idx long, group long"))
+    return found, large.select(F.lit("DUPLICATE_GROUP_LIMIT_REACHED").alias("code"), F.col("component").alias("group"), "n")
 
 
 def groups_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -159,9 +212,46 @@ def groups_of(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def find_duplicates(contacts: DataFrame, limits: Limits = LIMITS) -> Duplicates:
     rows = cut(prepared(contacts))
-    seeds, skipped = pair_seeds(blocking_keys(rows), limits)
+    keys = blocking_keys(rows)
+    seeds, found = pair_seeds(keys, limits)
+    seeds = cut(seeds)
     pairs = cut(scored(seeds, rows))
-    return Duplicates(pairs, groups_of(pairs, grouped(pairs, limits.group_members)), skipped)
+    members, over = grouped(pairs, limits.group_members)
+    groups = groups_of(pairs, cut(members))
+    skipped = cut(found)
+    return Duplicates(pairs, groups, metrics(rows, seeds, pairs, groups, skipped), skipped.select("code", "n").unionByName(over.select("code", "n")))
+
+
+def metrics(rows: DataFrame, seeds: DataFrame, pairs: DataFrame, groups: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row of counts: contacts, candidate pairs, scored pairs, groups by confidence, members, exact copies, skipped buckets."""
+    by = [F.count_if(F.col("confidence") == c).alias(f"{c}_groups") for c in reversed(RANKS)]
+    size = F.size("members")
+    of_groups = groups.agg(F.count("*").alias("groups"), *by, F.count_if("exact").alias("exact_groups"), F.coalesce(F.sum(size), F.lit(0)).alias("members"), F.coalesce(F.sum(F.when(F.col("exact"), size - 1).otherwise(0)), F.lit(0)).alias("exact_copies"))
+    strong = F.get(F.array(*(F.lit(s) for _, s in INDEXES)), "rank")
+    large = skipped.where("code = 'DUPLICATE_BUCKET_TOO_LARGE'").agg(F.count_if(strong).alias("strong_buckets_skipped"), F.count_if(~strong).alias("weak_buckets_skipped"))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    # rows of one line each
+    return count(rows, "contacts").crossJoin(count(seeds, "candidate_pairs")).crossJoin(count(pairs, "scored_pairs")).crossJoin(of_groups).crossJoin(large)
+
+
+def confidence_histogram(groups: DataFrame) -> DataFrame:
+    """(confidence, groups, members), also for those that have none, the surest first."""
+    spark = groups.sparkSession
+    every = spark.createDataFrame([(r, k) for k, r in enumerate(reversed(RANKS))], "confidence string, place int")
+    found = groups.groupBy("confidence").agg(F.count("*").alias("groups"), F.sum(F.size("members")).alias("members"))
+    return every.join(found, "confidence", "left").select("place", "confidence", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("members", F.lit(0)).alias("members"))
+
+
+def filter_groups(groups: DataFrame, confidence: str | None = None, exact: bool | None = None) -> DataFrame:
+    """Groups of a confidence, and exact or other ones."""
+    if confidence is not None:
+        groups = groups.where(F.col("confidence") == confidence)
+    return groups if exact is None else groups.where(F.col("exact") == exact)
+
+
+def group_order() -> list[Column]:
+    """Groups by confidence, the surest first, then the larger, then by their first member."""
+    return [F.desc(rank_of(F.col("confidence"))), F.desc(F.size("members")), F.get("members", F.lit(0))]
 
 
 def exact_copies(groups: DataFrame) -> DataFrame:

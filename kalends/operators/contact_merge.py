@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import as_is, nfkc_each, normalize_email, normalize_name, normalize_phone, normalize_text
+from ..sources.properties import vendor_properties
 from .contact_duplicates import richness
 
 #: Fields with one value: fixed by the tool.
@@ -65,7 +66,7 @@ def apply(contacts: DataFrame, groups: DataFrame, selections: DataFrame | None =
     merged = rows.groupBy("group").agg(
         F.concat(F.lit("merged:"), F.array_join(F.array_sort(F.collect_list("id")), ",")).alias("id"), F.lit("4.0").alias("version"), *(single(f) for f in FIELDS),
         *(longest(c).alias(c) for c in ("additional_names", "honorific_prefixes", "honorific_suffixes", "organization_units")),
-        *(F.flatten(listed(c)).alias(c) for c in ("emails", "phones", "addresses", "urls")), F.array_distinct(F.flatten(listed("categories"))).alias("categories"),
+        *(F.flatten(listed(c)).alias(c) for c in ("emails", "phones", "addresses", "urls")), vendor_properties(F.flatten(listed("raw_properties"))).alias("raw_properties"), F.array_distinct(F.flatten(listed("categories"))).alias("categories"),
         F.when((F.size(every) <= 1) | F.lit(notes == "combine"), every).otherwise(primary_notes).alias("notes"), F.bool_or(F.col("photo").isNotNull() | F.col("logo").isNotNull()).alias("media_removed"), F.first("primary").alias("primary"),
     )
     united = merged
@@ -75,14 +76,17 @@ def apply(contacts: DataFrame, groups: DataFrame, selections: DataFrame | None =
 
 
 def unite(values: Column, raw: Column, key) -> Column:
-    """The first struct of each non-empty key with the types of all; a preference stays if there is no other. raw: the values in NFKC."""
+    """The first struct of each non-empty key with the types and parameters of all; a preference stays if there is no other. raw: the values in NFKC."""
     keyed = F.filter(F.transform(values, lambda x, i: F.struct(key(F.get(raw, i), as_is).alias("k"), x.alias("v"))), lambda x: x["k"] != "")
 
     def one(k: Column) -> Column:
         same = F.filter(keyed, lambda x: x["k"] == k)
         prefs = F.array_distinct(F.filter(F.transform(same, lambda x: x["v"]["preference"]), lambda p: p.isNotNull()))
         types = F.array_distinct(F.flatten(F.transform(same, lambda x: x["v"]["types"])))
-        return F.get(same, F.lit(0))["v"].withField("types", types).withField("preference", F.when(F.size(prefs) == 1, F.get(prefs, F.lit(0))))
+        named = F.flatten(F.transform(same, lambda x: F.map_entries(F.coalesce(x["v"]["parameters"], F.expr("cast(map() as map<string,array<string>>)")))))
+        names = F.array_distinct(F.transform(named, lambda e: e["key"]))
+        joined = F.map_from_arrays(names, F.transform(names, lambda n: F.array_distinct(F.flatten(F.transform(F.filter(named, lambda e: e["key"] == n), lambda e: e["value"])))))
+        return F.get(same, F.lit(0))["v"].withField("types", types).withField("parameters", joined).withField("preference", F.when(F.size(prefs) == 1, F.get(prefs, F.lit(0))))
 
     return F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), one)
 

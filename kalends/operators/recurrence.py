@@ -10,13 +10,15 @@ the rule's before an addition's.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
+from ..functions.time import is_supported_zone
+from .search import running_total
 
 #: Rule parts that are evaluated: fixed values of the format.
 PARTS = ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYSECOND", "BYMINUTE", "BYHOUR", "BYDAY", "BYMONTHDAY", "BYYEARDAY", "BYWEEKNO", "BYMONTH", "BYSETPOS", "WKST"]
@@ -29,6 +31,29 @@ def rule_map(rrule: Column) -> Column:
     return F.str_to_map(F.upper(F.regexp_replace(rrule, r"^RRULE:|\s", "")), F.lit(";"), F.lit("="))
 
 
+#: What a part's values must be: lists of whole numbers between bounds, of weekdays, one number, or one word.
+NUMBERED = {"BYSECOND": (0, 60), "BYMINUTE": (0, 59), "BYHOUR": (0, 23), "BYMONTHDAY": (-31, 31), "BYYEARDAY": (-366, 366), "BYWEEKNO": (-53, 53), "BYMONTH": (1, 12), "BYSETPOS": (-366, 366)}
+DAYS = r"(?:MO|TU|WE|TH|FR|SA|SU)"
+PATTERNS = {"INTERVAL": r"0*[1-9]\d{0,8}", "COUNT": r"0*[1-9]\d{0,8}", "UNTIL": r"\d{8}(?:T\d{6}Z?)?", "WKST": DAYS, "BYDAY": rf"(?:[+-]?\d{{1,2}})?{DAYS}(?:,(?:[+-]?\d{{1,2}})?{DAYS})*"}
+
+
+def _within(low: int, high: int) -> Callable[[Column], Column]:
+    """Whether a text is a whole number between two bounds, which is not 0 if it may be negative."""
+    return lambda v: F.coalesce(v.try_cast("int").between(low, high) & ((v.try_cast("int") != 0) | F.lit(low >= 0)), F.lit(False))
+
+
+def rule_code(rrule: Column) -> Column:
+    """INVALID_RRULE for a rule that can't be read, UNSUPPORTED_RRULE_PART for one with other parts, null else."""
+    m = rule_map(rrule)
+    fine = F.coalesce(m["FREQ"].isin(list(PERIODS)), F.lit(False))
+    for name, pattern in PATTERNS.items():
+        fine = fine & F.coalesce(m[name].rlike(f"^(?:{pattern})$"), ~F.map_contains_key(m, F.lit(name)))
+    for name, (low, high) in NUMBERED.items():
+        fine = fine & F.coalesce(F.forall(F.split(m[name], ","), _within(low, high)), ~F.map_contains_key(m, F.lit(name)))
+    other = F.size(unsupported_parts(rrule)) > 0
+    return F.when(F.coalesce(rrule, F.lit("")) == "", None).when(other, F.lit("UNSUPPORTED_RRULE_PART")).when(~fine, F.lit("INVALID_RRULE"))
+
+
 def unsupported_parts(rrule: Column) -> Column:
     return F.array_except(F.filter(F.map_keys(rule_map(rrule)), lambda k: k != ""), F.array(*map(F.lit, PARTS)))
 
@@ -55,19 +80,27 @@ def is_simple(rrule: Column) -> Column:
     return m["FREQ"].isin("DAILY", "WEEKLY") & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST"])))) == 0)
 
 
-def until_of(m: Column) -> Column:
-    """UNTIL on the wall clock; a date is its last second."""
+def until_of(m: Column, tzid: Column | None = None) -> Column:
+    """UNTIL on the series' wall clock; a date is its last second, and an instant is shown in the series' zone if it has one."""
     u = F.regexp_replace(m["UNTIL"], "Z$", "")
     text = F.when(F.length(u) == 8, F.concat(u, F.lit("T235959"))).otherwise(u)
-    return F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
+    wall = F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss"))
+    if tzid is not None:
+        known = is_supported_zone(tzid)
+        wall = F.when(m["UNTIL"].endswith("Z") & known, F.from_utc_timestamp(wall, F.when(known, tzid).otherwise("UTC"))).otherwise(wall)
+    return wall.cast("timestamp_ntz")
+
+
+def zone_of(series: DataFrame) -> Column:
+    return F.col("tzid") if "tzid" in series.columns else F.lit(None).cast("string")
 
 
 def expand_simple(series: DataFrame, start: str, end: str) -> DataFrame:
     """EXPANDED rows of simple rules in [start 00:00:00, end 23:59:59]; the sequence begins at the first step inside."""
     m = rule_map(F.col("rrule"))
-    step = F.when(m["FREQ"] == "DAILY", 1).otherwise(7) * F.greatest(F.lit(1), F.coalesce(m["INTERVAL"].cast("int"), F.lit(1)))
+    step = F.when(m["FREQ"] == "DAILY", 1).otherwise(7) * F.greatest(F.lit(1), F.coalesce(m["INTERVAL"].try_cast("int"), F.lit(1)))
     lo, hi = F.lit(f"{start} 00:00:00").cast("timestamp_ntz"), F.lit(f"{end} 23:59:59").cast("timestamp_ntz")
-    rows = series.select("series_id", "dtstart", step.alias("step"), m["COUNT"].cast("long").alias("n"), until_of(m).alias("until"))
+    rows = series.select("series_id", "dtstart", step.alias("step"), m["COUNT"].try_cast("long").alias("n"), until_of(m, zone_of(series)).alias("until"))
     skip = F.greatest(F.lit(0), F.ceil((F.unix_seconds(lo.cast("timestamp")) - F.unix_seconds(F.col("dtstart").cast("timestamp"))) / (86_400 * F.col("step"))))
     last = F.least(hi, F.coalesce("until", hi))
     steps = F.floor((F.unix_seconds(last.cast("timestamp")) - F.unix_seconds(F.col("dtstart").cast("timestamp"))) / (86_400 * F.col("step")))
@@ -88,46 +121,58 @@ def expand_any(series: DataFrame, start: str, end: str, limit: int = LIMITS.seri
         for batch in batches:
             ids, starts = [], []
             for series, rule, first in zip(batch["series_id"], batch["rrule"], batch["dtstart"], strict=True):
-                text = ";".join(p.removesuffix("Z") if p.upper().startswith("UNTIL=") else p for p in rule.upper().removeprefix("RRULE:").split(";"))
-                text = ";".join(p + "T235959" if p.startswith("UNTIL=") and len(p) == 14 else p for p in text.split(";"))
-                try:
-                    found = rrulestr(text, dtstart=first.to_pydatetime()).xafter(lo, inc=True)
-                    for n, at in enumerate(found):
-                        if at > hi or n > limit:
-                            break
-                        ids.append(series)
-                        starts.append(at)
-                except ValueError:
-                    continue
+                found = rrulestr(rule, dtstart=first.to_pydatetime()).xafter(lo, inc=True)
+                for n, at in enumerate(found):
+                    if at > hi or n > limit:
+                        break
+                    ids.append(series)
+                    starts.append(at)
             yield pd.DataFrame({"series_id": ids, "start": pd.to_datetime(pd.Series(starts, dtype="datetime64[ns]"))})
 
-    return series.select("series_id", "rrule", "dtstart").mapInPandas(run, EXPANDED)
-
+    m = rule_map(F.col("rrule"))
+    # UNTIL goes on the wall clock before, as the rule's start is
+    parts = F.filter(F.map_entries(m), lambda e: ~e["key"].isin("UNTIL", ""))
+    until = F.concat(F.lit("UNTIL="), F.date_format(until_of(m, zone_of(series)).cast("timestamp"), "yyyyMMdd'T'HHmmss"))
+    rule = F.array_join(F.concat(F.transform(parts, lambda e: F.concat(e["key"], F.lit("="), e["value"])), F.array_compact(F.array(until))), ";")
+    return series.select("series_id", rule.alias("rrule"), "dtstart").mapInPandas(run, EXPANDED)
 
-def expand_rules(series: DataFrame, start: str, end: str, limit: int = LIMITS.series_occurrences) -> DataFrame:
-    """Occurrence starts of (series_id, dtstart TIMESTAMP_NTZ, rrule) rows in a range of days.
 
-    Rules with unsupported parts, and those that could have more than four
-    times the limit, have none.
-    """
+def days_of(start: str, end: str) -> int:
     days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1
     if not 0 < days <= LIMITS.range_days:
         raise ValueError(f"a range has 1 to {LIMITS.range_days} days, its end not before its start")
-    own = series.where(F.coalesce("rrule", F.lit("")) != "").where(F.size(unsupported_parts(F.col("rrule"))) == 0)
-    own = own.where(work_estimate(F.col("rrule"), F.lit(days), F.lit(0)) <= 4 * limit)
+    return days
+
+
+def expansion_codes(series: DataFrame, start: str, end: str, limit: int = LIMITS.series_occurrences) -> DataFrame:
+    """(series_id, code) of the rules that `expand_rules` doesn't expand: rule_code, or RECURRENCE_LIMIT_REACHED."""
+    over = work_estimate(F.col("rrule"), F.lit(days_of(start, end)), F.lit(0)) > 4 * limit
+    code = F.coalesce(rule_code(F.col("rrule")), F.when((F.coalesce("rrule", F.lit("")) != "") & over, F.lit("RECURRENCE_LIMIT_REACHED")))
+    return series.select("series_id", code.alias("code")).where("code is not null")
+
+
+def expand_rules(series: DataFrame, start: str, end: str, limit: int = LIMITS.series_occurrences) -> DataFrame:
+    """Occurrence starts of (series_id, dtstart TIMESTAMP_NTZ, rrule) rows, and tzid if they have one, in a range of days.
+
+    Rules that can't be read, have unsupported parts, or could have more than
+    four times the limit, have none; `expansion_codes` tells of them.
+    """
+    own = series.where(F.coalesce("rrule", F.lit("")) != "").where(rule_code(F.col("rrule")).isNull())
+    own = own.where(work_estimate(F.col("rrule"), F.lit(days_of(start, end)), F.lit(0)) <= 4 * limit)
     return expand_simple(own.where(is_simple(F.col("rrule"))), start, end).unionByName(expand_any(own.where(~is_simple(F.col("rrule"))), start, end, limit))
 
 
-def combine(masters: DataFrame, generated: DataFrame, additions: DataFrame, exclusions: DataFrame, start: str, end: str) -> DataFrame:
-    """(series_id, start, source) of all sources in range, each time once and exclusions left out.
+def combine(masters: DataFrame, generated: DataFrame, additions: DataFrame, exclusions: DataFrame, start: str, end: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """(keys, start, source) of all sources in range, each time once and exclusions left out.
 
-    All inputs have (series_id, start TIMESTAMP_NTZ).
+    All inputs have the keys and start TIMESTAMP_NTZ.
     """
-    tagged = [df.select("series_id", "start", F.lit(k).alias("priority")) for k, df in enumerate((masters, generated, additions))]
+    by = [*keys, "start"]
+    tagged = [df.select(*by, F.lit(k).alias("priority")) for k, df in enumerate((masters, generated, additions))]
     every = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).where(F.to_date("start").between(start, end))
-    once = every.groupBy("series_id", "start").agg(F.min("priority").alias("priority"))
-    kept = once.join(exclusions.select("series_id", "start").distinct(), ["series_id", "start"], "left_anti")
-    return kept.select("series_id", "start", F.get(F.array(F.lit("master"), F.lit("rrule"), F.lit("rdate")), "priority").alias("source"))
+    once = every.groupBy(*by).agg(F.min("priority").alias("priority"))
+    kept = once.join(exclusions.select(*by).distinct(), by, "left_anti")
+    return kept.select(*by, F.get(F.array(F.lit("master"), F.lit("rrule"), F.lit("rdate")), "priority").alias("source"))
 
 
 def override(occurrences: DataFrame, overrides: DataFrame, start: str, end: str) -> DataFrame:
@@ -154,13 +199,13 @@ def this_and_future(occurrences: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def capped(occurrences: DataFrame, per_series: int = LIMITS.series_occurrences, total: int = LIMITS.occurrences) -> DataFrame:
     """Each series' first occurrences, then so many series' in order as fit the total; `truncated` tells of those cut.
 
-    The running total is over one row per series, not over occurrences.
+    The running total is over one row per series, in ranges of series.
     """
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("start", "identity"))
     ranked = occurrences.withColumn("n", rank).where(F.col("n") <= per_series + 1)
     counts = ranked.groupBy("series_id").agg(F.count("*").alias("have"))
-    before = F.coalesce(F.sum(F.least("have", F.lit(per_series))).over(Window.orderBy("series_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = counts.select("series_id", F.greatest(F.lit(0), F.least(F.lit(per_series), F.lit(total) - before)).alias("room"), "have")
+    sums = running_total(counts.withColumn("most", F.least("have", F.lit(per_series))), "series_id", "most", "before")
+    room = sums.select("series_id", F.greatest(F.lit(0), F.least(F.lit(per_series), F.lit(total) - F.col("before"))).alias("room"), "have")
     return ranked.join(room, "series_id").where("n <= room").withColumn("truncated", F.col("have") > F.col("room")).drop("n", "room", "have")
 
 
@@ -171,16 +216,38 @@ def occurrence_end(start: Column, dtstart: Column, dtend: Column, duration: Colu
 
 
 WEEKDAYS = {"MO": "Monday", "TU": "Tuesday", "WE": "Wednesday", "TH": "Thursday", "FR": "Friday", "SA": "Saturday", "SU": "Sunday"}
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+TOLD = ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYDAY", "BYMONTHDAY", "WKST"]
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th; last, 2nd last."""
+    k = F.abs(n)
+    ending = F.when((k % 100).between(11, 13), "th").when(k % 10 == 1, "st").when(k % 10 == 2, "nd").when(k % 10 == 3, "rd").otherwise("th")
+    text = F.concat(k.cast("string"), ending)
+    return F.when(n == -1, "last").when(n < 0, F.concat(text, F.lit(" last"))).otherwise(text)
+
+
+def listed(words: Column, last: str) -> Column:
+    """a; a and b; a, b and c."""
+    n = F.size(words)
+    return F.when(n <= 1, F.array_join(words, "")).otherwise(F.concat(F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(last), F.element_at(words, -1)))
 
 
 def rule_text(rrule: Column) -> Column:
-    """A rule in English, or `Complex recurrence rule`."""
+    """A rule in English, or `Complex recurrence rule`; without a rule, `Additional dates without an RRULE`."""
     m = rule_map(rrule)
-    n = F.coalesce(m["INTERVAL"].cast("int"), F.lit(1))
+    n = F.coalesce(m["INTERVAL"].try_cast("int"), F.lit(1))
     unit = F.lower(F.when(m["FREQ"] == "DAILY", "DAY").otherwise(F.regexp_replace(m["FREQ"], "LY$", "")))
-    every = F.when(n == 1, F.concat(F.lit("every "), unit)).otherwise(F.concat(F.lit("every "), n.cast("string"), F.lit(" "), unit, F.lit("s")))
+    every = F.when(n == 1, F.concat(F.lit("Every "), unit)).otherwise(F.concat(F.lit("Every "), n.cast("string"), F.lit(" "), unit, F.lit("s")))
     names = F.create_map(*(F.lit(x) for kv in WEEKDAYS.items() for x in kv))
-    days = F.concat(F.lit(" on "), F.array_join(F.transform(F.split(m["BYDAY"], ","), lambda d: names[d]), ", "))
-    count = F.concat(F.lit(" for "), m["COUNT"], F.when(m["COUNT"] == "1", " time").otherwise(" times"))
-    simple = (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "BYDAY", "WKST"])))) == 0) & F.coalesce(m["BYDAY"].rlike("^[A-Z]{2}(,[A-Z]{2})*$"), F.lit(True)) & m["FREQ"].isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY")
-    return F.when(simple, F.concat(every, F.coalesce(days, F.lit("")), F.coalesce(count, F.lit("")))).otherwise("Complex recurrence rule")
+    nth = lambda d: F.regexp_extract(d, r"^([+-]?\d+)", 1).try_cast("int")
+    day = lambda d: F.concat(F.when(nth(d).isNotNull(), F.concat(F.lit("the "), ordinal(nth(d)), F.lit(" "))).otherwise(""), names[F.right(d, F.lit(2))])
+    days = F.concat(F.lit(" on "), F.array_join(F.transform(F.split(m["BYDAY"], ","), day), ", "))
+    dates = F.concat(F.lit(" on the "), listed(F.transform(F.split(m["BYMONTHDAY"], ","), lambda d: ordinal(d.try_cast("int"))), " and "))
+    until = until_of(m)
+    month = F.get(F.array(*map(F.lit, MONTHS)), F.month(until) - 1)
+    ends = F.coalesce(F.concat(F.lit(" for "), m["COUNT"], F.when(m["COUNT"] == "1", " time").otherwise(" times")), F.concat(F.lit(" until "), month, F.lit(" "), F.day(until).cast("string"), F.lit(", "), F.year(until).cast("string")), F.lit(""))
+    simple = rule_code(rrule).isNull() & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, TOLD)))) == 0) & m["FREQ"].isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (m["BYDAY"].isNull() | m["BYMONTHDAY"].isNull())
+    text = F.concat(every, F.coalesce(days, F.lit("")), F.coalesce(dates, F.lit("")), ends)
+    return F.when(F.coalesce(rrule, F.lit("")) == "", "Additional dates without an RRULE").when(simple, text).otherwise("Complex recurrence rule")

@@ -61,6 +61,12 @@ def sort_contacts(contacts: DataFrame, by: str = "name") -> DataFrame:
     return contacts.orderBy(F.collate(numeric_key(F.col(column)), "UNICODE_CI_AI"), "source_index", "original_index")
 
 
+def domain(df: DataFrame, column: str) -> DataFrame:
+    """(value, position) of a column's distinct non-empty values, in order: what a filter offers."""
+    values = df.select(F.col(column).alias("value")).where(F.coalesce("value", F.lit("")) != "").distinct()
+    return ranked(values, "value").select("value", (F.col("rank") - 1).alias("position"))
+
+
 def page(df: DataFrame, order: list[Column | str], number: int, size: int = LIMITS.page) -> DataFrame:
     """The number-th page, from 1, in a total order."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -75,12 +81,45 @@ def first_diagnostics(diagnostics: DataFrame, keys: list[str], order: list[str])
     return diagnostics.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def in_ranges(df: DataFrame, by: str) -> DataFrame:
+    """df dealt by ranges of `by`, with `_part`, the range's number; kept, so that the numbers stay."""
+    return cut(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+
+
+def before_ranges(sizes: DataFrame, value: str) -> DataFrame:
+    """(_part, _before): the sum of `value` over the ranges before; sizes has one row per range."""
+    before = F.coalesce(F.sum(value).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select("_part", before.alias("_before"))
+
+
 def ranked(df: DataFrame, by: str) -> DataFrame:
     """df with `rank`, as SQL's rank() over all rows: rows are dealt by ranges of `by`, ranked inside, and each range starts after those before."""
-    parts = df.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
-    parts = cut(parts)
+    parts = in_ranges(df, by)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row per range
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = F.rank().over(Window.partitionBy("_part").orderBy(by))
-    return parts.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("rank", (F.col("_before") + own).cast("long")).drop("_part", "_before")
+    return parts.join(before_ranges(sizes, "_n"), "_part").withColumn("rank", (F.col("_before") + own).cast("long")).drop("_part", "_before")
+
+
+def running_total(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """df with `name`, the sum of `value` over all rows before in the order of `by`, which is unique."""
+    parts = in_ranges(df, by)
+    sizes = parts.groupBy("_part").agg(F.sum(value).alias("_n"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(before_ranges(sizes, "_n"), "_part").withColumn(name, (F.col("_before") + own).cast("long")).drop("_part", "_before")
+
+
+#: Rows of a group that are numbered together.
+CHUNK = 10_000
+
+
+def numbered_within(df: DataFrame, group: str, order: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """df with `name`, each row's place from 0 in its group, by `order`, a unique whole number.
+
+    A group is numbered in chunks of its order, which a window takes one by one,
+    so one that holds most rows doesn't fall to a task.
+    """
+    parts = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    sizes = parts.groupBy(group, "_chunk").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(group, "_chunk").orderBy(order)) - 1
+    return parts.withColumn("_own", own).join(sizes.select(group, "_chunk", before.alias("_before")), [group, "_chunk"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_chunk", "_own", "_before")

@@ -19,8 +19,9 @@ def stamp(c: str) -> F.Column:
 
 def calendar_events(spark: SparkSession, d: str) -> DataFrame:
     """The events table as calendar events: by event_id % 4 utc, in New York, floating, whole days."""
-    # the table is one small file; its rows are dealt to all cores, as many files' would be
-    e = table(spark, d, "events").repartition(spark.sparkContext.defaultParallelism)
+    e, cores = table(spark, d, "events"), spark.sparkContext.defaultParallelism
+    if e.rdd.getNumPartitions() < cores:  # one small file; its rows are dealt to all cores, as many files' would be
+        e = e.repartition(cores)
     kind = F.col("event_id") % 4
     raw = F.when(kind == 0, F.concat(stamp("ts"), F.lit("Z"))).when(kind == 3, F.date_format("ts", "yyyyMMdd")).otherwise(stamp("ts"))
     later = F.col("ts") + F.expr("interval '1' hour")
@@ -40,6 +41,27 @@ def calendar_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def recurring_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every fifth event as a weekly series of four, its follower as an override of the second occurrence, every other one cancelled.
+
+    A series' times are of one kind, by its master's id as in calendar_events.
+    """
+    e = table(spark, d, "events").select("event_id", "event_type", F.date_trunc("second", "ts").alias("ts"))
+    e = e.withColumn("m", F.col("event_id") - F.col("event_id") % 5).where("event_id % 5 <= 1")
+    first = e.where("event_id % 5 = 0").select("m", F.col("ts").alias("first"))
+    rows = e.join(first, "m", "left").withColumn("kind", F.col("m") % 4)
+    kind = F.col("kind")
+    basic = lambda c: F.when(kind == 0, F.concat(F.date_format(c, "yyyyMMdd'T'HHmmss"), F.lit("Z"))).when(kind == 3, F.date_format(c, "yyyyMMdd")).otherwise(F.date_format(c, "yyyyMMdd'T'HHmmss"))
+    tz, none = F.when(kind == 1, "America/New_York").otherwise(""), F.lit(None).cast(TIME)
+    master = F.col("event_id") % 5 == 0
+    return rows.select(
+        F.col("event_id").alias("idx"), F.concat(F.lit("series-"), "m").alias("uid"), F.col("event_type").alias("title"), F.lit("").alias("location"), F.lit("events.ics").alias("source_file"),
+        typed(basic(F.col("ts")), tz, kind == 3).alias("start_time"), none.alias("end_time"), F.lit("").alias("duration"), F.when(F.col("event_id") % 10 == 1, "CANCELLED").otherwise("CONFIRMED").alias("status"),
+        F.when(master, "FREQ=WEEKLY;COUNT=4").otherwise("").alias("rrule"), F.array().cast(f"array<{TIME}>").alias("rdates"), F.array().cast(f"array<{TIME}>").alias("exdates"),
+        F.when(~master, typed(basic(F.col("first") + F.expr("interval '7' day")), tz, kind == 3)).alias("recurrence_id"), F.lit("").alias("recurrence_range"),
+    )
+
+
 def contacts(spark: SparkSession, d: str) -> DataFrame:
     """The customer table as contacts; mail, phone and names repeat by key so that there are duplicates."""
     c = table(spark, d, "customer")
@@ -60,7 +82,7 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 4 == 0, F.array().cast(f"array<{typed_}>")).otherwise(F.array(one(F.concat(F.lit("User"), k % 1300, F.lit("@Example.com")), "home"))).alias("emails"),
         F.array(one(F.concat(F.lit("+1 (555) 010-"), F.lpad((k % 1100).cast("string"), 4, "0")), "cell")).alias("phones"), F.array(address).alias("addresses"), F.array().cast("array<struct<value:string,types:array<string>,preference:int,parameters:map<string,array<string>>,safe_protocol:boolean>>").alias("urls"),
         F.when(k % 5 == 0, F.concat(F.lit("19"), F.lpad((k % 97).cast("string"), 2, "0"), F.lit("-01-01"))).otherwise("").alias("birthday"), empty.alias("anniversary"), words.alias("categories"), F.when(k % 7 == 0, F.array(F.concat(F.lit("=note "), k))).otherwise(words).alias("notes"),
-        empty.alias("nickname"), empty.alias("gender"), F.when(k % 6 == 0, F.concat(F.lit("uid-"), k % 1200)).otherwise("").alias("uid"), empty.alias("kind"), media.alias("photo"), media.alias("logo"), empty.alias("geo"), empty.alias("timezone"), F.lit("customer.vcf").alias("source_file"),
+        empty.alias("nickname"), empty.alias("gender"), F.when(k % 6 == 0, F.concat(F.lit("uid-"), k % 1200)).otherwise("").alias("uid"), empty.alias("kind"), media.alias("photo"), media.alias("logo"), empty.alias("geo"), empty.alias("timezone"), F.lit("customer.vcf").alias("source_file"), F.array().cast("array<struct<group:string,name:string,value:string,parameters:map<string,array<string>>,raw:string>>").alias("raw_properties"),
     )
 
 

@@ -16,6 +16,12 @@ def line(columns: list[str]) -> Column:
     return F.concat_ws(",", *(cell(F.col(c)) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Part files of lines, each with a header; all quoting is done in the JVM."""
+#: What spreadsheets take UTF-8 by.
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """Part files of lines, each with a header, and with a byte-order mark if wanted; all quoting is done in the JVM."""
+    if bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], BOM + df.columns[0])  # the header is a file's first line
     df.write.options(header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\r\n").csv(path)

@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.text import escape_ics
+from ..functions.text import escape_ics, fold
 from ..sources.ics import UNTITLED
 
+HEAD = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//kalends//EN\r\nCALSCALE:GREGORIAN"
 #: Raw properties that are written back as they were: fixed by the format's tool.
 PRESERVED = ["ORGANIZER", "ATTENDEE", "URL", "GEO"]
 
 
-@F.pandas_udf(StringType())
-def _fold(lines: pd.Series) -> pd.Series:
-    def one(line: str) -> str:
-        raw, out, room = line.encode("utf-8"), [], 75
-        while len(raw) > room:
-            end = room
-            while raw[end] & 0xC0 == 0x80:
-                end -= 1
-            out.append(raw[:end])
-            raw, room = raw[end:], 74  # a continuation's blank counts
-        return b"\r\n ".join([*out, raw]).decode("utf-8")
-
-    return lines.map(lambda x: x if x is None else one(x))
-
-
-def fold(line: Column) -> Column:
-    """Lines of 75 bytes at most; short ones stay in the JVM."""
-    return F.when(F.octet_length(line) <= 75, line).otherwise(_fold(line))
-
-
 def time_line(name: str, t: Column) -> Column:
     zone = F.when(t["kind"] == "date", ";VALUE=DATE").when(t["kind"] == "zoned", F.concat(F.lit(";TZID="), F.when(t["tzid"].rlike("[:;,]"), F.concat(F.lit('"'), t["tzid"], F.lit('"'))).otherwise(t["tzid"]))).otherwise("")
     return F.when(t.isNotNull(), F.concat(F.lit(name), zone, F.lit(":"), t["raw"]))
@@ -56,14 +35,13 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def event_text(events: DataFrame, key: list[str]) -> DataFrame:
     """(key columns, text): an event's folded lines, joined by CRLF."""
-    each = event_lines(events).select(*key, F.posexplode("lines").alias("at", "line")).withColumn("line", fold(F.col("line")))
-    return each.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\r\n").alias("text"))
+    return event_lines(events).select(*key, F.array_join(F.transform("lines", fold), "\r\n").alias("text"))
 
 
 def write_calendar(events: DataFrame, path: str, name: str = "", zones: list[str] | None = None) -> None:
     """One calendar as text parts in order: its head, the events by idx, its end."""
     spark = events.sparkSession
-    top = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//kalends//EN", "CALSCALE:GREGORIAN", *([f"X-WR-CALNAME:{name}"] if name else []), *(zones or [])]
+    top = [HEAD, *([f"X-WR-CALNAME:{name}"] if name else []), *(zones or [])]
     ends = spark.createDataFrame([(-1, "\r\n".join(top)), (2**62, "END:VCALENDAR")], "idx long, text string")
     texts = event_text(events, ["idx"]).select(F.col("idx").cast("long"), "text").unionByName(ends)
     texts.repartitionByRange("idx").sortWithinPartitions("idx").select("text").write.option("lineSep", "\r\n").text(path)

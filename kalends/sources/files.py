@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
+from ..operators.search import ranked
 
 FILES = "source_index int, source_file string, text string"
 
@@ -13,18 +14,22 @@ FILES = "source_index int, source_file string, text string"
 def admit(spark: SparkSession, path: str, extension: str, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
     """(files with FILES columns, rejected with source_file and message): the extension, 1 byte to the size limit.
 
-    Files are numbered by name. Empty files don't appear: Spark doesn't list them.
+    Files are numbered by name; with a limit on files, those after it are
+    rejected, too. Empty files don't appear: Spark doesn't list them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     message = F.when(~F.lower(name).endswith(extension), "The file type isn't supported.").when(F.col("length") > limits.file_bytes, "The file is too large.")
     seen = raw.select(name.alias("source_file"), "path", message.alias("message"), "content")
     text = F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", "")
-    # the numbering window is over admitted names, as many as there are files
-    number = (F.row_number().over(Window.orderBy("source_file", "path")) - 1).cast("int")
-    names = seen.where("message is null").select("path", number.alias("source_index"))
+    names = ranked(seen.where("message is null").select("path", F.concat("source_file", F.lit("\n"), "path").alias("key")), "key")
+    names = names.select("path", (F.col("rank") - 1).cast("int").alias("source_index"))
     files = seen.where("message is null").join(names, "path").select("source_index", "source_file", text.alias("text"))
-    return files, seen.where("message is not null").select("source_file", "message")
+    rejected = seen.where("message is not null").select("source_file", "message")
+    if limits.files is None:
+        return files, rejected
+    over = files.where(F.col("source_index") >= limits.files).select("source_file", F.lit("There are too many files.").alias("message"))
+    return files.where(F.col("source_index") < limits.files), rejected.unionByName(over)
 
 
 def stream(spark: SparkSession, path: str, extension: str) -> DataFrame:

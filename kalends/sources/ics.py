@@ -16,6 +16,7 @@ from ..config import LIMITS, Limits
 from ..functions.bind import let
 from ..functions.text import unescape_text, unfold
 from ..functions.time import TIME, typed, zone_label
+from ..operators.search import running_total
 from .properties import first_value, named, parameter, parse_lines
 
 UNTITLED = "(Untitled event)"
@@ -73,7 +74,7 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
     blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
     # a file's events spread over the cluster, parsing being the costly part; one file may hold most of them
-    blocks = blocks.repartition(files.sparkSession.sparkContext.defaultParallelism, "source_index", "event_index")
+    blocks = blocks.repartition("source_index", "event_index")
     # parsed properties are kept as a column of their own so that each is parsed once
     parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(F.regexp_replace("block", NESTED, "")))).alias("p"))
     p = F.col("p")
@@ -136,11 +137,11 @@ def metadata(whole: DataFrame) -> DataFrame:
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """events with `idx`, their place over all files: a file's base is the count of events before it."""
+    """events with `idx`, their place over all files: a file's base is the count of events before it. A file holds at most Limits.events."""
     counts = events.groupBy("source_index").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("source_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = running_total(counts, "source_index", "n", "base").select("source_index", "base")
     own = F.row_number().over(Window.partitionBy("source_index").orderBy("event_index")) - 1
-    return events.join(counts.select("source_index", before.alias("base")), "source_index").withColumn("idx", F.col("base") + own).drop("base")
+    return events.join(bases, "source_index").withColumn("idx", F.col("base") + own).drop("base")
 
 
 def legacy_blocks(text: Column) -> Column:

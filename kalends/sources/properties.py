@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.bind import let
 
 PROPERTY = "struct<group:string,name:string,value:string,parameters:map<string,array<string>>,raw:string>"
+#: Contact properties that contacts have fields for; others are vendor properties. Fixed values.
+STANDARD = ["VERSION", "FN", "N", "ORG", "TITLE", "ROLE", "EMAIL", "TEL", "ADR", "URL", "BDAY", "ANNIVERSARY", "CATEGORIES", "NOTE", "NICKNAME", "GENDER", "UID", "KIND", "PHOTO", "LOGO", "GEO", "TZ", "PRODID", "REV"]
 #: What is before a line's first colon outside quotes; possessive, so that the matcher doesn't recurse.
 HEAD = r'^((?:"[^"]*+"|[^":]++)*+):'
 #: A comma or semicolon outside quotes.
@@ -64,3 +66,17 @@ def first_value(properties: Column, *names: str) -> Column:
 def parameter(p: Column, name: str) -> Column:
     """A parameter's first value, or empty."""
     return F.coalesce(F.get(p["parameters"][name], F.lit(0)), F.lit(""))
+
+
+def sorted_parameters(p: Column) -> Column:
+    """Parameters as name=values texts by name; transport parameters don't count."""
+    named = F.filter(F.map_entries(F.coalesce(p, F.expr("cast(map() as map<string,array<string>>)"))), lambda e: ~e["key"].isin("CHARSET", "ENCODING"))
+    return F.array_sort(F.transform(named, lambda e: F.concat(e["key"], F.lit("="), F.to_json(F.array_sort(F.transform(e["value"], lambda v: F.lower(F.trim(v))))))))
+
+
+def vendor_properties(properties: Column) -> Column:
+    """The contact properties that no field stands for, each once."""
+    other = F.filter(F.coalesce(properties, F.array().cast(f"array<{PROPERTY}>")), lambda p: ~p["name"].isin(STANDARD))
+    same = lambda p: F.to_json(F.struct(F.coalesce(p["group"], F.lit("")).alias("g"), p["name"].alias("n"), p["value"].alias("v"), sorted_parameters(p["parameters"]).alias("o")))
+    first = lambda found: F.filter(found, lambda p, k: F.array_position(F.transform(found, same), same(p)) == k + 1)
+    return F.when(F.size(other) > 0, let(other, first)).otherwise(other)

@@ -137,7 +137,7 @@ def parse_vcf(files: DataFrame, limits: Limits = LIMITS) -> Contacts:
         F.concat_ws(":", "source_index", "original_index", F.coalesce(F.nullif(uid, F.lit("")), F.when(formatted != UNNAMED, formatted), F.lit("unnamed"))).alias("id"),
         "source_index", "original_index", F.trim(first_value(p, "VERSION")).alias("version"), formatted.alias("formatted_name"), names[1].alias("given_name"), words(raw_names[2]).alias("additional_names"),
         names[0].alias("family_name"), words(raw_names[3]).alias("honorific_prefixes"), words(raw_names[4]).alias("honorific_suffixes"), unescape_text(F.get(org, F.lit(0))).alias("organization"),
-        F.transform(F.slice(org, 2, 100), unescape_text).alias("organization_units"), text("TITLE").alias("title"), text("ROLE").alias("role"),
+        F.transform(F.slice(org, 2, F.greatest(F.size(org) - 1, F.lit(0))), unescape_text).alias("organization_units"), text("TITLE").alias("title"), text("ROLE").alias("role"),
         many("EMAIL", lambda x: F.struct(*typed_struct(x, F.trim(unescape_text(x["value"]))))).alias("emails"), many("TEL", lambda x: F.struct(*typed_struct(x, F.trim(F.regexp_replace(x["value"], "(?i)^tel:", ""))))).alias("phones"),
         many("ADR", address).alias("addresses"), many("URL", url).alias("urls"), first_value(p, "BDAY").alias("birthday"), first_value(p, "ANNIVERSARY").alias("anniversary"),
         F.flatten(F.transform(named(p, "CATEGORIES"), lambda x: words(x["value"]))).alias("categories"), F.transform(named(p, "NOTE"), lambda x: unescape_text(x["value"])).alias("notes"), text("NICKNAME").alias("nickname"),

@@ -103,10 +103,47 @@ def test_duplicate_groups(spark):
 def test_weak_buckets_and_group_caps(spark):
     same_name = contact(spark, [("Pat Doe", "", f"p{i}@x.com", "", "") for i in range(120)])
     found = contact_duplicates.find_duplicates(same_name)
-    assert found.pairs.count() == 0 and {r.code for r in found.skipped.collect()} == {"DUPLICATE_BUCKET_TOO_LARGE"}
+    assert found.pairs.count() == 0 and {r.code for r in found.diagnostics.collect()} == {"DUPLICATE_BUCKET_TOO_LARGE"}
+    assert found.metrics.first().weak_buckets_skipped == 1
     pairs = spark.createDataFrame([(0, i, 100 - i, "certain") for i in range(1, 8)], "a long, b long, score int, confidence string")
-    capped = contact_duplicates.grouped(pairs, most=4).collect()
-    assert sorted(r.idx for r in capped) == [0, 1, 2, 3]
+    capped, over = contact_duplicates.grouped(pairs, most=4)
+    assert sorted(r.idx for r in capped.collect()) == [0, 1, 2, 3]
+    assert [tuple(r) for r in over.collect()] == [("DUPLICATE_GROUP_LIMIT_REACHED", 0, 8)]
+
+
+def test_a_cap_on_pairs_is_reported(spark):
+    from dataclasses import replace
+
+    from kalends.config import LIMITS
+
+    people = contact(spark, [("Pat Doe", "", f"p{i}@x.com", "", "") for i in range(10)])
+    found = contact_duplicates.find_duplicates(people, replace(LIMITS, candidate_pairs=20))
+    assert [tuple(r) for r in found.diagnostics.collect()] == [("DUPLICATE_CANDIDATE_LIMIT_REACHED", 45)]
+    assert found.metrics.first().candidate_pairs == 20
+    assert contact_duplicates.find_duplicates(people).metrics.first().candidate_pairs == 45
+
+
+def test_signature_is_of_all_fields(spark):
+    def card(*lines):
+        return "\n".join(["BEGIN:VCARD", "VERSION:3.0", "FN:Ann Lee", "N:Lee;Ann", "EMAIL;TYPE=home:ann@x.com", *lines, "END:VCARD"])
+
+    others = ["ROLE:Boss", "URL:https://a.b/", "NICKNAME:An", "CATEGORIES:x", "ANNIVERSARY:2000-01-01", "GEO:1;2", "X-A:1", "EMAIL;TYPE=work:ann@x.com", "GENDER:F", "ORG:Acme;Unit", "TZ:UTC", "KIND:group", "NOTE:n"]
+    text = "\n".join([card(), card().replace("Ann", "ANN"), card().replace("Lee;Ann", "Ｌｅｅ;Ann"), *map(card, others)])
+    c = parse_vcf(spark.createDataFrame([(0, "a.vcf", text)], FILES)).contacts.withColumn("idx", F.col("original_index").cast("long"))
+    got = [r.signature for r in contact_duplicates.prepared(c).orderBy("idx").collect()]
+    assert got[0] == got[1] == got[2] and len(set(got[2:])) == len(others) + 1
+
+
+def test_generic_mailboxes(spark):
+    names = ["admin", "contact", "hello", "help", "info", "office", "sales", "support", "team", "webmaster", "enquiries", "mail", "ann"]
+    rows = spark.createDataFrame([(f"{n}@x.com",) for n in names], "e string")
+    assert [r[0] for r in rows.select(T.is_generic_mailbox(F.col("e"))).collect()] == [True] * 10 + [False] * 3
+
+
+def test_escapes_are_read_in_one_pass(spark):
+    rows = [("a\\nb", "a\nb"), ("a\\\\nb", "a\\nb"), ("\\,\\;\\x", ",;\\x"), ("\ue000", "\ue000"), ("\\\\\\,", "\\,"), ("", "")]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    assert all(r.got == r.want for r in df.select("want", T.unescape_text(F.col("raw")).alias("got")).collect())
 
 
 def test_merge_and_resolutions(spark):
