@@ -179,14 +179,14 @@ def override(occurrences: DataFrame, overrides: DataFrame, start: str, end: str)
     """Occurrences with their overrides, (series_id, identity, new_start, cancelled), the first of an identity counting.
 
     A matched override replaces its occurrence, which goes if it moved out of
-    range uncancelled; an unmatched one in range is added, marked mismatch.
+    range uncancelled; an unmatched one is added, marked mismatch, if it is in range.
     """
     first = F.row_number().over(Window.partitionBy("series_id", "identity").orderBy("new_start"))
     own = overrides.withColumn("n", first).where("n = 1").select("series_id", F.col("identity").alias("start"), "new_start", "cancelled")
     both = occurrences.join(own, ["series_id", "start"], "full_outer")
     inside = F.to_date("new_start").between(start, end)
     changed = F.col("new_start").isNotNull()
-    kept = both.where(~changed | F.col("cancelled") | inside)
+    kept = both.where(~changed | inside | (F.col("cancelled") & F.col("source").isNotNull()))
     status = F.when(changed & F.col("cancelled"), "Cancelled").when(changed, "Modified occurrence").when(F.col("source") == "rdate", "RDATE").otherwise("Recurring")
     return kept.select("series_id", F.col("start").alias("identity"), F.coalesce("new_start", "start").alias("start"), F.coalesce("source", F.lit("override")).alias("source"), status.alias("status"), (changed & F.col("source").isNull()).alias("mismatch"))
 

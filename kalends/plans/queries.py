@@ -357,7 +357,11 @@ def contact_metrics(spark, d):
     return m.select("contacts", "candidate_pairs", "weak_buckets_skipped", "strong_buckets_skipped")
 
 
-@query(f"with {_KEYS} select a, b, rank from (select a, b, rank::int as rank, row_number() over (order by rank, seen, at, a, b) as n from (select x.k as a, y.k as b, min(x.rank) as rank, arg_min(s.seen, x.rank) as seen, 0 as at from ok x join ok y on x.rank = y.rank and x.key = y.key and x.k < y.k join (select rank, key, min(k) as seen from ok group by 1, 2) s on s.rank = x.rank and s.key = x.key group by 1, 2)) where n <= 500")
+@query(f"""
+with {_KEYS}, seen as (select rank, key, min(k) as seen from ok group by 1, 2),
+f as (select x.k as a, y.k as b, min(x.rank) as rank, arg_min(seen, x.rank) as seen from ok x join ok y on x.rank = y.rank and x.key = y.key and x.k < y.k join seen on seen.rank = x.rank and seen.key = x.key group by 1, 2)
+select a, b, rank::int as rank from f order by f.rank, seen, a, b limit 500
+""")
 def contact_pairs_capped(spark, d):
     """WIN5: the pairs that a cap leaves, those of the first index and place."""
     from dataclasses import replace
@@ -607,8 +611,8 @@ def legacy_event_blocks(spark, d):
 def _placed(spark, d):
     """Parts as placed records, some of them unsound."""
     k = F.col("p_partkey")
-    start = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k // 50).cast("int")), "yyyy-MM-dd")
-    end = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k // 50 + k % 90).cast("int")), "yyyy-MM-dd")
+    start = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd")
+    end = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 300 + k % 90).cast("int")), "yyyy-MM-dd")
     place = F.get(F.array(*map(F.lit, placements.PLACES)), (k % 5).cast("int"))
     return table(spark, d, "part").select(
         k.cast("string").alias("id"), F.col("p_name").alias("name"), F.when(k % 11 == 0, " ").otherwise("d").alias("description"), F.when(k % 13 == 0, "http://x/y.png").otherwise("/sponsors/a.png").alias("image"),
