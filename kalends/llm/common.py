@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import cut, discard, shared_dir, stored
+from ..session import cut, discard, shared_dir, stored, temporary
 
-__all__ = ["bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored"]
+__all__ = ["bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored", "temporary"]
 
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.

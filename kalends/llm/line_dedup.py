@@ -180,15 +180,15 @@ def linked(rows: DataFrame, table: DataFrame, places: DataFrame, threshold: floa
     return bucket_components(buckets, items, shingles, lambda x, y: jaccard(x, y, threshold) >= threshold)
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `text` less its repeated lines, and two columns, n_lines and n_removed.
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` less its repeated lines, and two columns, `counts`, of its lines and those removed.
 
     Null texts stay null and have no lines; a text all of whose lines go is
     empty; lines without a character but white space stay. A null id orders
     before others. Rows that repeat both id and text count as one document and
     are treated alike; rows that repeat an id alone are told apart by their
-    texts. Long texts are handled whole. No rows give none. Columns named
-    n_lines or n_removed are replaced, others stay.
+    texts. Long texts are handled whole. No rows give none. Columns named as
+    `counts` are replaced, others stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("t", F.xxhash64("text"))
     table = line_table(rows, min_chars)
@@ -205,12 +205,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     own, doc, of, gone = private(docs, "own", "doc", "of", "gone")
     # one row per document, its lines being bounded by its own text
     removed = again.groupBy(F.col("doc_id").alias(doc), F.col("t").alias(of)).agg(F.collect_set("line").alias(gone))
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in counts}]
     keyed = docs.select(*names).withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
     joined = keyed.join(removed, (F.col(own) == F.col(of)) & F.col(id_col).cast("long").eqNullSafe(F.col(doc)), "left")
     text = F.col(text_col).cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
-    counts = [F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
+    numbers = [F.coalesce(breaks + 1, F.lit(0)).cast("long").alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1])]
     columns = [F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept).alias(c) if c.lower() == text_col.lower() else F.col(c) for c in names]
-    return joined.select(*columns, *counts)
+    return joined.select(*columns, *numbers)

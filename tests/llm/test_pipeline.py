@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kalends.llm.near_dup import aligned, windows
 from tests.llm.test_near_dup import edited, prose
@@ -41,3 +43,15 @@ def test_stages_one_after_another(spark, tmp_path):
     assert {r.doc_id for r in seen["packing"][1]} == set(ids["pii"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, whole)) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in seen["packing"][1])
+
+
+def test_columns_that_clash_stay(spark):
+    rows = [(1, "the same line of a text\nanother line here", "en"), (2, "the same line of a text\nmail a.b@c.de now", "en"), (3, None, None), (4, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("own", "_own", "doc", "of", "gone", "n_lines", "N_Removed", "quality", "pii", "base", "spans", "m", "h", "t", "n"):
+        docs = docs.withColumn(name, F.lit(f"{name} stays"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} stays" for c in docs.columns[3:]), name
