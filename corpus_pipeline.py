@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalends.llm.common import private, shared_dir
+from kalends.llm.common import private, temporary
 from kalends.llm.encoder import public
 from kalends.llm.line_dedup import dedup_lines
 from kalends.llm.near_dup import keep_one
@@ -22,10 +20,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rate(docs, out=out).where(F.col(f"{out}.kept")).drop(out)
 
 
+def recounted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, if there is one, of the texts as they are now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with repeated lines taken out of their texts; n_chars follows."""
-    done = dedup_lines(docs).drop("n_lines", "n_removed")
-    return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    n_lines, n_removed = private(docs, "n_lines", "n_removed")
+    return recounted(dedup_lines(docs, counts=(n_lines, n_removed)).drop(n_lines, n_removed))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with personal data replaced by its kind; n_chars follows."""
-    done = redact(docs)
-    return done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return recounted(redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    where = temporary(spark)
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
