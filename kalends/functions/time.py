@@ -121,3 +121,10 @@ def shown(time: Column, mode: str = "original", zone: str = "UTC") -> Column:
     if mode == "utc":
         return F.coalesce(instant_text(time["instant"]), time["value"])
     return F.coalesce(F.date_format(F.from_utc_timestamp(time["instant"], zone), "yyyy-MM-dd'T'HH:mm:ss"), time["value"])
+
+
+def date_shown(instant: Column, mode: str = "iso", zone: str = "UTC") -> Column:
+    """An instant as text: iso, or a medium date with the time of a zone, as in 7 Sept 2026, 09:05."""
+    if mode == "iso":
+        return instant_text(instant)
+    return F.replace(F.date_format(F.from_utc_timestamp(instant, zone), "d MMM yyyy, HH:mm"), F.lit(" Sep "), F.lit(" Sept "))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, trim
+from ..functions.time import identity_key
+from ..session import stored
+from ..sources.ics import numbered, parse_ics
+from .event_duplicates import candidates as duplicate_candidates
 
 #: Methods that make a calendar an invitation, which a merge must not be: fixed values.
 INVITATIONS = ["REQUEST", "REPLY", "CANCEL", "COUNTER", "ADD", "REFRESH", "DECLINECOUNTER"]
@@ -57,3 +63,37 @@ def summary(events: DataFrame, candidates: DataFrame, definitions: DataFrame, di
 def included(events: DataFrame, excluded: DataFrame) -> DataFrame:
     """events without those whose idx is excluded."""
     return events.join(excluded.select("idx").distinct(), "idx", "left_anti")
+
+
+@dataclass(frozen=True)
+class Merge:
+    """What a merge of calendars would be: events with idx, candidates (idx, owner, confidence), one row of metadata, the zone
+    definitions, diagnostics (severity, code, detail, source_file, event_uid) and one row of counts."""
+
+    events: DataFrame
+    candidates: DataFrame
+    metadata: DataFrame
+    definitions: DataFrame
+    diagnostics: DataFrame
+    summary: DataFrame
+
+
+def analyze(files: DataFrame, excluded: DataFrame | None = None) -> Merge:
+    """The merge of FILES rows' calendars; nothing is left out but the events of `excluded`, rows (idx)."""
+    parsed = parse_ics(files)
+    events = stored(numbered(parsed.events))
+    metadata = stored(parsed.metadata)
+    end = F.coalesce(identity_key(F.col("end_time")), F.col("duration"))
+    keyed = events.select("idx", "uid", identity_key(F.col("recurrence_id")).alias("identity"), "title", identity_key(F.col("start_time")).alias("start_key"), end.alias("end_key"), "location")
+    found = stored(duplicate_candidates(keyed))
+    definitions, differing = zone_definitions(metadata)
+    merged = merged_metadata(metadata)
+    none = F.lit("")
+    told = lambda df, code, detail, file=none, uid=none: df.select(F.lit("warning").alias("severity"), code.alias("code"), detail.alias("detail"), file.alias("source_file"), uid.alias("event_uid"))
+    pairs = found.join(events.select("idx", "uid", "source_file"), "idx")
+    own = parsed.diagnostics.select("severity", "code", F.col("message").alias("detail"), "source_file", F.coalesce("event_uid", none).alias("event_uid"))
+    every = own.unionByName(told(pairs, F.when(F.col("confidence") == "certain", "DUPLICATE_UID").otherwise("DUPLICATE_CANDIDATE"), F.col("confidence"), F.col("source_file"), F.col("uid")))
+    every = every.unionByName(told(differing, F.lit("CONFLICTING_VTIMEZONE"), F.col("tzid")))
+    every = every.unionByName(told(merged.select(F.explode("warnings").alias("field")), F.lit("MIXED_CALENDAR_METADATA"), F.col("field")))
+    left = excluded if excluded is not None else events.select("idx").limit(0)
+    return Merge(events, found, merged, definitions, every, summary(events, found, definitions, own, left))

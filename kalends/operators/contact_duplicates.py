@@ -249,6 +249,11 @@ def filter_groups(groups: DataFrame, confidence: str | None = None, exact: bool
     return groups if exact is None else groups.where(F.col("exact") == exact)
 
 
+def pair_order() -> list[Column]:
+    """Scored pairs by confidence, the surest first, then by score, then by place."""
+    return [F.desc(rank_of(F.col("confidence"))), F.desc("score"), F.col("a"), F.col("b")]
+
+
 def group_order() -> list[Column]:
     """Groups by confidence, the surest first, then the larger, then by their first member."""
     return [F.desc(rank_of(F.col("confidence"))), F.desc(F.size("members")), F.get("members", F.lit(0))]

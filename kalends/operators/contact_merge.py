@@ -36,6 +36,17 @@ def plan(contacts: DataFrame, groups: DataFrame) -> DataFrame:
     return first.groupBy("group", "field").agg(choices.alias("choices")).withColumn("conflict", F.size("choices") > 1)
 
 
+def plan_counters(contacts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, contacts, conflicts, repeated_values, vendor_properties, media): what merging a group would bring together."""
+    repeated = F.size("emails") + F.size("phones") + F.size("addresses") + F.size("urls") + F.size("categories")
+    media = F.col("photo").isNotNull().cast("int") + F.col("logo").isNotNull().cast("int")
+    rows = groups.join(contacts, "idx")
+    vendor = F.flatten(F.collect_list("raw_properties"))  # a group has at most Limits.group_members contacts
+    sums = rows.groupBy("group").agg(F.count("*").alias("contacts"), F.sum(repeated).alias("repeated_values"), F.size(vendor_properties(vendor)).cast("long").alias("vendor_properties"), F.sum(media).alias("media"))
+    conflicts = plan(contacts, groups).groupBy("group").agg(F.count_if("conflict").alias("conflicts"))
+    return sums.join(conflicts, "group", "left").select("group", "contacts", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), "repeated_values", "vendor_properties", "media")
+
+
 def apply(contacts: DataFrame, groups: DataFrame, selections: DataFrame | None = None, notes: str = "primary") -> DataFrame:
     """One merged contact per group. selections: (group, field, idx); notes: primary or combine."""
     rows = groups.join(contacts, "idx")

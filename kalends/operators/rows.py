@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +90,19 @@ def comparison(contacts: DataFrame, groups: DataFrame, fields: list[str]) -> Dat
 def messages(diagnostics: DataFrame) -> DataFrame:
     """Distinct diagnostic lines."""
     return diagnostics.select(F.concat_ws(": ", F.nullif(F.col("source_file"), F.lit("")), F.concat(F.upper("severity"), F.lit(" "), F.col("code")), "message").alias("message")).dropDuplicates()
+
+
+def displayed(df: DataFrame, name: str) -> Column:
+    """A column as a list shows it: arrays joined by commas, Yes or No, empty for null."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith("array"):
+        return F.array_join(F.transform(name, lambda x: x.cast("string")), ", ")
+    if kind == "boolean":
+        return F.when(F.col(name), "Yes").when(~F.col(name), "No").otherwise("")
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def label(name: str) -> str:
+    """A column's heading: words apart, the first letter capital."""
+    words = re.sub(r"([a-z])([A-Z])", r"\1 \2", name.replace("_", " "))
+    return words[:1].upper() + words[1:]

@@ -8,7 +8,7 @@ these, so that a UID shared by very many events needs no group in one task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +152,14 @@ def shown(at: Column, kind: Column) -> Column:
     return F.when(kind == "date", F.date_format(t, "yyyy-MM-dd")).when(kind == "utc", instant_text(t)).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def expand_event(events: DataFrame, start: str, end: str, limit: int) -> DataFrame:
+    """Occurrences of events that must have no more than `limit` in all; raises ValueError if they have."""
+    x = expand_events(events, start, end, limits=replace(LIMITS, series_occurrences=limit, occurrences=limit))
+    if not x.diagnostics.where("code = 'RECURRENCE_LIMIT_REACHED'").isEmpty():
+        raise ValueError(f"there are more than {limit} occurrences in this range")
+    return x.occurrences.select("title", F.col("occurrence_start").alias("start"), F.col("occurrence_end").alias("end"), "timezone", "time_kind", "uid", "source_file")
+
+
 def records(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Occurrences with RECORD: an override's own event, or the master's with times on the occurrence."""
     e = events.select("idx", "title", "location", "uid", "source_file", "start_time", "end_time", F.coalesce("duration", F.lit("")).alias("duration"), F.upper(F.coalesce("status", F.lit(""))).alias("event_status"))

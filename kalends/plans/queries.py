@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import time as TM
-from ..operators import calendar_merge, contact_duplicates, contact_merge, event_duplicates, placements, recurrence, rows, search, timezones
+from ..operators import calendar_merge, contact_duplicates, contact_merge, event_duplicates, placements, recurrence, rows, search, timezones, zone_text
 from ..operators import series as recurring
 from ..operators.components import connected_components
 from ..sinks import csv, ics, vcf
-from ..sources.ics import legacy_blocks, parse_ics
+from ..sources.ics import legacy_blocks, parse_ics, recovery
 from ..sources.properties import named
 from ..sources.vcf import parse_vcf
 from .tables import calendar_events, contacts, recurring_events, series, table
@@ -702,6 +702,85 @@ def filter_domains(spark, d):
     return search.domain(calendar_events(spark, d), "timezone").select(F.col("value").alias("zone"), "position")
 
 
+@query(_SCORED + "select a, b, score, confidence from r where confidence is not null order by case confidence when 'certain' then 0 when 'likely' then 1 else 2 end, score desc, a, b limit 50")
+def pair_order(spark, d):
+    """SRT4: the surest pairs, the first page."""
+    r = contact_duplicates.prepared(contacts(spark, d))
+    pairs, _ = contact_duplicates.pair_seeds(contact_duplicates.blocking_keys(r))
+    return contact_duplicates.scored(pairs, r).orderBy(*contact_duplicates.pair_order()).limit(50).select("a", "b", "score", "confidence")
+
+
+@query("""
+with c as (select c_custkey // 50 as g, count(*) as contacts, sum((c_custkey % 4 <> 0)::int + 2) as repeated, count(distinct c_name) as names, count(distinct 'Given' || c_custkey % 83) as given, count(distinct 'Family' || c_custkey % 71) as family, count(distinct c_mktsegment) as org,
+ count(distinct case when c_custkey % 5 = 0 then c_custkey % 97 end) as born, count(distinct case when c_custkey % 6 = 0 then c_custkey % 1200 end) as uids from customer group by 1)
+select g as "group", contacts, ((names > 1)::int + (given > 1)::int + (family > 1)::int + (org > 1)::int + (born > 1)::int + (uids > 1)::int)::bigint as conflicts, repeated::bigint as repeated_values, 0::bigint as vendor_properties, 0::bigint as media from c
+""")
+def merge_counters(spark, d):
+    """AGG13."""
+    return contact_merge.plan_counters(contacts(spark, d), _groups(spark, d))
+
+
+def _zone_files(spark, d):
+    """FILES rows with one start per order: by key in UTC, in Lisbon, floating, in an unknown zone."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey") % 4
+    at = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T013000"))
+    line = F.when(k == 0, F.concat(F.lit("DTSTART:"), at, F.lit("Z"))).when(k == 1, F.concat(F.lit("DTSTART;TZID=Europe/Lisbon:"), at)).when(k == 2, F.concat(F.lit("DTSTART:"), at)).otherwise(F.concat(F.lit("DTSTART;TZID=Nowhere/X:"), at))
+    return o.select(F.col("o_orderkey").cast("int").alias("source_index"), F.lit("o.ics").alias("source_file"), F.concat(F.lit("BEGIN:VEVENT\r\n"), line, F.lit("\r\nEND:VEVENT\r\n")).alias("text"))
+
+
+_AT = "strftime(o_orderdate, '%Y%m%d') || 'T013000'"
+_LISBON = "timezone('Europe/Lisbon', o_orderdate::date::timestamp + interval 90 minute)"
+
+
+@query(f"""
+with o as (select o_orderkey::int as source_index, o_orderkey % 4 as k, {_AT} as raw, timezone('Europe/Lisbon', {_LISBON}) = o_orderdate::date::timestamp + interval 90 minute as shown from orders)
+select source_index, 2 as line, 'DTSTART' as property, raw as value, case k when 2 then 'floating' when 3 then 'unknown' else 'nonexistent' end as kind from o where k = 2 or k = 3 or (k = 1 and not shown)
+""")
+def zone_issues(spark, d):
+    """FN-T8: what inspecting a calendar's text finds, but for repeated hours, whose rules changed over the years."""
+    return zone_text.inspect_zones(_zone_files(spark, d))[1].where("kind <> 'ambiguous'")
+
+
+@query(f"""
+select o_orderkey::int as source_index, 'BEGIN:VEVENT' || chr(13) || chr(10) || case o_orderkey % 4 when 0 then 'DTSTART:' || {_AT} || 'Z' when 1 then 'DTSTART;TZID=Europe/Lisbon:' || {_AT} when 2 then 'DTSTART;TZID=Asia/Tokyo:' || {_AT} else 'DTSTART;TZID=Nowhere/X:' || {_AT} end || chr(13) || chr(10) || 'END:VEVENT' || chr(13) || chr(10) as assigned,
+ 'BEGIN:VEVENT' || chr(13) || chr(10) || case o_orderkey % 4 when 0 then 'DTSTART;TZID=Asia/Tokyo:' || strftime(o_orderdate::date::timestamp + interval 630 minute, '%Y%m%dT%H%M%S') when 2 then 'DTSTART;TZID=Asia/Tokyo:' || strftime(o_orderdate::date::timestamp + interval 630 minute, '%Y%m%dT%H%M%S') else 'DTSTART;TZID=Nowhere/X:' || {_AT} end || chr(13) || chr(10) || 'END:VEVENT' || chr(13) || chr(10) as converted
+from orders where o_orderkey % 4 <> 1
+""")
+def zone_rewrites(spark, d):
+    """FN-T8: floating starts put into a zone, and all starts converted; those in Lisbon are in tests."""
+    f = _zone_files(spark, d).where("source_index % 4 <> 1")
+    return f.select("source_index", zone_text.assign_zone(F.col("text"), "Asia/Tokyo").alias("assigned"), zone_text.convert_zone(F.col("text"), "UTC", "Asia/Tokyo").alias("converted"))
+
+
+@query("""
+select o_orderkey::int as source_index, 'o.ics' as source_file, (case o_orderkey % 4 when 1 then 2 when 2 then 1 else 4 end)::int as line, 'error' as severity, case o_orderkey % 4 when 2 then 'MALFORMED_EVENT' else 'TRUNCATED_COMPONENT' end as code from orders where o_orderkey % 4 <> 0
+""")
+def recovery_scan(spark, d):
+    """SRC8: markers that don't pair up, by line."""
+    k = F.col("o_orderkey") % 4
+    texts = ["BEGIN:VEVENT\r\nEND:VEVENT", "x\r\nBEGIN:VEVENT\r\nBEGIN:VEVENT\r\nEND:VEVENT", "END:VEVENT\r\nBEGIN:VEVENT\r\nEND:VEVENT", "BEGIN:VEVENT\nSUMMARY:x\nEND:VEVENT\nBEGIN:VEVENT\nSUMMARY:y"]
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("source_index"), F.lit("o.ics").alias("source_file"), F.get(F.array(*map(F.lit, texts)), k.cast("int")).alias("text"))
+    return recovery(o)
+
+
+@query("select c_custkey as idx, c_mktsegment as organization, case when c_custkey % 5 = 0 then 'Yes' else 'No' end as listed, strftime(timestamp '2026-09-07 09:05:00' + to_minutes(c_custkey::int), '%Y-%m-%dT%H:%M:%S.000Z') as iso from customer")
+def displays(spark, d):
+    """PRJ13, FN-T14, FN-S14: cells and dates as lists show them."""
+    c = contacts(spark, d).withColumn("listed", F.col("birthday") != "")
+    at = (F.lit("2026-09-07 09:05:00").cast("timestamp") + F.make_dt_interval(mins=F.col("idx").cast("int"))).alias("at")
+    return c.select("idx", rows.displayed(c, "organization").alias("organization"), rows.displayed(c, "listed").alias("listed"), TM.date_shown(at).alias("iso"))
+
+
+@query("""
+select 'events' as what, count(*) as n from events union all select 'sources', count(*) from (select distinct user_id, event_id // 10000 from events)
+""")
+def merge_analysis(spark, d):
+    """TG12: calendars merged from their files; candidates among them are in event_dup_exact_order."""
+    m = calendar_merge.analyze(_calendars(spark, d).withColumn("source_index", F.dense_rank().over(Window.orderBy("source_file")).cast("int")))
+    return m.summary.select(F.explode(F.array(F.struct(F.lit("events").alias("what"), F.col("events").alias("n")), F.struct(F.lit("sources").alias("what"), F.col("sources").alias("n")))).alias("x")).select("x.what", "x.n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -152,3 +152,32 @@ def legacy_blocks(text: Column) -> Column:
 
 
 EVENT_TIME = TIME
+
+
+def recovery(files: DataFrame) -> DataFrame:
+    """(source_index, source_file, line, severity, code) of event markers that don't pair up, lines from 1.
+
+    An event that begins before the one before it ended, or that doesn't end,
+    is TRUNCATED_COMPONENT at its beginning; an end without one MALFORMED_EVENT.
+    """
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.upper(x).alias("mark"))), lambda m: m["mark"].isin("BEGIN:VEVENT", "END:VEVENT"))
+
+    def told(m: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before, after = F.get(m, i - 1)["mark"], F.get(m, i + 1)["mark"]
+            torn = (x["mark"] == "BEGIN:VEVENT") & (F.coalesce(after, F.lit("")) != "END:VEVENT")
+            lone = (x["mark"] == "END:VEVENT") & (F.coalesce(before, F.lit("")) != "BEGIN:VEVENT")
+            return F.struct(x["line"].alias("line"), F.when(torn, "TRUNCATED_COMPONENT").when(lone, "MALFORMED_EVENT").alias("code"))
+
+        return F.filter(F.transform(m, one), lambda x: x["code"].isNotNull())
+
+    return files.select("source_index", "source_file", F.explode(let(marked, told)).alias("x")).select("source_index", "source_file", "x.line", F.lit("error").alias("severity"), "x.code")
+
+
+def block_lines(text: Column) -> Column:
+    """The line, from 1, at which each whole event of a text begins, in order: an event's is that of its ordinal."""
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.upper(x).alias("mark"))), lambda m: m["mark"].isin("BEGIN:VEVENT", "END:VEVENT"))
+    whole = lambda m: F.filter(m, lambda x, i: (x["mark"] == "BEGIN:VEVENT") & (F.get(m, i + 1)["mark"] == "END:VEVENT"))
+    return F.transform(let(marked, whole), lambda x: x["line"])
