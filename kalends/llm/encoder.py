@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import regex
 #: Words kept at most; the store is emptied beyond it, which bounds memory.
 MAX_WORDS = 400_000
 #: Likewise of the pieces that words are made of, which outlast the words.
-MAX_PIECES = 300_000
+MAX_PIECES = 700_000
 #: Words of these characters alone take the quick way; others go through the whole library.
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7fßà-öø-ÿÀ-ÖØ-Þ]*")
 #: What the splits were proven for, as a vocabulary file states it; fixed values.
@@ -50,6 +51,10 @@ def byte_alphabet() -> dict[int, str]:
     return out
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class WordStore:
     """Ids of words, each worked out once; texts are gathered from them."""
 
@@ -60,7 +65,8 @@ class WordStore:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.counts = array("I"), array("q"), array("q")
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        """A word's ids as unsigned 32-bit integers."""
         raise NotImplementedError
 
     def _lookup(self, words: list[str]) -> np.ndarray:
@@ -70,8 +76,8 @@ class WordStore:
                 ids = self.word(word)
                 known[word] = len(self.starts)
                 self.starts.append(len(self.ids))
-                self.counts.append(len(ids))
-                self.ids.extend(ids)
+                self.counts.append(len(ids) // 4)
+                self.ids.frombytes(ids)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def gather(self, parts: pa.ListArray, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +116,7 @@ class Encoder(WordStore):
         self.proven = as_proven and all(t["content"].startswith("<|") for t in spec.get("added_tokens", [])) and not spec.get("truncation") and not spec.get("padding")
         self.alphabet = byte_alphabet()
         self.blank = self.alphabet[32]
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         super().__init__()
 
     def clear(self) -> None:
@@ -118,31 +124,29 @@ class Encoder(WordStore):
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             if piece.isascii() and piece.isprintable():  # of these the blank alone has another character
                 mapped = piece.replace(" ", self.blank)
             else:
                 mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-            got = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
+            got = self.pieces[piece] = packed(t.id for t in self.model.tokenize(mapped))
         return got
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         end = word[-1:] if word[-1:] in (".", ",") else ""
         core = word[:-1] if end else word
         if core.isascii() and (core if self.by_words else core.removeprefix(" ")).isalpha():  # most words: letters, and a mark after them
             own = self._piece(core.lower() if self.by_words else core)
             return own + self._piece(end) if end else own
         if not PLAIN.fullmatch(word):
-            return self.library.encode(word, add_special_tokens=False).ids
+            return packed(self.library.encode(word, add_special_tokens=False).ids)
         if self.by_words:
             parts = WORD_PIECES.findall(word.lower())
         else:
             parts = BYTE_PIECES.findall(word)
-        if len(parts) == 1:
-            return self._piece(parts[0])
-        return [i for p in parts for i in self._piece(p)]
+        return b"".join(map(self._piece, parts))
 
     def encode(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, number of ids of each text)."""

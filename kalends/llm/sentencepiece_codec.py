@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import id_text, slices
-from .encoder import WordStore
+from .encoder import WordStore, packed
 
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
@@ -83,7 +83,7 @@ class Codec(WordStore):
 
     # encoding
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         if self.plain and not word.startswith(MARK):
             word = MARK + word  # words of ordinary texts are kept without their mark
         out: list[int] = []
@@ -94,7 +94,7 @@ class Codec(WordStore):
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown:  # a run of unknown characters is one id
                 out.append(self.unknown)
-        return out
+        return packed(out)
 
     def _parts(self, word: str) -> list[tuple[str, int | None]]:
         """A word's pieces; where two characters stand together in no piece, no piece reaches over, and the word is cut."""
