@@ -3,12 +3,12 @@
 A line is a \\n-separated part of a text, lower-cased and with its white space
 collapsed; lines that are then empty, or under `min_chars` characters, are left
 alone. Equal lines are one node from the start. A node's character shingles
-(of a line shorter than SHINGLE, the line itself) are hashed once; MinHash keeps
-BANDS * ROWS least values, by as many functions for short lines and by one
-permutation's bins for others, and each band of ROWS values is a bucket key. Nodes of a bucket are compared by exact Jaccard
-similarity of their shingle sets until no bucket holds an uncompared pair of
-different components; of each component the first occurrence by document and
-line stays.
+(of a line shorter than SHINGLE, the line itself) are hashed once; one-permutation
+MinHash keeps the least hash of each of BANDS * ROWS bins, an empty bin taking
+that of another, and each band of ROWS bins is a bucket key. Nodes of a bucket
+are compared by exact Jaccard similarity of their shingle sets until no bucket
+holds an uncompared pair of different components; of each component the first
+occurrence by document and line stays.
 
 Nodes are 64-bit hashes of lines: two different lines share one with a chance
 of n * n / 3.7e19 for n lines. The texts are read once for signatures, which
@@ -31,10 +31,7 @@ from .common import BROADCAST_IDS, bucket_components, private, shared_keys, slic
 from .token_files import mix
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, BLOCK = 8, 12, 4, 0.8, 1, 100
-#: Lines of fewer characters have few shingles for their bins; they are hashed by as many functions instead.
-SHORT = 128
-#: The hash functions' odd factors, and by attempt the bin that each empty bin turns to.
-FACTORS = [x | np.uint64(1) for x in mix(np.arange(BANDS * ROWS, dtype=np.uint64), 20)]
+#: By attempt, the bin that each empty bin turns to; each has an order of its own, so that the rows of a band stay independent.
 DONORS = np.random.default_rng(5).permuted(np.tile(np.arange(BANDS * ROWS), (BANDS * ROWS, 1)), axis=1).T
 #: Lines whose signatures a task remembers to have given; the store is emptied beyond it, which bounds memory.
 SEEN = 500_000
@@ -76,26 +73,16 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def signatures(lines: list[str]) -> np.ndarray:
     """Band keys, a row for each line; in blocks whose arrays stay in the processor's cache."""
     out = np.empty((len(lines), BANDS), np.int64)
-    short = np.array([len(x) < SHORT for x in lines], bool)
-    for of, least in ((short, least_of_all), (~short, least_of_bins)):
-        at = np.flatnonzero(of)
-        for k in range(0, len(at), BLOCK):
-            some = at[k : k + BLOCK]
-            values = least(*shingle_hashes([lines[i] for i in some.tolist()]), len(some))
-            key = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64), 6), (len(some), BANDS))
-            for r in range(ROWS):
-                key = mix(key ^ values[:, r::ROWS], 7)
-            out[some] = key.view(np.int64)
+    for k in range(0, len(lines), BLOCK):
+        some = lines[k : k + BLOCK]
+        values = least_of_bins(*shingle_hashes(some), len(some))
+        key = np.broadcast_to(mix(np.arange(BANDS, dtype=np.uint64), 6), (len(some), BANDS))
+        for r in range(ROWS):
+            key = mix(key ^ values[:, r::ROWS], 7)
+        out[k : k + BLOCK] = key.view(np.int64)
     return out
 
 
-def least_of_all(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """MinHash of BANDS * ROWS hash functions, for lines with few shingles: a row for each of n lines."""
-    starts = np.searchsorted(owner, np.arange(n))
-    with np.errstate(over="ignore"):
-        return np.stack([np.minimum.reduceat(h * factor, starts) for factor in FACTORS], axis=1)
-
-
 def least_of_bins(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash: the least hash of each bin; an empty bin takes that of the first full one among its own donors."""
     bins = BANDS * ROWS

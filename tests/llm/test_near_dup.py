@@ -153,3 +153,30 @@ def test_texts_of_a_repeated_id_are_told_apart(spark, texts):
     rows = [(1, one), (1, other), (1, one), (2, near_one), (3, near_other), (4, prose(rng, 80))]
     assert sorted((r.doc_id, r.text) for r in keep_one(texts(rows)).collect()) == sorted({(1, one), (1, other), rows[5]})
     assert {(r.doc_id, r.class_id, r.class_size) for r in near_duplicates(texts(rows)).collect()} == {(1, 1, 5), (2, 1, 5), (3, 1, 5), (4, 4, 1)}
+
+
+@pytest.mark.parametrize("length", [30, 100, 130, 400])
+def test_lines_at_the_threshold_share_a_band(length):
+    rng = random.Random(length)
+    pairs = []
+    while len(pairs) < 300:
+        line = "".join(rng.choice("abcdefgh ") for _ in range(length))
+        k = rng.randrange(1, max(2, length // 8))
+        other = line[:-k] if rng.random() < 0.5 else "".join(rng.choice("xyz") for _ in range(k)) + line[k:]
+        if 0.8 <= jaccard(shingles(line), shingles(other)) < 0.9:
+            pairs.append((line, other))
+    left, right = (signatures([p[side] for p in pairs]) for side in (0, 1))
+    assert (left == right).any(axis=1).mean() >= 0.98
+
+
+@pytest.mark.parametrize("size", [20, 60, 300])
+def test_texts_at_the_threshold_share_a_sketch(size):
+    rng = random.Random(size)
+    found = []
+    while len(found) < 150:
+        words = prose(rng, size).split()
+        k = max(1, rng.randrange(max(2, size // 9)))
+        x, y = windows(" ".join(words)), windows(" ".join(words[k:] if rng.random() < 0.5 else words[: size - k] + prose(rng, k // 2 + 1).split()))
+        if 0.8 <= aligned(x, y) < 0.92:
+            found.append(bool(set(sketches(x).tolist()) & set(sketches(y).tolist())))
+    assert np.mean(found) >= 0.98
