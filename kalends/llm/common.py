@@ -76,6 +76,8 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 MEMBERS, SIZE = 512, 4_000_000
 #: Leaders of a larger bucket in the first round; they grow by GROWTH from round to round.
 LEADERS, GROWTH = 16, 4
+#: Prepared leaders that a task keeps at most.
+READY = 1000
 
 
 def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
@@ -154,13 +156,17 @@ def _in_rounds(own: DataFrame, items: DataFrame, named: DataFrame, prepare: Call
     """The rounds of `bucket_components` over its larger buckets, rows (key, id), from the components so far."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
-        for batch in slices(batches, "vb"):
+        last, y, ready = None, None, {}
+        for batch in slices(batches, "va"):
             keep = []
-            for a, va, vb in zip(*(batch.column(c).to_pylist() for c in ("a", "va", "vb")), strict=True):
-                if a != last:  # pairs of one leader mostly come together
-                    last, x = a, prepare(va)
-                keep.append(alike(x, prepare(vb)))
+            for a, b, va, vb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "va", "vb")), strict=True):
+                if b != last:  # the pairs of one member come together; leaders are few, and kept
+                    last, y = b, prepare(vb)
+                if a not in ready:
+                    if len(ready) >= READY:
+                        ready.clear()
+                    ready[a] = prepare(va)
+                keep.append(alike(ready[a], y))
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     leaders, last = LEADERS, None
@@ -179,7 +185,7 @@ def _in_rounds(own: DataFrame, items: DataFrame, named: DataFrame, prepare: Call
         lead = now.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
         pairs = now.join(lead, "key").where("component <> other and (not leads or a < id)").select("a", F.col("id").alias("b")).distinct()
         value = lambda c: items.select(F.col("id").alias(c), F.col("value").alias(f"v{c}"))  # noqa: B023, E731
-        found = stored(pairs.join(value("b"), "b").join(value("a"), "a").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
+        found = stored(pairs.join(value("a"), "a").join(value("b"), "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
         if not found.isEmpty():
             named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         discard(found)
