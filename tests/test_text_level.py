@@ -90,3 +90,35 @@ def test_folding_by_bytes(spark):
     lines = ["a" * n for n in (0, 1, 74, 75, 76, 149, 150, 400)] + ["é" * n for n in (37, 38, 100)] + ["日本🤖x" * n for n in (5, 9, 60)] + ["ab\tc " * 40]
     df = spark.createDataFrame([(x,) for x in lines], "x string")
     assert [r[0] for r in df.select(fold(F.col("x"))).collect()] == [plain(x) for x in lines]
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    from kalends.operators import contact_merge
+    from kalends.sinks import ics
+    from kalends.sources.files import admit
+
+    events = numbered(parse_ics(spark.createDataFrame([(0, "a.ics", calendar("A", *((str(i), f"T{i}", "20260101T100000") for i in range(30))))], FILES)).events)
+    ics.write_calendar(events, f"{tmp_path}/ics", "Name")
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "ics").glob("part-*")))
+    back = parse_ics(spark.createDataFrame([(0, "b.ics", text)], FILES))
+    assert [r.uid for r in back.events.orderBy("event_index").collect()] == [str(i) for i in range(30)] and back.metadata.first().name == "Name"
+    cards = "\n".join(f"BEGIN:VCARD\nVERSION:3.0\nFN:N{i}\nEND:VCARD" for i in range(5))
+    c = parse_vcf(spark.createDataFrame([(0, "a.vcf", cards)], FILES)).contacts
+    for original, version in ((True, "3.0"), (False, "4.0")):
+        vcf.write_contacts(c, f"{tmp_path}/vcf{version}", original)
+        text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / f"vcf{version}").glob("part-*")))
+        got = parse_vcf(spark.createDataFrame([(0, "b.vcf", text)], FILES)).contacts
+        assert [(r.formatted_name, r.version) for r in got.orderBy("original_index").collect()] == [(f"N{i}", version) for i in range(5)]
+    (tmp_path / "in").mkdir()
+    for name in ("b.ics", "a.ics", "c.ics", "d.txt"):
+        (tmp_path / "in" / name).write_text("BEGIN:VCALENDAR")
+    from dataclasses import replace
+
+    from kalends.config import LIMITS
+
+    files, rejected = admit(spark, f"{tmp_path}/in", ".ics", replace(LIMITS, files=2))
+    assert sorted((r.source_index, r.source_file) for r in files.collect()) == [(0, "a.ics"), (1, "b.ics")]
+    assert {(r.source_file, r.message) for r in rejected.collect()} == {("c.ics", "There are too many files."), ("d.txt", "The file type isn't supported.")}
+    groups = spark.createDataFrame([(0, True), (1, True), (2, False)], "group long, exact boolean")
+    log = spark.createDataFrame([(4, 1, "keep")], "seq long, group long, type string")
+    assert [tuple(r) for r in contact_merge.resolve_exact(groups, log).collect()] == [(5, 0, "merge")]
