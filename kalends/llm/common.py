@@ -75,9 +75,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 #: Members of a group that is compared within a task, and the largest sum of their sizes.
 MEMBERS, SIZE = 512, 4_000_000
 #: Leaders of a larger bucket in the first round; they grow by GROWTH from round to round.
-LEADERS, GROWTH = 16, 4
-#: Prepared leaders that a task keeps at most.
-READY = 1000
+LEADERS, GROWTH = 256, 4
 
 
 def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
@@ -93,21 +91,58 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
     first member besides: the one that shares most buckets with others (in a
     group of edited copies, the text they come from). What is left of larger
     buckets goes in rounds: leaders from outside the bucket's largest component
-    are compared with its members of other components, and are done; components
-    follow. A bucket ends when it lies in one component, so no uncompared pair
-    of different components is left.
+    go to each of its groups, are compared with the members of other components
+    there, and are done; components follow. A bucket ends when it lies in one
+    component, so no uncompared pair of different components is left.
     """
     members = buckets.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    groups = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("size") / SIZE)).cast("int")
-    kinds = stored(members.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"), F.min("size").alias("size")).select("key", "n", groups.alias("groups")))
-    chosen = buckets.join(kinds, "key").select("key", "id", "n", "groups")
+    groups = F.greatest(F.ceil(F.col("n") / MEMBERS), F.ceil(F.col("size") / SIZE)).cast("long")
+    room = F.greatest(F.lit(1), F.floor(SIZE * F.col("n") / F.greatest("size", F.lit(1))))  # members of a mean size that SIZE holds
+    kinds = members.groupBy("n", "x", "lo", "hi").agg(F.min("key").alias("key"), F.min("size").alias("size"))
+    kinds = stored(kinds.select("key", "n", groups.alias("groups"), room.cast("long").alias("room")))
+    chosen = buckets.join(kinds, "key").select("key", "id", "n", "groups", "room")
     large = chosen.where("groups > 1")
-    dealt = chosen.select("key", F.pmod(F.xxhash64("key", "id"), "groups").alias("part"), "id")
+    part = F.pmod(F.xxhash64("key", "id"), "groups").alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part")
+    dealt = chosen.select("key", part, "id")
     several = not kinds.where("groups > 1").isEmpty()
     if several:
         weight = large.groupBy("id").agg(F.sum("n").alias("weight"))
         first = large.join(weight, "id").groupBy("key", "groups").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("id"))
-        dealt = dealt.unionByName(first.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups").cast("long") - 1)).alias("part"), "id")).distinct()
+        dealt = dealt.unionByName(first.select("key", every, "id")).distinct()
+
+    def links(rows: DataFrame, anew: bool) -> DataFrame:
+        """(a, b) of the components that rows (key, part, id, component, leads) show to be one; anew if a group's leaders haven't met elsewhere."""
+        grouped = rows.join(items, "id").repartition("key", "part").sortWithinPartitions("key", "part")
+        return stored(grouped.select("key", "part", "component", "leads", "value").mapInArrow(_comparison(prepare, alike, anew), "a long, b long").distinct())
+
+    named = connected_components(links(dealt.select("key", "part", "id", F.col("id").alias("component"), F.lit(True).alias("leads")), True))
+    own, last, leaders = large.select("key", "id", "groups", "room"), None, LEADERS
+    while several:
+        placed = own.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "groups", "room", F.coalesce("component", "id").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        state = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.min_by("least", F.struct("n", "component")).alias("one")).where("parts > 1")
+        state = state.select("key", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("others"), "one")
+        most = F.least(F.lit(leaders), "room")
+        leads = (F.col("component") != F.col("main")) & ((F.col("others") <= most) | (F.pmod(F.xxhash64("key", "id"), "others") < most) | (F.col("id") == F.col("one")))
+        now = stored(placed.join(state, "key").select("key", "id", "groups", "room", "component", leads.alias("leads")))
+        if last is not None:
+            discard(last)
+        if now.isEmpty():
+            break
+        rows = now.where("not leads").select("key", part, "id", "component", "leads").unionByName(now.where("leads").select("key", every, "id", "component", "leads"))
+        found = links(rows, False)
+        if not found.isEmpty():
+            named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        own, last, leaders = now.where("not leads").select("key", "id", "groups", "room"), now, leaders * GROWTH
+    return named
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _comparison(prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool], anew: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares each group's leaders with all its members of other components; leaders among themselves if they are met anew, or in part 0."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -118,75 +153,33 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
                 i = up
             return i
 
-        def links(group: list) -> Iterator[tuple[int, int]]:
-            ready = [None] * len(group)
-            for k in range(1, len(group)):
-                for j in range(k):
-                    p, q = find(group[k][0]), find(group[j][0])
+        def links(part: int, group: list) -> Iterator[dict[str, int]]:
+            leaders, ready = [k for k, x in enumerate(group) if x[1]], [None] * len(group)
+            for k, (own, leads, _) in enumerate(group):
+                for j in leaders:
+                    if leads and (j >= k or not (anew or part == 0)):
+                        break
+                    p, q = find(own), find(group[j][0])
                     if p == q:
                         continue
                     for x in (j, k):
                         if ready[x] is None:
-                            ready[x] = prepare(group[x][1])
+                            ready[x] = prepare(group[x][2])
                     if alike(ready[j], ready[k]):
                         root[max(p, q)] = min(p, q)
-                        yield max(p, q), min(p, q)
+                        yield {"a": max(p, q), "b": min(p, q)}
+                if not leads:
+                    ready[k] = None
 
         key, group = None, []
         for batch in slices(batches, "value"):
             found = []
-            for *k, i, value in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "id", "value")), strict=True):
+            for *k, component, leads, value in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "component", "leads", "value")), strict=True):
                 if k != key:
-                    found += links(group)
+                    found += links(key[1], group) if key else []
                     key, group = k, []
-                group.append((i, value))
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=PAIRS)
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(group)], schema=PAIRS)
+                group.append((component, leads, value))
+            yield pa.RecordBatch.from_pylist(found, schema=PAIRS)
+        yield pa.RecordBatch.from_pylist(list(links(key[1], group)) if key else [], schema=PAIRS)
 
-    rows = dealt.join(items, "id")
-    links = stored(rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long").distinct())
-    named = connected_components(links)
-    return _in_rounds(large.select("key", "id"), items, named, prepare, alike) if several else named
-
-
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _in_rounds(own: DataFrame, items: DataFrame, named: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
-    """The rounds of `bucket_components` over its larger buckets, rows (key, id), from the components so far."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, y, ready = None, None, {}
-        for batch in slices(batches, "va"):
-            keep = []
-            for a, b, va, vb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "va", "vb")), strict=True):
-                if b != last:  # the pairs of one member come together; leaders are few, and kept
-                    last, y = b, prepare(vb)
-                if a not in ready:
-                    if len(ready) >= READY:
-                        ready.clear()
-                    ready[a] = prepare(va)
-                keep.append(alike(ready[a], y))
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
-
-    leaders, last = LEADERS, None
-    while True:
-        placed = own.join(named.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-        largest = F.max(F.struct("n", "component"))
-        state = parts.groupBy("key").agg(F.sum("n").alias("n"), largest.alias("main"), F.count("*").alias("parts"), F.min_by("least", F.struct("n", F.col("component")))).where("parts > 1")
-        state = state.toDF("key", "n", "main", "parts", "one").select("key", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("others"), "one")
-        leads = (F.col("component") != F.col("main")) & ((F.col("others") <= leaders) | (F.pmod(F.xxhash64("key", "id"), "others") < leaders) | (F.col("id") == F.col("one")))
-        now = stored(placed.join(state, "key").select("key", "id", "component", leads.alias("leads")))
-        if last is not None:
-            discard(last)
-        if now.isEmpty():
-            return named
-        lead = now.where("leads").select("key", F.col("id").alias("a"), F.col("component").alias("other"))
-        pairs = now.join(lead, "key").where("component <> other and (not leads or a < id)").select("a", F.col("id").alias("b")).distinct()
-        value = lambda c: items.select(F.col("id").alias(c), F.col("value").alias(f"v{c}"))  # noqa: B023, E731
-        found = stored(pairs.join(value("a"), "a").join(value("b"), "b").select("a", "b", "va", "vb").mapInArrow(compare, "a long, b long"))
-        if not found.isEmpty():
-            named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        discard(found)
-        own, last, leaders = now.where("not leads").select("key", "id"), now, leaders * GROWTH
+    return compare
