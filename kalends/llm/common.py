@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import cut, discard, shared_dir, stored, temporary
 
-__all__ = ["bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored", "temporary"]
+__all__ = ["Likeness", "bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored", "temporary"]
 
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.
@@ -78,12 +80,22 @@ MEMBERS, SIZE = 512, 4_000_000
 LEADERS, GROWTH = 256, 4
 
 
-def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
+@dataclass(frozen=True)
+class Likeness:
+    """When two values are linked: alike(prepare(a), prepare(b)), which is only so if the Jaccard similarity of their
+    features reaches the threshold; features(values) has an array of distinct 64-bit integers for each."""
+
+    prepare: Callable[[Any], Any]
+    alike: Callable[[Any, Any], bool]
+    features: Callable[[list], list[np.ndarray]]
+    threshold: float
+
+
+def bucket_components(buckets: DataFrame, items: DataFrame, likeness: Likeness) -> DataFrame:
     """(node, component) as if all pairs of each bucket were compared.
 
     buckets: distinct rows (key, id, size) of keys with two ids and more; items:
-    a row (id, value) of each id. alike(prepare(a), prepare(b)) says whether two
-    values are linked. Nodes without a link have no row.
+    a row (id, value) of each id. Nodes without a link have no row.
 
     Buckets of the same members are one. The members of an ordinary bucket are
     compared in one task, but for those that links found there join already. A
@@ -114,7 +126,7 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
     def links(rows: DataFrame, anew: bool) -> DataFrame:
         """(a, b) of the components that rows (key, part, id, component, leads) show to be one; anew if a group's leaders haven't met elsewhere."""
         grouped = rows.join(items, "id").repartition("key", "part").sortWithinPartitions("key", "part")
-        return stored(grouped.select("key", "part", "component", "leads", "value").mapInArrow(_comparison(prepare, alike, anew), "a long, b long").distinct())
+        return grouped.select("key", "part", "component", "leads", "value").mapInArrow(_comparison(likeness, anew), "a long, b long")
 
     named = connected_components(links(dealt.select("key", "part", "id", F.col("id").alias("component"), F.lit(True).alias("leads")), True))
     own, last, leaders = large.select("key", "id", "groups", "room"), None, LEADERS
@@ -131,9 +143,7 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
         if now.isEmpty():
             break
         rows = now.where("not leads").select("key", part, "id", "component", "leads").unionByName(now.where("leads").select("key", every, "id", "component", "leads"))
-        found = links(rows, False)
-        if not found.isEmpty():
-            named = connected_components(found.unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        named = connected_components(links(rows, False).unionByName(named.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         own, last, leaders = now.where("not leads").select("key", "id", "groups", "room"), now, leaders * GROWTH
     return named
 
@@ -141,7 +151,29 @@ def bucket_components(buckets: DataFrame, items: DataFrame, prepare: Callable[[A
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _comparison(prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool], anew: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Groups of more members are compared by their features first; of leaders, as many at a time as make so many bytes.
+FEW, TABLE_BYTES = 16, 32_000_000
+
+
+def _candidates(features: list[np.ndarray], leaders: list[int], threshold: float) -> list[list[int]]:
+    """For each value the leaders whose features are similar enough, itself included: counts of common features by a table of leaders."""
+    sizes = np.array([len(x) for x in features])
+    known, at = np.unique(np.concatenate(features), return_inverse=True)
+    own = np.split(at, sizes.cumsum()[:-1])
+    out: list[list[int]] = [[] for _ in features]
+    step = max(1, TABLE_BYTES // max(1, len(known)))
+    for lo in range(0, len(leaders), step):
+        some = np.array(leaders[lo : lo + step])
+        table = np.zeros((len(known), len(some)), np.uint8)
+        for column, k in enumerate(some.tolist()):
+            table[own[k], column] = 1
+        for k, x in enumerate(own):
+            both = table[x].sum(axis=0, dtype=np.int32)
+            out[k] += some[both >= (threshold - 1e-9) * (sizes[k] + sizes[some] - both)].tolist()
+    return out
+
+
+def _comparison(likeness: Likeness, anew: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compares each group's leaders with all its members of other components; leaders among themselves if they are met anew, or in part 0."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +187,9 @@ def _comparison(prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]
 
         def links(part: int, group: list) -> Iterator[dict[str, int]]:
             leaders, ready = [k for k, x in enumerate(group) if x[1]], [None] * len(group)
+            near = None if len(group) <= FEW else _candidates(likeness.features([x[2] for x in group]), leaders, likeness.threshold)
             for k, (own, leads, _) in enumerate(group):
-                for j in leaders:
+                for j in near[k] if near else leaders:
                     if leads and (j >= k or not (anew or part == 0)):
                         break
                     p, q = find(own), find(group[j][0])
@@ -164,8 +197,8 @@ def _comparison(prepare: Callable[[Any], Any], alike: Callable[[Any, Any], bool]
                         continue
                     for x in (j, k):
                         if ready[x] is None:
-                            ready[x] = prepare(group[x][2])
-                    if alike(ready[j], ready[k]):
+                            ready[x] = likeness.prepare(group[x][2])
+                    if likeness.alike(ready[j], ready[k]):
                         root[max(p, q)] = min(p, q)
                         yield {"a": max(p, q), "b": min(p, q)}
                 if not leads:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, bucket_components, private, shared_keys, slices, stored
+from .common import BROADCAST_IDS, Likeness, bucket_components, private, shared_keys, slices, stored
 from .token_files import mix
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MIN_CHARS, BLOCK = 8, 12, 4, 0.8, 1, 100
@@ -108,6 +108,12 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
+def features(lines: list[str]) -> list[np.ndarray]:
+    """Each line's distinct shingles, hashed."""
+    h, owner = shingle_hashes([padded(x) for x in lines])
+    return [np.unique(x) for x in np.split(h, np.searchsorted(owner, np.arange(1, len(lines))))]
+
+
 def jaccard(x: set[str], y: set[str], threshold: float = 0.0) -> float:
     """The similarity of two sets; 0 where their sizes alone keep it under the threshold."""
     if min(len(x), len(y)) < threshold * max(len(x), len(y)):
@@ -164,7 +170,7 @@ def linked(rows: DataFrame, table: DataFrame, places: DataFrame, threshold: floa
     items = parts.select(F.inline("of")).mapInArrow(tidy, "id long, value string")
     # rows that repeat an id and a text give their lines again
     items = stored(items.groupBy("id").agg(F.first("value").alias("value")))
-    return bucket_components(buckets, items, shingles, lambda x, y: jaccard(x, y, threshold) >= threshold)
+    return bucket_components(buckets, items, Likeness(shingles, lambda x, y: jaccard(x, y, threshold) >= threshold, features, threshold))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:

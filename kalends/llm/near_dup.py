@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_components, connected_components, id_text, only, private, shared_keys, slices, stored
+from .common import Likeness, bucket_components, connected_components, id_text, only, private, shared_keys, slices, stored
 from .token_files import mix
 
 K, L, SKETCHES, THRESHOLD = 5, 4, 20, 0.8
@@ -165,7 +165,10 @@ def linked(known: DataFrame, sketched: DataFrame, texts: DataFrame, threshold: f
     one = only(known, first, ["doc_id", "h"]).select("h", "text")
     # rows that repeat an id and a text give it again
     items = stored(one.mapInArrow(vector, "id long, value binary").groupBy("id").agg(F.first("value").alias("value")))
-    return bucket_components(buckets, items, lambda x: np.frombuffer(x, np.uint64), lambda x, y: aligned(x, y, threshold) >= threshold)
+    vector_of = lambda x: np.frombuffer(x, np.uint64)
+    # aligned windows are common ones, so texts whose common windows are too few aren't alike
+    likeness = Likeness(vector_of, lambda x, y: aligned(x, y, threshold) >= threshold, lambda values: [vector_of(x) for x in values], threshold)
+    return bucket_components(buckets, items, likeness)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from kalends.llm import common
-from kalends.llm.line_dedup import dedup_lines, jaccard, shingles, signatures
+from kalends.llm.line_dedup import dedup_lines, features, jaccard, shingles, signatures
 from kalends.llm.near_dup import aligned, keep_one, near_duplicates, sketches, windows
 
 
@@ -180,3 +180,22 @@ def test_texts_at_the_threshold_share_a_sketch(size):
         if 0.8 <= aligned(x, y) < 0.92:
             found.append(bool(set(sketches(x).tolist()) & set(sketches(y).tolist())))
     assert np.mean(found) >= 0.98
+
+
+def test_candidates_are_those_of_all_pairs():
+    rng = random.Random(31)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    lines = []
+    for _ in range(40):
+        line = list(base)
+        for _ in range(rng.randint(0, 4)):
+            line[rng.randrange(120)] = rng.choice("ijkl")
+        lines.append("".join(line))
+    lines += ["x", "short", "x" * 50]
+    leaders = [k for k in range(len(lines)) if k % 3]
+    sets = [shingles(x) for x in lines]
+    for size in (32_000_000, 2000):
+        common.TABLE_BYTES, before = size, common.TABLE_BYTES
+        got = common._candidates(features(lines), leaders, 0.8)
+        common.TABLE_BYTES = before
+        assert got == [[j for j in leaders if jaccard(sets[k], sets[j]) >= 0.8] for k in range(len(lines))]
