@@ -207,7 +207,7 @@ def _comparison(likeness: Likeness, anew: bool) -> Callable[[Iterator[pa.RecordB
         key, group = None, []
         for batch in slices(batches, "value"):
             found = []
-            for *k, component, leads, value in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "component", "leads", "value")), strict=True):
+            for *k, component, leads, value in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("key", "part", "component", "leads", "value")), strict=True):
                 if k != key:
                     found += links(key[1], group) if key else []
                     key, group = k, []

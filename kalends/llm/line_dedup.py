@@ -136,11 +136,11 @@ def line_table(rows: DataFrame, min_chars: int) -> DataFrame:
             size = pc.utf8_length(text).to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(size >= max(1, min_chars))
             text = text.take(pa.array(keep))
-            h = np.array([xxhash.xxh64_intdigest(x) for x in text.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            h = np.array([xxhash.xxh64_intdigest(x) for x in text.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()], np.uint64).view(np.int64)
             if len(seen) > SEEN:
                 seen.clear()
             fresh = [k for k, x in enumerate(h.tolist()) if x not in seen and not seen.add(x)]
-            keys = signatures([padded(x) for x in text.take(pa.array(fresh, pa.int64())).to_pylist()])
+            keys = signatures([padded(x) for x in text.take(pa.array(fresh, pa.int64())).to_numpy(zero_copy_only=False).tolist()])
             ends = np.zeros(len(keep) + 1, np.int32)
             ends[np.array(fresh, np.int64) + 1] = BANDS
             new = np.zeros(len(keep), bool)
@@ -187,11 +187,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int =
     table = line_table(rows, min_chars)
     # by nodes, for a node may have very many places; partial minima come before the shuffle
     place = F.struct("doc_id", "t", "line")
-    places = stored(table.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    places = stored(table.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     named = linked(rows, table, places, threshold)
     # a component's first place stays
     nodes = places.join(named.withColumnRenamed("node", "h"), "h", "left")
-    several = stored(nodes.where("component is not null or first <> last").select("h", "first", F.coalesce("component", "h").alias("c")))
+    several = stored(nodes.where("component is not null or n > 1").select("h", "first", F.coalesce("component", "h").alias("c")))
     firsts = stored(several.groupBy("c").agg(F.min("first").alias("kept")))
     keep = several.join(firsts, "c").select("h", "kept")
     again = table.select("doc_id", "t", "line", "h").join(keep, "h").where(place != F.col("kept"))
