@@ -81,10 +81,16 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Quality rules alone: SQL has no tokenizers, MinHash, alignment, trees, packing or files."""
-    return {"op4_quality": sql.quality()}
+    """Quality rules and filter orders: SQL has no tokenizers, MinHash, alignment, trees, packing, files or fields."""
+    return {"op4_quality": sql.quality(), "op13_filter_audit": sql.filter_audit()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .filter_audit import DISTINCT_SHARE, FILTERS, METRICS, SYMBOLS, UPPER_SHARE
+from .filter_audit import MIN_WORDS as FEW_WORDS
 from .quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_WORDS, WINDOW, WORD_LIMIT
 
 
@@ -30,3 +32,29 @@ select f.doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n
   not base_failed and (n_words < {MIN_WORDS} or (coalesce(x.js, 0) <= {CHAR_LIMIT} and coalesce(y.js, 0) <= {WORD_LIMIT})) as kept
 from f left join j x on x.doc_id = f.doc_id and x.kind = 'c' left join j y on y.doc_id = f.doc_id and y.kind = 'w'
 """
+
+
+def filter_audit() -> str:
+    letters = ", ".join(f"('{f}', {1 << k})" for k, f in enumerate(FILTERS))
+    sums = ", ".join(f"sum({m})::bigint as {m}" for m in METRICS[:-1])
+    return rf"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, min(doc_id) over (partition by t) as least from d),
+g as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by 1),
+m as (select part, case when len(w) < {FEW_WORDS} then 1 else 0 end + case when 100 * len(list_distinct(w)) < {DISTINCT_SHARE} * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {UPPER_SHARE} * length(t) then 4 else 0 end + case when regexp_matches(t, '{SYMBOLS}') then 8 else 0 end
+    + case when doc_id > least then 16 else 0 end as mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from w left join g using (doc_id)),
+c as (select part, mask, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic from m group by 1, 2),
+f as (select * from (values {letters}) as f(letter, bit)),
+o as (select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a, b, c, d, e] as fs from f a, f b, f c, f d, f e
+  where a.bit | b.bit | c.bit | d.bit | e.bit = {(1 << len(FILTERS)) - 1}),
+s as (select filter_order, unnest(fs) as f, generate_subscripts(fs, 1) as step from o),
+x as (select part, filter_order, step::integer as step, f.letter as letter, f.bit as bit, mask, n, n_good, n_toxic,
+    coalesce(bit_or(mask & f.bit) over (partition by part, mask, filter_order order by step rows between unbounded preceding and 1 preceding), 0) as earlier from c, s),
+y as (select part, filter_order, step, letter, case when mask & bit = 0 and earlier = 0 then n else 0 end as kept, case when mask & bit <> 0 and earlier = 0 then n else 0 end as removed,
+    case when mask & bit <> 0 and earlier <> 0 then n else 0 end as redundant, case when mask = bit then n else 0 end as unique_fails,
+    case when mask & bit <> 0 and earlier = 0 then n_good else 0 end as good_lost, case when mask & bit <> 0 and earlier = 0 then n_toxic else 0 end as toxic_lost from x),
+z as (select part, filter_order, step, letter, {sums} from y group by 1, 2, 3, 4)
+select part, filter_order, step, {", ".join(METRICS[:-1])}, (sum(removed) over (partition by part, letter))::bigint as shapley from z
+"""
