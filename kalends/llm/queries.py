@@ -81,6 +81,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -92,5 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Quality rules and filter orders: SQL has no tokenizers, MinHash, alignment, trees, packing, files or fields."""
-    return {"op4_quality": sql.quality(), "op13_filter_audit": sql.filter_audit()}
+    """Quality rules, hard negatives and filter orders: SQL has no tokenizers, MinHash, alignment, trees, packing, files or fields."""
+    return {"op4_quality": sql.quality(), "op11_hard_negatives": sql.hard_negatives(), "op13_filter_audit": sql.filter_audit()}

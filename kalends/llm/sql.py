@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .filter_audit import DISTINCT_SHARE, FILTERS, METRICS, SYMBOLS, UPPER_SHARE
 from .filter_audit import MIN_WORDS as FEW_WORDS
+from .hard_negatives import HIGH, LOW, NEGATIVES, POSITIVES
 from .quality import CHAR_LIMIT, CLASSES, COMMON_WORDS, MIN_WORDS, WINDOW, WORD_LIMIT
 
 
@@ -58,3 +59,15 @@ y as (select part, filter_order, step, letter, case when mask & bit = 0 and earl
 z as (select part, filter_order, step, letter, {sums} from y group by 1, 2, 3, 4)
 select part, filter_order, step, {", ".join(METRICS[:-1])}, (sum(removed) over (partition by part, letter))::bigint as shapley from z
 """
+
+
+def hard_negatives() -> str:
+    return f"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(x::double * 256)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= {POSITIVES})
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::integer as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and {LOW} * positive_score <= 100 * score and 100 * score <= {HIGH} * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, other_id) <= {NEGATIVES}
+"""
