@@ -89,6 +89,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import rate_documents
+
+    return rate_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
