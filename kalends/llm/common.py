@@ -9,13 +9,13 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import cut, discard, shared_dir, stored, temporary
 
-__all__ = ["Likeness", "bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "shared_dir", "shared_keys", "slices", "stored", "temporary"]
+__all__ = ["Likeness", "bucket_components", "connected_components", "cut", "discard", "id_text", "only", "private", "sampled", "shared_dir", "shared_keys", "slices", "stored", "temporary"]
 
 #: Arrow batches are handled in slices of about so many bytes of text, which
 #: bounds a task's memory whatever the batch holds.
@@ -52,6 +52,11 @@ def only(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def sampled(h: str, k: int, n: int) -> Column:
+    """Whether a hash is among the least such that about k of n rows are, so that a sort's tasks have few to send."""
+    return F.shiftrightunsigned(h, 11) < int(2**53 * min(1.0, k / max(1, n)))
+
+
 def private(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until df has no such column."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored
 
 #: Components per code, codes per codebook, rows that codebooks are fitted on, and rounds of k-means.
 SUB, CODES, SAMPLE, ROUNDS = 2, 256, 8192, 8
@@ -114,10 +114,10 @@ def index(rows: DataFrame, id_col: str = "vec_id", label_col: str = "label", vec
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     own = own.where("vec_id is not null and label is not null and x is not null").where(~F.exists("x", odd))
     own = own.groupBy("vec_id").agg(F.min(F.struct("label", "x")).alias("r")).select("vec_id", "r.label", "r.x")
-    dim = own.agg(F.max(F.size("x"))).first()[0]
+    dim, n = own.agg(F.max(F.size("x")), F.count("*")).first()
     dim = -(-max(1, dim or 1) // SUB) * SUB
     own = own.select("vec_id", "label", integers(F.col("x"), dim).alias("v"))
-    sample = own.select("v", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = own.select("v", F.xxhash64("vec_id").alias("h")).where(sampled("h", 2 * SAMPLE, n)).orderBy("h").limit(SAMPLE).select("v").toPandas()["v"]
     books = Codebooks.fit(np.stack(sample.to_numpy()).astype(float)) if len(sample) else None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

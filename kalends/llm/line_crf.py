@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, slices
+from .common import private, sampled, slices
 
 #: Documents, and lines of each, that weights are fitted on; rounds, step and ridge of the fit.
 SAMPLE, SAMPLE_LINES, ROUNDS, STEP, RIDGE = 4096, 128, 80, 0.1, 1e-3
@@ -237,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    places = known.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).collect()  # a bounded sample; some ids may have no text, or too many lines
+    least = known.select("*", F.xxhash64("id").alias("h")).where(sampled("h", 4 * SAMPLE, known.count()))
+    places = least.orderBy("h", "id").limit(2 * SAMPLE).collect()  # a bounded sample; some ids may have no text, or too many lines
     marks = {r["id"]: int(r["quality"] == 1) for r in places}
     ids = docs.sparkSession.createDataFrame([(i,) for i in marks], "id long")
     some = own.join(F.broadcast(ids), "id", "left_semi").where(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) < SAMPLE_LINES)
