@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -71,42 +72,87 @@ CUES = {
 }
 ANTI = r"(?:isbn|issn|order|invoice|version|ver|part|serial|build|sku|model|ref|reference|article|section|page|doi|patent|population|total|sum|id|lot|item|case|no|nr|std)"
 SPAN = "struct<start:int,stop:int,kind:string,value:string,before:string,after:string>"
-NONE = f"cast(array() as array<{SPAN}>)"
+UNPLACED = "struct<p:int,kind:string,gap:int,value:string,before:string,after:string>"
+RATED = "struct<score:double,first:int,stop:int,start:int,kind:string,beaten:boolean>"
+#: Rows of a sweep whose results are gathered before they are added to those of all.
+BLOCK = 256
 
 
-def located(text: Column, pattern: str, kind: str, needs: str) -> Column:
-    """The pattern's matches as an array of SPAN; positions are code points."""
+def none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def blocks(rows: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A fold over the array in blocks of BLOCK rows."""
+    count = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")))
+    return F.aggregate(count, zero, lambda acc, k: step(acc, F.slice(rows, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def swept(rows: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], end: Callable[[Column], Column] | None = None) -> Column:
+    """What step(state, row), a pair of the next state and an array of `kind`, gives for all rows in order, and end(state) at last.
+
+    Appending copies an array, so blocks gather their own first: the copies of n
+    rows are some n * BLOCK / 2 + n * n / (2 * BLOCK) references.
+    """
+
+    def of(r: Column) -> Column:
+        fresh = lambda s: F.struct(s.alias("state"), none(kind).alias("out"))
+
+        def one(acc: Column, x: Column) -> Column:
+            after, more = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+        def add(acc: Column, part: Column) -> Column:
+            return let(F.aggregate(part, fresh(acc["state"]), one), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], d["out"]).alias("out")))
+
+        last = (lambda acc: F.concat(acc["out"], end(acc["state"]))) if end else (lambda acc: acc["out"])
+        return F.when(F.size(r) > 0, let(blocks(r, fresh(state), add), last)).otherwise(none(kind))
+
+    return let(rows, of)
+
+
+def unplaced(text: Column, pattern: str, p: int, kind: str, needs: str) -> Column:
+    """The matches of a pattern, the p-th, as an array of UNPLACED: gap is the length of what lies between a match and the one before."""
 
     def of(m: Column) -> Column:
-        def spans(parts: Column) -> Column:
-            def step(acc: Column, x: Column) -> Column:
-                start = acc["pos"] + F.length(x["gap"])
-                stop = start + F.length(x["value"])
-                one = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value"), F.right(x["gap"], F.lit(CONTEXT)).alias("before"), F.left(x["next"], F.lit(CONTEXT)).alias("after"))
-                return F.struct(stop.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def each(parts: Column) -> Column:
+            def one(v: Column, i: Column) -> Column:
+                gap = F.get(parts, i)
+                return F.struct(F.lit(p).alias("p"), F.lit(kind).alias("kind"), F.length(gap).alias("gap"), v.alias("value"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("after"))
+
+            return F.transform(m, one)
+
+        return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), each)).otherwise(none(UNPLACED))
 
-            rows = F.transform(m, lambda v, i: F.struct(v.alias("value"), F.get(parts, i).alias("gap"), F.get(parts, i + 1).alias("next")))
-            zero = F.struct(F.lit(0).alias("pos"), F.expr(NONE).alias("out"))
-            return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+    return F.when(text.rlike(needs), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(none(UNPLACED))
 
-        return F.when(F.size(m) > 0, let(F.split(text, pattern, -1), spans)).otherwise(F.expr(NONE))
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
-    return F.when(text.rlike(needs), found).otherwise(F.expr(NONE))
+def located(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
+    """The matches of (kind, pattern, needs) as an array of SPAN, pattern by pattern; positions are code points."""
+    rows = F.concat(*(unplaced(text, pattern, p, kind, needs) for p, (kind, pattern, needs) in enumerate(patterns)))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        start = F.when(s["p"] == x["p"], s["pos"]).otherwise(0) + x["gap"]
+        stop = start + F.length(x["value"])
+        span = F.struct(start.alias("start"), stop.alias("stop"), x["kind"].alias("kind"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(x["p"].alias("p"), stop.alias("pos")), F.array(span)
+
+    return swept(rows, F.struct(F.lit(-1).alias("p"), F.lit(0).alias("pos")), SPAN, step)
 
 
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    checks = {
-        "email": lambda s: F.lit(True),
-        "ip": lambda s: s["value"].rlike(OCTETS),
-        "card": lambda s: F.length(digits(s["value"])).between(14, 19) & F.call_function("luhn_check", digits(s["value"])),
-        "phone": lambda s: F.length(digits(s["value"])).between(10, 15),
-    }
-    return F.filter(located(text, PATTERNS[kind], kind, NEEDS[kind]), checks[kind])
+def base_spans(text: Column) -> Column:
+    """The base kinds' matches that pass their kind's check."""
+    n = lambda s: F.length(digits(s["value"]))
+
+    def passes(s: Column) -> Column:
+        k = s["kind"]
+        return F.when(k == "ip", s["value"].rlike(OCTETS)).when(k == "card", n(s).between(14, 19) & F.call_function("luhn_check", digits(s["value"]))).when(k == "phone", n(s).between(10, 15)).otherwise(True)
+
+    return F.filter(located(text, [(k, PATTERNS[k], NEEDS[k]) for k in KINDS]), passes)
 
 
 #: Features of a candidate. Each is a pattern whose match (1) or absence (0) counts in the value, or the text before or after it;
@@ -210,7 +256,7 @@ def labelled(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         a, b, c = pick("23456789") + num(2), pick("23456789") + num(2), num(4)
         if good:
             by = pick([" ", "-", "."])
-            return pick([f"({a}) {b}-{c}", by.join([a, b, c]), f"1-{a}-{b}-{c}", a + b + c, f"0{pick('123789')}{num(2)} {num(3)} {num(4)}", f"0{pick('123456789')} {num(2)} {num(2)} {num(2)} {num(2)}", f"00{pick(['44', '49', '33', '1'])} {num(3)} {num(6)}", f"+{pick(['44', '49', '33'])} {num(2)}/{num(6)}", f"0{num(3)}/{num(6)}", f"+{num(2)} {num(3)} {num(4)}"])
+            return pick([f"({a}) {b}-{c}", f"({num(3)}) {num(3)}-{c}", by.join([a, b, c]), f"1-{a}-{b}-{c}", a + b + c, f"0{pick('123789')}{num(2)} {num(3)} {num(4)}", f"0{pick('123456789')} {num(2)} {num(2)} {num(2)} {num(2)}", f"00{pick(['44', '49', '33', '1'])} {num(3)} {num(6)}", f"+{pick(['44', '49', '33'])} {num(2)}/{num(6)}", f"0{num(3)}/{num(6)}", f"+{num(2)} {num(3)} {num(4)}"])
         return pick([num(7), num(8), num(10), num(11), f"0{pick('123456789')}.{num(2)}.20{num(2)}", f"0{pick('123456789')}/{num(2)}/19{num(2)}", by_ten(), f"{num(3)} {num(3)} {num(4)}", f"0{pick('12')}-{num(2)}-20{num(2)}"])
 
     def by_ten() -> str:
@@ -277,37 +323,67 @@ def scored(s: Column) -> Column:
     return let(F.struct(*(c.alias(f"f{j}") for j, c in enumerate(feature_columns(s)))), of)
 
 
+def outside(base: Column, wide: Column) -> Column:
+    """The spans of wide, an array of SPAN, that don't lie within a span of base: of the base spans up to their start none ends at their end or later."""
+    both = F.array_sort(F.concat(F.transform(base, lambda s: tagged(s, 0)), F.transform(wide, lambda s: tagged(s, 1))))
+
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
+        fresh = (x["wide"] == 1) & (x["span"]["stop"] > s["cover"])
+        return F.struct(F.when(x["wide"] == 0, F.greatest(s["cover"], x["span"]["stop"])).otherwise(s["cover"]).alias("cover")), F.when(fresh, F.array(x["span"])).otherwise(none(SPAN))
+
+    return swept(both, F.struct(F.lit(-1).alias("cover")), SPAN, step)
+
+
+def tagged(s: Column, wide: int) -> Column:
+    text = lambda c: (s[c] if wide else F.lit("")).alias(c)
+    span = F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), text("value"), text("before"), text("after"))
+    return F.struct(s["start"].alias("start"), F.lit(wide).alias("wide"), span.alias("span"))
+
+
+def unbeaten(rated: Column) -> Column:
+    """Of an array of RATED by start, those that overlap none of a greater (score, first, stop, kind).
+
+    The sweep holds the spans that reach over the next one's start. A pattern's
+    matches don't overlap, so these are no more than there are generators.
+    """
+    rank = lambda s: F.struct(*(s[c].alias(c) for c in ("score", "first", "stop", "kind")))
+    marked = lambda s, beaten: F.struct(*(s[c].alias(c) for c in ("score", "first", "stop", "start", "kind")), beaten.alias("beaten"))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        over = F.filter(state["open"], lambda a: a["stop"] > x["start"])
+        now = let(over, lambda o: F.concat(F.transform(o, lambda a: marked(a, a["beaten"] | (rank(x) > rank(a)))), F.array(marked(x, F.exists(o, lambda a: rank(a) > rank(x))))))
+        return F.struct(now.alias("open")), F.filter(state["open"], lambda a: (a["stop"] <= x["start"]) & ~a["beaten"])
+
+    return swept(rated, F.struct(none(RATED).alias("open")), RATED, step, lambda state: F.filter(state["open"], lambda a: ~a["beaten"]))
+
+
 def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
     """docs with `base` and `spans`: arrays of struct<start, k, stop, kind>, by start and kind; code points, ends exclusive.
 
     `spans` holds the base spans, and the candidates that reach their threshold
     but for those within a base span and those that overlap one of a better
     score (of equal ones the earlier, then the longer stays). A null or empty
-    text has none; long texts are searched whole. Repeated rows are treated
-    alike, no rows give none; columns named as the two are replaced, others stay.
+    text has none; long texts are searched whole, in time that grows with their
+    matches as a sort's does. Repeated rows are treated alike, no rows give
+    none; columns named as the two are replaced, others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kinds = F.array(*map(F.lit, ALL_KINDS))
     order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).cast("int").alias("k"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    base = let(F.concat(*(base_spans(text, k) for k in KINDS)), order)
-    wide = F.concat(*(located(text, p, k, need) for k, p, need in WIDE))
+    once = lambda a: let(a, lambda x: F.filter(x, lambda s, i: (i == 0) | (s != F.get(x, i - 1))))
 
     def whole(b: Column) -> Column:
         def best(w: Column) -> Column:
-            known = lambda s: F.exists(b, lambda x: (x["start"] <= s["start"]) & (s["stop"] <= x["stop"]))
-            rated = F.transform(F.filter(w, lambda s: ~known(s)), lambda s: F.struct(scored(s).alias("score"), (-s["start"]).alias("first"), s["stop"].alias("stop"), s["start"].alias("start"), s["kind"].alias("kind")))
-
-            def unbeaten(r: Column) -> Column:
-                return F.filter(r, lambda s: ~F.exists(r, lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]) & (x > s)))
-
-            return let(F.filter(rated, lambda s: s["score"] >= 0), lambda r: order(F.array_distinct(unbeaten(r))))
+            rated = F.transform(outside(b, w), lambda s: F.struct(scored(s).alias("score"), (-s["start"]).alias("first"), s["stop"].alias("stop"), s["start"].alias("start"), s["kind"].alias("kind"), F.lit(False).alias("beaten")))
+            # by start, as `outside` leaves them
+            return once(order(unbeaten(F.filter(rated, lambda s: s["score"] >= 0))))
 
-        more = let(wide, lambda w: F.when(F.size(w) > 0, best(w)).otherwise(order(w)))
+        more = let(located(text, WIDE), lambda w: F.when(F.size(w) > 0, best(w)).otherwise(order(w)))
         return F.struct(b.alias(base_col), let(more, lambda m: F.when(F.size(m) > 0, F.array_sort(F.concat(b, m))).otherwise(b)).alias(spans_col))
 
     # the arrays are made once, behind a struct that the two columns are taken from
     (own,) = private(docs, "pii")
-    found = docs.withColumn(own, let(base, whole))
+    found = docs.withColumn(own, let(order(base_spans(text)), whole))
     return found.withColumn(base_col, F.col(f"{own}.{base_col}")).withColumn(spans_col, F.col(f"{own}.{spans_col}")).drop(own)
 
 
@@ -324,13 +400,26 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+    def inside(piece: Column, at: Column, part: Column) -> Column:
+        """The piece of the text from `at` on with a block's spans replaced."""
+
+        def step(acc: Column, s: Column) -> Column:
+            fresh = F.concat(acc["out"], F.array(F.substring(piece, acc["at"] - at + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+            return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+        return F.aggregate(part, F.struct(at.alias("at"), none("string").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
 
     def of(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-        done = F.aggregate(spans, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.lit(2147483647)))), ""))
+        def add(acc: Column, part: Column) -> Column:
+            # a block takes its own piece off the rest, so that a span's substring doesn't search the whole text
+            def taken(stop: Column) -> Column:
+                piece = F.substring(acc["rest"], F.lit(1), stop - acc["at"])
+                return F.struct(stop.alias("at"), F.substring(acc["rest"], stop - acc["at"] + 1, F.lit(2147483647)).alias("rest"), F.concat(acc["out"], F.array(let(piece, lambda p: inside(p, acc["at"], part)))).alias("out"))
+
+            return let(F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: s["stop"]))), taken)
+
+        zero = F.struct(F.lit(0).alias("at"), text.alias("rest"), none("string").alias("out"))
+        done = let(blocks(spans, zero, add), lambda acc: F.concat(F.array_join(acc["out"], ""), acc["rest"]))
         return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(done)
 
     base, spans = private(docs, "base", "spans")
