@@ -60,13 +60,16 @@ class BoostedTrees:
         return self.base + sum(self._tree(x, t) for t in self.trees)
 
     def threshold(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        """The least score at and above which held-out rows reach the precision."""
+        """The least score at and above which held-out rows reach the precision; halfway to the next one, so that rounding decides nothing."""
         s = self.score(x)
         order = np.argsort(-s, kind="stable")
         right = y[order].cumsum() / np.arange(1, len(y) + 1)
         last = np.r_[s[order][1:] < s[order][:-1], True]  # ties stand or fall together
         good = np.flatnonzero((right >= precision) & last)
-        return float(s[order][good[-1]]) if len(good) else float("inf")
+        if not len(good):
+            return float("inf")
+        least, below = s[order][good[-1]], s[order][good[-1] + 1 :]
+        return float((least + below[0]) / 2) if len(below) else float(least) - 1e-6
 
     def column(self, feature: Callable[[int], Column]) -> Column:
         """The score as an expression; feature(j) is the column of feature j."""

@@ -74,41 +74,36 @@ ANTI = r"(?:isbn|issn|order|invoice|version|ver|part|serial|build|sku|model|ref|
 SPAN = "struct<start:int,stop:int,kind:string,value:string,before:string,after:string>"
 UNPLACED = "struct<p:int,kind:string,gap:int,value:string,before:string,after:string>"
 RATED = "struct<score:double,first:int,stop:int,start:int,kind:string,beaten:boolean>"
-#: Rows of a sweep whose results are gathered before they are added to those of all.
-BLOCK = 256
+#: Distances of a running total's steps.
+DOUBLES = [1 << k for k in range(31)]
 
 
 def none(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
-def blocks(rows: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """A fold over the array in blocks of BLOCK rows."""
-    count = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")))
-    return F.aggregate(count, zero, lambda acc, k: step(acc, F.slice(rows, k * BLOCK + 1, F.lit(BLOCK))))
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The array's running totals, combine(value, total before) being associative: by distances of 1, 2, 4 and so on, n log n in all."""
 
+    def of(v: Column) -> Column:
+        far = lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, combine(x, F.get(acc, i - d))).otherwise(x))
+        return F.aggregate(F.filter(F.array(*map(F.lit, DOUBLES)), lambda d: d < F.size(v)), v, far)
 
-def swept(rows: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], end: Callable[[Column], Column] | None = None) -> Column:
-    """What step(state, row), a pair of the next state and an array of `kind`, gives for all rows in order, and end(state) at last.
+    return let(values, of)
 
-    Appending copies an array, so blocks gather their own first: the copies of n
-    rows are some n * BLOCK / 2 + n * n / (2 * BLOCK) references.
-    """
 
-    def of(r: Column) -> Column:
-        fresh = lambda s: F.struct(s.alias("state"), none(kind).alias("out"))
-
-        def one(acc: Column, x: Column) -> Column:
-            after, more = step(acc["state"], x)
-            return F.struct(after.alias("state"), F.concat(acc["out"], more).alias("out"))
+def blocks(rows: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A fold over the array in blocks of as many rows as there are blocks.
 
-        def add(acc: Column, part: Column) -> Column:
-            return let(F.aggregate(part, fresh(acc["state"]), one), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], d["out"]).alias("out")))
+    Spark copies a fold's state at each step, so one that gathers results gathers
+    a block's first: n rows cost some n ** 1.5 small copies in all.
+    """
 
-        last = (lambda acc: F.concat(acc["out"], end(acc["state"]))) if end else (lambda acc: acc["out"])
-        return F.when(F.size(r) > 0, let(blocks(r, fresh(state), add), last)).otherwise(none(kind))
+    def of(b: Column) -> Column:
+        count = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(rows) - 1) / b).cast("int")))
+        return F.aggregate(count, zero, lambda acc, k: step(acc, F.slice(rows, k * b + 1, b)))
 
-    return let(rows, of)
+    return let(F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(rows).cast("double"))).cast("int")), of)
 
 
 def unplaced(text: Column, pattern: str, p: int, kind: str, needs: str) -> Column:
@@ -130,14 +125,18 @@ def unplaced(text: Column, pattern: str, p: int, kind: str, needs: str) -> Colum
 def located(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
     """The matches of (kind, pattern, needs) as an array of SPAN, pattern by pattern; positions are code points."""
     rows = F.concat(*(unplaced(text, pattern, p, kind, needs) for p, (kind, pattern, needs) in enumerate(patterns)))
+    # what ends a match: the lengths of all matches and gaps of its pattern up to it
+    size = lambda x: F.struct(x["p"].alias("p"), (x["gap"] + F.length(x["value"])).alias("stop"))
+    add = lambda x, y: F.struct(x["p"].alias("p"), (x["stop"] + F.when(x["p"] == y["p"], y["stop"]).otherwise(0)).alias("stop"))
+
+    def placed(r: Column) -> Column:
+        def spans(stops: Column) -> Column:
+            stop = lambda i: F.get(stops, i)["stop"]
+            return F.transform(r, lambda x, i: F.struct((stop(i) - F.length(x["value"])).alias("start"), stop(i).alias("stop"), *(x[c].alias(c) for c in ("kind", "value", "before", "after"))))
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        start = F.when(s["p"] == x["p"], s["pos"]).otherwise(0) + x["gap"]
-        stop = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["kind"].alias("kind"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(x["p"].alias("p"), stop.alias("pos")), F.array(span)
+        return F.when(F.size(r) > 0, let(running(F.transform(r, size), add), spans)).otherwise(none(SPAN))
 
-    return swept(rows, F.struct(F.lit(-1).alias("p"), F.lit(0).alias("pos")), SPAN, step)
+    return let(rows, placed)
 
 
 def digits(value: Column) -> Column:
@@ -327,11 +326,11 @@ def outside(base: Column, wide: Column) -> Column:
     """The spans of wide, an array of SPAN, that don't lie within a span of base: of the base spans up to their start none ends at their end or later."""
     both = F.array_sort(F.concat(F.transform(base, lambda s: tagged(s, 0)), F.transform(wide, lambda s: tagged(s, 1))))
 
-    def step(s: Column, x: Column) -> tuple[Column, Column]:
-        fresh = (x["wide"] == 1) & (x["span"]["stop"] > s["cover"])
-        return F.struct(F.when(x["wide"] == 0, F.greatest(s["cover"], x["span"]["stop"])).otherwise(s["cover"]).alias("cover")), F.when(fresh, F.array(x["span"])).otherwise(none(SPAN))
+    def of(r: Column) -> Column:
+        covers = running(F.transform(r, lambda x: F.when(x["wide"] == 0, x["span"]["stop"]).otherwise(-1)), lambda x, y: F.greatest(x, y))
+        return let(covers, lambda c: F.transform(F.filter(r, lambda x, i: (x["wide"] == 1) & (x["span"]["stop"] > F.get(c, i))), lambda x: x["span"]))
 
-    return swept(both, F.struct(F.lit(-1).alias("cover")), SPAN, step)
+    return let(both, of)
 
 
 def tagged(s: Column, wide: int) -> Column:
@@ -349,12 +348,18 @@ def unbeaten(rated: Column) -> Column:
     rank = lambda s: F.struct(*(s[c].alias(c) for c in ("score", "first", "stop", "kind")))
     marked = lambda s, beaten: F.struct(*(s[c].alias(c) for c in ("score", "first", "stop", "start", "kind")), beaten.alias("beaten"))
 
-    def step(state: Column, x: Column) -> tuple[Column, Column]:
-        over = F.filter(state["open"], lambda a: a["stop"] > x["start"])
+    def step(acc: Column, x: Column) -> Column:
+        over = F.filter(acc["open"], lambda a: a["stop"] > x["start"])
         now = let(over, lambda o: F.concat(F.transform(o, lambda a: marked(a, a["beaten"] | (rank(x) > rank(a)))), F.array(marked(x, F.exists(o, lambda a: rank(a) > rank(x))))))
-        return F.struct(now.alias("open")), F.filter(state["open"], lambda a: (a["stop"] <= x["start"]) & ~a["beaten"])
+        done = F.filter(acc["open"], lambda a: (a["stop"] <= x["start"]) & ~a["beaten"])
+        return F.struct(now.alias("open"), F.concat(acc["out"], done).alias("out"))
+
+    def add(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(acc["open"].alias("open"), none(RATED).alias("out")), step)
+        return let(own, lambda d: F.struct(d["open"].alias("open"), F.concat(acc["out"], d["out"]).alias("out")))
 
-    return swept(rated, F.struct(none(RATED).alias("open")), RATED, step, lambda state: F.filter(state["open"], lambda a: ~a["beaten"]))
+    swept = lambda r: let(blocks(r, F.struct(none(RATED).alias("open"), none(RATED).alias("out")), add), lambda acc: F.concat(acc["out"], F.filter(acc["open"], lambda a: ~a["beaten"])))
+    return let(rated, lambda r: F.when(F.size(r) > 1, swept(r)).otherwise(r))
 
 
 def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_col: str = "spans") -> DataFrame:
@@ -363,8 +368,8 @@ def find(docs: DataFrame, text_col: str = "text", base_col: str = "base", spans_
     `spans` holds the base spans, and the candidates that reach their threshold
     but for those within a base span and those that overlap one of a better
     score (of equal ones the earlier, then the longer stays). A null or empty
-    text has none; long texts are searched whole, in time that grows with their
-    matches as a sort's does. Repeated rows are treated alike, no rows give
+    text has none; long texts are searched whole; n matches
+    take n log n steps, and n ** 1.5 small copies to sort out overlaps. Repeated rows are treated alike, no rows give
     none; columns named as the two are replaced, others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
