@@ -1,8 +1,9 @@
 """Recurrence: series, rule expansion, exclusions, additions and overrides.
 
-Rules are evaluated on wall clocks. DAILY and WEEKLY rules without BY parts are
-sequences in the JVM; other rules go through an Arrow-batched iterator that
-stops at the series' limit. Exclusions are an anti-join, overrides an outer
+Rules are evaluated on wall clocks, by DataFrame functions. Rules of equal steps
+are sequences from the first step in range. Others are taken apart into days,
+times of the day and choices of a period, for the periods that meet the range
+alone, however long ago the series began. Exclusions are an anti-join, overrides an outer
 join, and the same time from several sources counts once: the master's before
 the rule's before an addition's.
 """
@@ -10,20 +11,20 @@ the rule's before an addition's.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
+from ..functions.bind import let
 from ..functions.time import is_supported_zone
 from .search import running_total
 
 #: Rule parts that are evaluated: fixed values of the format.
 PARTS = ["FREQ", "INTERVAL", "COUNT", "UNTIL", "BYSECOND", "BYMINUTE", "BYHOUR", "BYDAY", "BYMONTHDAY", "BYYEARDAY", "BYWEEKNO", "BYMONTH", "BYSETPOS", "WKST"]
 PERIODS = {"SECONDLY": 1, "MINUTELY": 60, "HOURLY": 3600, "DAILY": 86_400, "WEEKLY": 604_800, "MONTHLY": 2_678_400, "YEARLY": 31_622_400}
-EXPANDED = "series_id string, start timestamp_ntz"
 
 
 def rule_map(rrule: Column) -> Column:
@@ -75,9 +76,9 @@ def work_estimate(rrule: Column, days: Column, additions: Column) -> Column:
 
 
 def is_simple(rrule: Column) -> Column:
-    """A DAILY or WEEKLY rule of INTERVAL, COUNT and UNTIL alone."""
+    """A rule of equal steps: INTERVAL, COUNT and UNTIL alone, and no months or years."""
     m = rule_map(rrule)
-    return m["FREQ"].isin("DAILY", "WEEKLY") & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST"])))) == 0)
+    return m["FREQ"].isin([f for f in PERIODS if f not in ("MONTHLY", "YEARLY")]) & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST"])))) == 0)
 
 
 def until_of(m: Column, tzid: Column | None = None) -> Column:
@@ -95,46 +96,178 @@ def zone_of(series: DataFrame) -> Column:
     return F.col("tzid") if "tzid" in series.columns else F.lit(None).cast("string")
 
 
+def seconds(at: Column) -> Column:
+    """A wall time as seconds of its own clock."""
+    return F.unix_seconds(at.cast("timestamp"))
+
+
+def wall_at(at: Column) -> Column:
+    return F.timestamp_seconds(at).cast("timestamp_ntz")
+
+
 def expand_simple(series: DataFrame, start: str, end: str) -> DataFrame:
-    """EXPANDED rows of simple rules in [start 00:00:00, end 23:59:59]; the sequence begins at the first step inside."""
+    """(series_id, start TIMESTAMP_NTZ) of simple rules in [start 00:00:00, end 23:59:59]; the sequence begins at the first step inside."""
     m = rule_map(F.col("rrule"))
-    step = F.when(m["FREQ"] == "DAILY", 1).otherwise(7) * F.greatest(F.lit(1), F.coalesce(m["INTERVAL"].try_cast("int"), F.lit(1)))
-    lo, hi = F.lit(f"{start} 00:00:00").cast("timestamp_ntz"), F.lit(f"{end} 23:59:59").cast("timestamp_ntz")
-    rows = series.select("series_id", "dtstart", step.alias("step"), m["COUNT"].try_cast("long").alias("n"), until_of(m, zone_of(series)).alias("until"))
-    skip = F.greatest(F.lit(0), F.ceil((F.unix_seconds(lo.cast("timestamp")) - F.unix_seconds(F.col("dtstart").cast("timestamp"))) / (86_400 * F.col("step"))))
-    last = F.least(hi, F.coalesce("until", hi))
-    steps = F.floor((F.unix_seconds(last.cast("timestamp")) - F.unix_seconds(F.col("dtstart").cast("timestamp"))) / (86_400 * F.col("step")))
-    stop = F.when(F.col("n").isNotNull(), F.least(steps, F.col("n") - 1)).otherwise(steps)
-    rows = rows.withColumn("first", skip).withColumn("stop", stop).where("first <= stop")
-    each = rows.select("series_id", "dtstart", "step", F.explode(F.sequence("first", "stop")).alias("k"))
-    return each.select("series_id", (F.col("dtstart") + F.make_interval(days=(F.col("k") * F.col("step")).cast("int"))).cast("timestamp_ntz").alias("start"))
-
-
-def expand_any(series: DataFrame, start: str, end: str, limit: int = LIMITS.series_occurrences) -> DataFrame:
-    """EXPANDED rows of all other rules, at most limit + 1 of a series."""
-    lo = dt.datetime.fromisoformat(start)
-    hi = dt.datetime.fromisoformat(end) + dt.timedelta(hours=23, minutes=59, seconds=59)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from dateutil.rrule import rrulestr
-
-        for batch in batches:
-            ids, starts = [], []
-            for series, rule, first in zip(batch["series_id"], batch["rrule"], batch["dtstart"], strict=True):
-                found = rrulestr(rule, dtstart=first.to_pydatetime()).xafter(lo, inc=True)
-                for n, at in enumerate(found):
-                    if at > hi or n > limit:
-                        break
-                    ids.append(series)
-                    starts.append(at)
-            yield pd.DataFrame({"series_id": ids, "start": pd.to_datetime(pd.Series(starts, dtype="datetime64[ns]"))})
+    unit = F.create_map(*(F.lit(x) for f, n in PERIODS.items() for x in (f, n)))[m["FREQ"]]
+    step = (unit * F.coalesce(m["INTERVAL"].try_cast("long"), F.lit(1))).cast("long")
+    lo, hi = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (f"{start} 00:00:00", f"{end} 23:59:59"))
+    rows = series.select("series_id", seconds(F.col("dtstart")).alias("at"), step.alias("step"), m["COUNT"].try_cast("long").alias("n"), seconds(until_of(m, zone_of(series))).alias("until"))
+    first = F.greatest(F.lit(0), F.ceil((lo - F.col("at")) / F.col("step")))
+    steps = F.floor((F.least(hi, F.coalesce("until", hi)) - F.col("at")) / F.col("step"))
+    last = F.when(F.col("n").isNotNull(), F.least(steps, F.col("n") - 1)).otherwise(steps)
+    rows = rows.withColumn("first", first).withColumn("last", last).where("first <= last")
+    return rows.select("series_id", "at", "step", F.explode(F.sequence("first", "last")).alias("k")).select("series_id", wall_at(F.col("at") + F.col("k") * F.col("step")).alias("start"))
+
+
+# Other rules are days that pass all of a rule's parts, times of the day, and choices among a period's occurrences.
+# Only the periods that meet the range are looked at; with COUNT, those since the start.
+# A day is its number since 1970-01-01, a weekday 0 for Monday to 6, a time of day its seconds.
+
 
+def rule_parts(series: DataFrame) -> DataFrame:
+    """series_id and a rule's parts as columns: lists are arrays of int, weekdays those of any week (`wdays`) or n * 7 + weekday of the n-th (`nth`)."""
     m = rule_map(F.col("rrule"))
-    # UNTIL goes on the wall clock before, as the rule's start is
-    parts = F.filter(F.map_entries(m), lambda e: ~e["key"].isin("UNTIL", ""))
-    until = F.concat(F.lit("UNTIL="), F.date_format(until_of(m, zone_of(series)).cast("timestamp"), "yyyyMMdd'T'HHmmss"))
-    rule = F.array_join(F.concat(F.transform(parts, lambda e: F.concat(e["key"], F.lit("="), e["value"])), F.array_compact(F.array(until))), ";")
-    return series.select("series_id", rule.alias("rrule"), "dtstart").mapInPandas(run, EXPANDED)
+    numbers = lambda name: F.coalesce(F.array_sort(F.array_distinct(F.split(m[name], ",").cast("array<int>"))), F.expr("cast(array() as array<int>)"))
+    weekday = lambda d: F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.right(d, F.lit(2))).cast("int") - 1
+    nth = lambda d: F.coalesce(F.regexp_extract(d, r"^([+-]?\d+)", 1).try_cast("int"), F.lit(0))
+    days = F.coalesce(F.split(m["BYDAY"], ","), F.expr("cast(array() as array<string>)"))
+    freq, at = m["FREQ"], F.col("dtstart")
+    long_period = freq.isin("MONTHLY", "YEARLY")
+    none = F.expr("cast(array() as array<int>)")
+    undated = (F.size(numbers("BYWEEKNO")) == 0) & (F.size(numbers("BYYEARDAY")) == 0) & (F.size(numbers("BYMONTHDAY")) == 0) & (F.size(days) == 0)
+    # what isn't stated follows the start
+    given = lambda c, when, value: F.when((F.size(c) == 0) & when, F.array(value)).otherwise(c)
+    plain = F.transform(F.filter(days, lambda d: (nth(d) == 0) | ~long_period), weekday)
+    finer = list(PERIODS)
+    day = F.unix_date(at.cast("date"))
+    return series.select(
+        "series_id", freq.alias("freq"), F.coalesce(m["INTERVAL"].try_cast("long"), F.lit(1)).cast("long").alias("interval"), m["COUNT"].try_cast("long").alias("count"), seconds(until_of(m, zone_of(series))).alias("until"),
+        seconds(at).alias("from"), day.alias("day0"), F.coalesce(weekday(m["WKST"]), F.lit(0)).alias("wkst"),
+        given(numbers("BYMONTH"), undated & (freq == "YEARLY"), F.month(at.cast("date"))).alias("months"), numbers("BYWEEKNO").alias("weeks"), numbers("BYYEARDAY").alias("ydays"),
+        given(numbers("BYMONTHDAY"), undated & long_period, F.dayofmonth(at.cast("date"))).alias("mdays"),
+        F.when(undated & (freq == "WEEKLY"), F.array(F.pmod(day + 3, F.lit(7)))).otherwise(F.coalesce(plain, none)).alias("wdays"),
+        F.coalesce(F.transform(F.filter(days, lambda d: (nth(d) != 0) & long_period), lambda d: nth(d) * 7 + weekday(d)), none).alias("nth"),
+        given(numbers("BYHOUR"), ~freq.isin(finer[:3]), F.hour(at.cast("timestamp"))).alias("hours"), given(numbers("BYMINUTE"), ~freq.isin(finer[:2]), F.minute(at.cast("timestamp"))).alias("minutes"),
+        given(numbers("BYSECOND"), freq != "SECONDLY", F.second(at.cast("timestamp"))).alias("seconds"), numbers("BYSETPOS").alias("places"),
+    )
+
+
+def day_of(year: Column, month: Column | int, day: Column | int) -> Column:
+    as_column = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.unix_date(F.make_date(year.cast("int"), as_column(month).cast("int"), as_column(day).cast("int")))
+
+
+def passes(day: Column) -> Column:
+    """Whether a day passes the parts of its row's rule that speak of days."""
+    date = F.date_from_unix_date(day)
+    year, month, weekday = F.year(date), F.month(date), F.pmod(day + 3, F.lit(7))
+    m, length = F.dayofmonth(date), F.dayofmonth(F.last_day(date))
+    y, year_length = F.dayofyear(date), F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
+    among = lambda name, *values: (F.size(name) == 0) | functools.reduce(lambda a, b: a | b, (F.array_contains(F.col(name), v) for v in values))
+    by_month = (F.col("freq") == "MONTHLY") | (F.size("months") > 0)
+    at, of = F.when(by_month, m).otherwise(y), F.when(by_month, length).otherwise(year_length)
+    code = lambda n: (n * 7 + weekday).cast("int")
+    nth = among("nth", code(F.floor((at - 1) / 7) + 1), code(-F.floor((of - at) / 7) - 1))
+    # a week belongs to the year that holds its fourth day
+    fourth = F.date_from_unix_date((day - F.pmod(weekday - F.col("wkst"), F.lit(7)) + 3).cast("int"))
+    week = lambda d: (F.floor((F.dayofyear(d) - 1) / 7) + 1).cast("int")
+    late = F.unix_date(F.make_date(F.year(fourth), F.lit(12), F.lit(28)))
+    weeks = week(F.date_from_unix_date((late - F.pmod(F.pmod(late + 3, F.lit(7)) - F.col("wkst"), F.lit(7)) + 3).cast("int")))
+    numbered = (F.size("weeks") == 0) | F.array_contains(F.col("weeks"), week(fourth)) | (F.array_contains(F.col("weeks"), week(fourth) - weeks - 1) & (F.year(fourth) <= year))
+    return among("months", month) & among("wdays", weekday) & nth & among("mdays", m, m - length - 1) & among("ydays", y, y - year_length - 1) & numbered
+
+
+def period_of(day: Column) -> Column:
+    """The number of a day's period: year, month, week or day."""
+    date, freq = F.date_from_unix_date(day.cast("int")), F.col("freq")
+    return F.when(freq == "YEARLY", F.year(date)).when(freq == "MONTHLY", F.year(date) * 12 + F.month(date) - 1).when(freq == "WEEKLY", F.floor((day + 3 - F.col("wkst")) / 7)).otherwise(day).cast("long")
+
+
+def period_days(low: Column, high: Column) -> Column:
+    """The days of the row's period from low to high that may pass, in no order: those of BYMONTHDAY, or all."""
+    p, freq = F.col("period"), F.col("freq")
+    first = F.when(freq == "YEARLY", day_of(p, 1, 1)).when(freq == "MONTHLY", day_of(F.floor(p / 12), F.pmod(p, F.lit(12)) + 1, 1)).when(freq == "WEEKLY", p * 7 - 3 + F.col("wkst")).otherwise(p).cast("int")
+    last = F.when(freq == "YEARLY", day_of(p, 12, 31)).when(freq == "MONTHLY", F.unix_date(F.last_day(F.date_from_unix_date(first)))).when(freq == "WEEKLY", first + 6).otherwise(first).cast("int")
+    months = F.when(freq == "MONTHLY", F.array(p)).otherwise(F.transform(F.when(F.size("months") > 0, F.col("months")).otherwise(F.sequence(F.lit(1), F.lit(12))), lambda k: p * 12 + k - 1))
+
+    def dated(k: Column) -> Column:
+        begin = day_of(F.floor(k / 12), F.pmod(k, F.lit(12)) + 1, 1)
+        return let(begin, lambda b: let(F.unix_date(F.last_day(F.date_from_unix_date(b))), lambda e: F.filter(F.transform(F.col("mdays"), lambda n: F.when(n > 0, b + n - 1).otherwise(e + n + 1)), lambda d: d.between(b, e))))
+
+    by_date = freq.isin("MONTHLY", "YEARLY") & (F.size("mdays") > 0)
+    low, high = F.greatest(first, low.cast("int")), F.least(last, high.cast("int"))
+    every = F.when(low <= high, F.sequence(low, high)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.when(by_date, F.filter(F.array_distinct(F.flatten(F.transform(months, dated))), lambda d: d.between(low, high))).otherwise(every)
+
+
+def chosen(values: Column) -> Column:
+    """Those of a period's values, in order, that BYSETPOS names; all without it."""
+    place = lambda v: F.transform(F.col("places"), lambda n: F.get(v, F.when(n > 0, n - 1).otherwise(F.size(v) + n)))
+    return let(values, lambda v: F.when(F.size("places") > 0, F.array_sort(F.array_distinct(F.filter(place(v), lambda x: x.isNotNull())))).otherwise(v))
+
+
+def product(*lists: tuple[Column, int]) -> Column:
+    """Sums of one value of each list times its weight, in the lists' order."""
+    values, weight = lists[0]
+    own = F.transform(values, lambda x: x * weight)
+    if len(lists) == 1:
+        return own
+    rest = product(*lists[1:])
+    return F.flatten(F.transform(own, lambda x: F.transform(rest, lambda y: x + y)))
+
+
+def day_times(day: Column) -> Column:
+    """The times of a day that passes: those of the rule, or the steps of a period under a day that fall on it."""
+    unlimited = lambda name, n: F.when(F.size(name) > 0, F.col(name)).otherwise(F.sequence(F.lit(0), F.lit(n - 1)))
+    hours, minutes = unlimited("hours", 24), unlimited("minutes", 60)
+    start = F.col("from")
+
+    def steps(units: Column, size: int) -> Column:
+        """Periods of a day in units of `size` seconds that lie whole intervals after the start's."""
+        zero = day.cast("long") * (86_400 // size) - F.floor(start / size)
+        return F.filter(units, lambda u: F.pmod(u + zero, F.col("interval")) == 0)
+
+    short = lambda units, size, rest: F.flatten(F.transform(steps(units, size), lambda u: F.transform(rest, lambda r: u * size + r)))
+    whole = product((F.col("hours"), 3600), (F.col("minutes"), 60), (F.col("seconds"), 1))
+    freq = F.col("freq")
+    return (
+        F.when(freq == "HOURLY", short(hours, 3600, chosen(product((F.col("minutes"), 60), (F.col("seconds"), 1)))))
+        .when(freq == "MINUTELY", short(product((hours, 60), (minutes, 1)), 60, chosen(F.col("seconds"))))
+        .when(freq == "SECONDLY", short(product((hours, 3600), (minutes, 60), (unlimited("seconds", 60), 1)), 1, chosen(F.array(F.lit(0)))))
+        .when(freq == "DAILY", chosen(whole)).otherwise(whole)
+    )
+
+
+def expand_parts(rules: DataFrame, start: str, end: str) -> DataFrame:
+    """(series_id, at, count) of `rule_parts` rows: their occurrences from the start on, or in a range if there is no COUNT."""
+    low, high = (F.unix_date(F.lit(x).cast("date")) for x in (start, end))
+    since = F.when(F.col("count").isNull(), F.greatest("day0", low)).otherwise(F.col("day0"))
+    till = F.least(high, F.coalesce(F.floor(F.col("until") / 86_400), high)).cast("int")
+    own = rules.withColumn("low", since).withColumn("high", till).where("low <= high").withColumn("period0", period_of(F.col("day0")))
+    step = F.when(F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY", "DAILY"), F.col("interval")).otherwise(F.lit(1).cast("long"))
+    first = F.col("period0") + F.ceil((period_of(F.col("low")) - F.col("period0")) / step) * step
+    own = own.withColumn("first", first.cast("long")).withColumn("last", period_of(F.col("high"))).where("first <= last")
+    own = own.select("*", F.explode(F.sequence(F.col("first"), F.col("last"), step)).alias("period"))
+    # a set is chosen from a whole period; a week begins with the start's own day, if that is in it
+    sets = (F.size("places") > 0) & F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY")
+    single = own.where(~sets).select("*", F.explode(period_days(F.col("low"), F.col("high"))).alias("day")).where(passes(F.col("day")))
+    single = single.select("series_id", "count", "from", "until", "day", F.explode(day_times(F.col("day"))).alias("time"))
+    single = single.select("series_id", "count", "from", "until", (F.col("day").cast("long") * 86_400 + F.col("time")).alias("at"))
+    begin = F.when(F.col("freq") == "WEEKLY", F.col("day0")).otherwise(F.lit(-(2**30)))
+    days = F.array_sort(F.filter(period_days(begin, F.lit(2**30)), passes))
+    stamps = let(day_times(F.col("day0")), lambda t: F.flatten(F.transform(days, lambda d: F.transform(t, lambda x: d.cast("long") * 86_400 + x))))
+    of_sets = own.where(sets).select("series_id", "count", "from", "until", F.explode(chosen(stamps)).alias("at"))
+    return single.unionByName(of_sets).where("at >= from and (until is null or at <= until)").select("series_id", "at", "count")
+
+
+def expand_any(series: DataFrame, start: str, end: str) -> DataFrame:
+    """(series_id, start TIMESTAMP_NTZ) of all other rules; those with COUNT are ranked within their series."""
+    rules = rule_parts(series)
+    low, high = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (f"{start} 00:00:00", f"{end} 23:59:59"))
+    free = expand_parts(rules.where("count is null"), start, end)
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("at"))
+    counted = expand_parts(rules.where("count is not null"), start, end).withColumn("rank", rank).where("rank <= count").drop("rank")
+    return free.unionByName(counted).where(F.col("at").between(low, high)).select("series_id", wall_at(F.col("at")).alias("start"))
 
 
 def days_of(start: str, end: str) -> int:
@@ -159,7 +292,7 @@ def expand_rules(series: DataFrame, start: str, end: str, limit: int = LIMITS.se
     """
     own = series.where(F.coalesce("rrule", F.lit("")) != "").where(rule_code(F.col("rrule")).isNull())
     own = own.where(work_estimate(F.col("rrule"), F.lit(days_of(start, end)), F.lit(0)) <= 4 * limit)
-    return expand_simple(own.where(is_simple(F.col("rrule"))), start, end).unionByName(expand_any(own.where(~is_simple(F.col("rrule"))), start, end, limit))
+    return expand_simple(own.where(is_simple(F.col("rrule"))), start, end).unionByName(expand_any(own.where(~is_simple(F.col("rrule"))), start, end))
 
 
 def combine(masters: DataFrame, generated: DataFrame, additions: DataFrame, exclusions: DataFrame, start: str, end: str, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:

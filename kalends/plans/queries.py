@@ -224,6 +224,21 @@ def rrule_monthly(spark, d):
     return recurrence.expand_rules(series(spark, d, "FREQ=MONTHLY;BYMONTHDAY=15;COUNT=6"), START, END)
 
 
+@query(f"""
+with o as (select o_orderkey as k, o_orderdate::timestamp as began from orders),
+d as (select d::date as d, isodow(d) as w, day(d) as n, day(last_day(d)) as z from (select unnest(generate_series(timestamp '1992-01-01', timestamp '{END}', interval 1 day)) as d)),
+chosen as (select 0 as rule, max(d) as d from d where w <= 5 group by year(d), month(d) union all select 1, d from d where (w = 2 and (n - 1) // 7 = 1) or (w = 5 and (z - n) // 7 = 0) union all select 3, d from d where month(d) = 2 and n in (29, z - 1)),
+x as (select k, rule, d::timestamp as start, row_number() over (partition by k order by d) as i from o join chosen on rule = k % 4 and d >= began::date
+  union all select k, 2, began + to_hours(37 * n), 0 from o, range(0, 2000) r(n) where k % 4 = 2 and isodow(began + to_hours(37 * n)) = 6)
+select k::varchar as series_id, start from x where (rule <> 1 or i <= 30) and start between timestamp '{START} 00:00:00' and timestamp '{END} 23:59:59'
+""")
+def rrule_parts(spark, d):
+    """TG2, TG3: the last workday of a month, thirty Tuesdays and Fridays by their place in it, every 37 hours on Saturdays, days of February."""
+    k = F.col("series_id").cast("long") % 4
+    rule = F.when(k == 0, "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1").when(k == 1, "FREQ=MONTHLY;BYDAY=2TU,-1FR;COUNT=30").when(k == 2, "FREQ=HOURLY;INTERVAL=37;BYDAY=SA").otherwise("FREQ=YEARLY;BYMONTH=2;BYMONTHDAY=29,-2")
+    return recurrence.expand_rules(series(spark, d, "").withColumn("rrule", rule), START, END)
+
+
 @query("select o_orderkey::varchar as series_id, least(10, ceil(731 / 7.0 / (1 + o_orderkey % 3)))::bigint + o_orderkey % 4 as estimate from orders")
 def work_estimates(spark, d):
     """AGG4."""
