@@ -261,13 +261,15 @@ def expand_parts(rules: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def expand_any(series: DataFrame, start: str, end: str) -> DataFrame:
-    """(series_id, start TIMESTAMP_NTZ) of all other rules; those with COUNT are ranked within their series."""
-    rules = rule_parts(series)
+    """(series_id, start TIMESTAMP_NTZ) of all other rules.
+
+    Occurrences are ranked within their series for COUNT's sake, by the same
+    shuffle that what follows, joins and aggregates by series, can use.
+    """
     low, high = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (f"{start} 00:00:00", f"{end} 23:59:59"))
-    free = expand_parts(rules.where("count is null"), start, end)
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy("at"))
-    counted = expand_parts(rules.where("count is not null"), start, end).withColumn("rank", rank).where("rank <= count").drop("rank")
-    return free.unionByName(counted).where(F.col("at").between(low, high)).select("series_id", wall_at(F.col("at")).alias("start"))
+    ranked = expand_parts(rule_parts(series), start, end).withColumn("rank", rank)
+    return ranked.where((F.col("count").isNull() | (F.col("rank") <= F.col("count"))) & F.col("at").between(low, high)).select("series_id", wall_at(F.col("at")).alias("start"))
 
 
 def days_of(start: str, end: str) -> int:
