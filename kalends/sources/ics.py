@@ -16,7 +16,8 @@ from ..config import LIMITS, Limits
 from ..functions.bind import let
 from ..functions.text import unescape_text, unfold
 from ..functions.time import TIME, typed, zone_label
-from ..operators.search import running_total
+from ..operators.search import numbered_within, ranked, running_total
+from ..session import stored
 from .properties import first_value, named, parameter, parse_lines
 
 UNTITLED = "(Untitled event)"
@@ -74,7 +75,43 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
     blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
     # a file's events spread over the cluster, parsing being the costly part; one file may hold most of them
-    blocks = blocks.repartition("source_index", "event_index")
+    events, per_event = parse_blocks(blocks.repartition("source_index", "event_index"), limits)
+    file_issues = F.array_compact(F.array(
+        F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")),
+        F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
+        F.when(is_calendar & (begins > ends), issue("error", "TRUNCATED_COMPONENT", "An event doesn't end.")),
+        F.when(is_calendar & (begins > limits.events), issue("error", "LIMIT_EXCEEDED", "The file has too many events.")),
+    ))
+    per_file = whole.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(file_issues).alias("i"))
+    diagnostics = per_event.unionByName(per_file).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
+    return Calendars(events, metadata(whole.where(is_calendar)), diagnostics)
+
+
+def parse_components(rows: DataFrame, limits: Limits = LIMITS) -> Calendars:
+    """Calendars of COMPONENTS rows (see `splits`) of VEVENT; files and events are numbered by name and place.
+
+    Metadata come from the lines outside events, which a file has few of.
+    """
+    rows = stored(rows)
+    names = ranked(rows.select("source_file").distinct(), "source_file").select("source_file", (F.col("rank") - 1).cast("int").alias("source_index"))
+    placed = rows.join(names, "source_file")
+    found = numbered_within(placed.where("kind = 'VEVENT'"), "source_index", "offset", "event_index")
+    block = F.get(event_blocks(F.concat(F.lit("\n"), unfold("text"))), F.lit(0))
+    events, per_event = parse_blocks(found.select("source_index", "source_file", F.col("event_index").cast("int").alias("event_index"), block.alias("block")), limits)
+    torn = placed.where("kind in ('UNENDED', 'UNBEGUN')").select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.when(F.col("kind") == "UNENDED", issue("error", "TRUNCATED_COMPONENT", "An event doesn't end.")).otherwise(issue("error", "MALFORMED_EVENT", "An event's end has no beginning.")).alias("i"))
+    lines = placed.where("kind = 'OUTSIDE'").groupBy("source_index", "source_file").agg(F.sort_array(F.collect_list(F.struct("offset", "text"))).alias("lines"))
+    outside = names.join(lines.drop("source_index"), "source_file", "left").select("source_index", "source_file", F.concat(F.lit("\n"), F.coalesce(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), F.lit(""))).alias("body"))
+    is_calendar = F.col("body").contains("\nBEGIN:VCALENDAR")
+    whole = outside.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(F.array_compact(F.array(
+        F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")), F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
+    ))).alias("i"))
+    diagnostics = per_event.unionByName(torn).unionByName(whole).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
+    calendars = outside.where(is_calendar)
+    return Calendars(events.join(calendars.select("source_index"), "source_index", "left_semi"), metadata(calendars), diagnostics)
+
+
+def parse_blocks(blocks: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
+    """Events, and diagnostics as structs `i`, of blocks (source_index, source_file, event_index, block)."""
     # parsed properties are kept as a column of their own so that each is parsed once
     parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(F.regexp_replace("block", NESTED, "")))).alias("p"))
     p = F.col("p")
@@ -108,16 +145,7 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
         ),
         F.transform(F.filter(F.array(*map(F.lit, SINGLE)), lambda n: F.size(F.filter(p, lambda x: x["name"] == n)) > 1), lambda n: F.struct(F.lit("warning").alias("severity"), F.lit("DUPLICATE_PROPERTY").alias("code"), F.concat(n, F.lit(" occurs more than once; the first counts.")).alias("message"))),
     ))
-    per_event = timed.select("source_index", "source_file", "event_index", first_value(p, "UID").alias("event_uid"), F.explode(found).alias("i"))
-    file_issues = F.array_compact(F.array(
-        F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")),
-        F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
-        F.when(is_calendar & (begins > ends), issue("error", "TRUNCATED_COMPONENT", "An event doesn't end.")),
-        F.when(is_calendar & (begins > limits.events), issue("error", "LIMIT_EXCEEDED", "The file has too many events.")),
-    ))
-    per_file = whole.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(file_issues).alias("i"))
-    diagnostics = per_event.unionByName(per_file).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
-    return Calendars(events, metadata(whole.where(is_calendar)), diagnostics)
+    return events, timed.select("source_index", "source_file", "event_index", first_value(p, "UID").alias("event_uid"), F.explode(found).alias("i"))
 
 
 def zone_known(tz: Column) -> Column:

@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 from ..config import LIMITS, Limits
 from ..functions.bind import let
 from ..functions.text import base64_bytes, is_safe_url, unescape_text
+from ..operators.search import numbered_within, ranked
+from ..session import stored
 from .properties import first_value, named, parameter, parse_lines
 
 UNNAMED = "(Unnamed contact)"
@@ -63,7 +65,11 @@ def card_blocks(body: Column) -> Column:
 def cards(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """A row per card with its parsed properties, quoted-printable values decoded."""
     body = files.select("source_index", "source_file", unfold_vcf(F.coalesce("text", F.lit(""))).alias("body"))
-    each = body.select("source_index", "source_file", F.posexplode(F.slice(card_blocks(F.col("body")), 1, limits.contacts)).alias("original_index", "block"))
+    return parsed_cards(body.select("source_index", "source_file", F.posexplode(F.slice(card_blocks(F.col("body")), 1, limits.contacts)).alias("original_index", "block")), limits)
+
+
+def parsed_cards(each: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """The same of blocks (source_index, source_file, original_index, block)."""
     lines = F.filter(F.split("block", "\n"), lambda x: F.length(x) <= limits.property_chars)
     parsed = each.select("source_index", "source_file", "original_index", F.concat(F.lit("BEGIN:VCARD\r\n"), F.replace("block", F.lit("\n"), F.lit("\r\n")), F.lit("END:VCARD")).alias("raw"), F.explode(F.array(parse_lines(F.array_join(lines, "\n")))).alias("p"))
     quoted = lambda x: F.exists(F.coalesce(x["parameters"]["ENCODING"], F.array().cast("array<string>")), lambda e: F.upper(e).isin("QUOTED-PRINTABLE", "Q")) | F.exists(F.coalesce(x["parameters"]["TYPE"], F.array().cast("array<string>")), lambda e: F.upper(e) == "QUOTED-PRINTABLE")
@@ -123,7 +129,39 @@ def media(properties: Column, name: str) -> Column:
 
 def parse_vcf(files: DataFrame, limits: Limits = LIMITS) -> Contacts:
     """Contacts of FILES rows; ids are source_index:original_index:(uid, name or `unnamed`). Texts without a card give an error row."""
-    rows = cards(files, limits)
+    contacts, per_card = contacts_of(cards(files, limits), limits)
+    one = finding
+    body = files.select("source_index", "source_file", F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")).alias("body"))
+    begins, ends = F.regexp_count("body", F.lit(r"(?i)\nBEGIN:VCARD")), F.regexp_count("body", F.lit(r"(?i)\nEND:VCARD"))
+    whole = F.array_compact(F.array(
+        F.when(begins == 0, one("error", "MALFORMED_VCARD", "The file has no card.")),
+        F.when(begins > ends, one("error", "TRUNCATED_VCARD", "A card doesn't end.")),
+        F.when(ends > begins, one("warning", "MALFORMED_VCARD", "A card's end has no beginning.")),
+        F.when(begins > limits.contacts, one("warning", "CONTACT_LIMIT_REACHED", "The file has too many cards.")),
+    ))
+    per_file = body.select("source_index", "source_file", F.lit(None).cast("int").alias("original_index"), F.explode(whole).alias("i"))
+    return Contacts(contacts, per_card.unionByName(per_file).select("source_index", "source_file", "original_index", "i.severity", "i.code", "i.message"))
+
+
+def parse_components(rows: DataFrame, limits: Limits = LIMITS) -> Contacts:
+    """Contacts of COMPONENTS rows (see `splits`) of VCARD; files and cards are numbered by name and place."""
+    rows = stored(rows)
+    names = ranked(rows.select("source_file").distinct(), "source_file").select("source_file", (F.col("rank") - 1).cast("int").alias("source_index"))
+    placed = rows.join(names, "source_file")
+    found = numbered_within(placed.where("kind = 'VCARD'"), "source_index", "offset", "original_index")
+    block = F.get(card_blocks(unfold_vcf(F.col("text"))), F.lit(0))
+    contacts, per_card = contacts_of(parsed_cards(found.select("source_index", "source_file", F.col("original_index").cast("int").alias("original_index"), block.alias("block")), limits), limits)
+    torn = placed.where("kind in ('UNENDED', 'UNBEGUN')").select("source_index", "source_file", F.lit(None).cast("int").alias("original_index"), F.when(F.col("kind") == "UNENDED", finding("error", "TRUNCATED_VCARD", "A card doesn't end.")).otherwise(finding("warning", "MALFORMED_VCARD", "A card's end has no beginning.")).alias("i"))
+    empty = names.join(placed.where("kind = 'VCARD'").select("source_index").distinct(), "source_index", "left_anti").select("source_index", "source_file", F.lit(None).cast("int").alias("original_index"), finding("error", "MALFORMED_VCARD", "The file has no card.").alias("i"))
+    return Contacts(contacts, per_card.unionByName(torn).unionByName(empty).select("source_index", "source_file", "original_index", "i.severity", "i.code", "i.message"))
+
+
+def finding(severity: str, code: str, message: str) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+
+
+def contacts_of(rows: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
+    """Contacts, and diagnostics as structs `i`, of cards."""
     p = F.col("p")
     text = lambda *names: unescape_text(first_value(p, *names))
     many = lambda name, f: F.slice(F.transform(named(p, name), f), 1, limits.repeated_values)
@@ -145,7 +183,7 @@ def parse_vcf(files: DataFrame, limits: Limits = LIMITS) -> Contacts:
         "source_file", p.alias("raw_properties"), "raw",
     )
     version = F.trim(first_value(p, "VERSION"))
-    one = lambda severity, code, message: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"))
+    one = finding
     found = F.array_compact(F.array(
         F.when(F.size(p) == 0, one("error", "MALFORMED_VCARD", "The card is empty.")),
         F.when((F.size(p) > 0) & (version == ""), one("warning", "MISSING_VERSION", "The card has no version.")),
@@ -156,14 +194,4 @@ def parse_vcf(files: DataFrame, limits: Limits = LIMITS) -> Contacts:
         F.when(F.exists(p, lambda x: ~F.lower(parameter(x, "CHARSET")).isin(list(CHARSETS))), one("warning", "UNSUPPORTED_CHARSET", "A value's charset isn't supported.")),
         F.when(F.greatest(*(F.size(named(p, n)) for n in ("EMAIL", "TEL", "ADR", "URL"))) > limits.repeated_values, one("warning", "REPEATED_VALUE_LIMIT_REACHED", "A field has too many values.")),
     ))
-    per_card = rows.select("source_index", "source_file", "original_index", F.explode(found).alias("i"))
-    body = files.select("source_index", "source_file", F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")).alias("body"))
-    begins, ends = F.regexp_count("body", F.lit(r"(?i)\nBEGIN:VCARD")), F.regexp_count("body", F.lit(r"(?i)\nEND:VCARD"))
-    whole = F.array_compact(F.array(
-        F.when(begins == 0, one("error", "MALFORMED_VCARD", "The file has no card.")),
-        F.when(begins > ends, one("error", "TRUNCATED_VCARD", "A card doesn't end.")),
-        F.when(ends > begins, one("warning", "MALFORMED_VCARD", "A card's end has no beginning.")),
-        F.when(begins > limits.contacts, one("warning", "CONTACT_LIMIT_REACHED", "The file has too many cards.")),
-    ))
-    per_file = body.select("source_index", "source_file", F.lit(None).cast("int").alias("original_index"), F.explode(whole).alias("i"))
-    return Contacts(contacts, per_card.unionByName(per_file).select("source_index", "source_file", "original_index", "i.severity", "i.code", "i.message"))
+    return contacts, rows.select("source_index", "source_file", "original_index", F.explode(found).alias("i"))
