@@ -20,13 +20,13 @@ CONSENSUS = ["name", "description", "timezone", "refresh_interval", "color", "so
 
 def agreed(c: str) -> Column:
     """The one non-empty value of all rows, or empty."""
-    values = F.collect_set(F.nullif(F.col(c), F.lit("")))
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0))).otherwise("")
+    value = F.nullif(F.col(c), F.lit(""))
+    return F.when(F.min(value) == F.max(value), F.min(value)).otherwise("")
 
 
 def merged_metadata(metadata: DataFrame) -> DataFrame:
     """One row: fields all calendars agree on, and `warnings` naming those they don't."""
-    odd = lambda c: F.size(F.collect_set(F.nullif(F.col(c), F.lit("")))) > 1
+    odd = lambda c: F.min(F.nullif(F.col(c), F.lit(""))) < F.max(F.nullif(F.col(c), F.lit("")))
     method = F.when(F.upper(agreed("method")).isin(INVITATIONS), "").otherwise(agreed("method"))
     warned = F.array_compact(F.array(*(F.when(odd(c), F.lit(c)) for c in CONSENSUS), F.when(F.bool_or((F.col("calscale") != "") & (F.upper("calscale") != "GREGORIAN")), F.lit("calscale")), F.when(odd("method") | F.upper(agreed("method")).isin(INVITATIONS), F.lit("method"))))
     fields = [F.when(agreed("name") == "", "Merged calendar").otherwise(agreed("name")).alias("name"), *(agreed(c).alias(c) for c in CONSENSUS[1:])]

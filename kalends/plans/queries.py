@@ -16,8 +16,10 @@ from ..functions import time as TM
 from ..operators import calendar_merge, contact_duplicates, contact_merge, event_duplicates, placements, recurrence, rows, search, timezones, zone_text
 from ..operators import series as recurring
 from ..operators.components import connected_components
+from ..operators.search import ranked
+from ..session import stored
 from ..sinks import csv, ics, vcf
-from ..sources.ics import legacy_blocks, parse_ics, recovery
+from ..sources.ics import legacy_blocks, numbered, parse_ics, recovery
 from ..sources.properties import named
 from ..sources.vcf import parse_vcf
 from .tables import calendar_events, contacts, recurring_events, series, table
@@ -788,12 +790,23 @@ def displays(spark, d):
 
 
 @query("""
-select 'events' as what, count(*) as n from events union all select 'sources', count(*) from (select distinct user_id, event_id // 10000 from events)
+with n as (select count(*) as events, count(*) filter (event_id % 7 <> 0) as included from events), f as (select count(*) as sources from (select distinct user_id, event_id // 10000 from events))
+select 'sources' as what, sources::varchar as value from f union all select 'events', events::varchar from n union all select 'included', included::varchar from n union all select 'definitions', '0' union all select 'malformed', '0'
+union all select 'version', '2.0' union all select 'calscale', 'GREGORIAN' union all select 'method', '' union all select 'name', 'Merged calendar' union all select 'warnings', ''
 """)
 def merge_analysis(spark, d):
-    """TG12: calendars merged from their files; candidates among them are in event_dup_exact_order."""
-    m = calendar_merge.analyze(_calendars(spark, d).withColumn("source_index", F.dense_rank().over(Window.orderBy("source_file")).cast("int")))
-    return m.summary.select(F.explode(F.array(F.struct(F.lit("events").alias("what"), F.col("events").alias("n")), F.struct(F.lit("sources").alias("what"), F.col("sources").alias("n")))).alias("x")).select("x.what", "x.n")
+    """TG12, AGG5, AGG6: calendars merged from their files, some events left out; candidates among them are in event_dup_exact_order."""
+    files = _calendars(spark, d).drop("source_index")
+    # names alone are ranked, not the texts beside them
+    names = ranked(files.select("source_file"), "source_file").select("source_file", (F.col("rank") - 1).cast("int").alias("source_index"))
+    files = stored(files.join(names, "source_file"))
+    own = F.get(named(F.col("raw_properties"), "X-IDX"), F.lit(0))["value"].cast("long")
+    left = numbered(parse_ics(files).events).where(own % 7 == 0).select("idx")
+    m = calendar_merge.analyze(files, left)
+    row = lambda c: F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value"))
+    counts = m.summary.select(F.explode(F.array(*map(row, ["sources", "events", "included", "definitions", "malformed"]))).alias("x"))
+    said = m.metadata.withColumn("warnings", F.array_join("warnings", ",")).select(F.explode(F.array(*map(row, ["version", "calscale", "method", "name", "warnings"]))).alias("x"))
+    return counts.unionByName(said).select("x.what", "x.value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,30 +1,31 @@
 """Contacts: vCard files to contacts and diagnostics.
 
-Cards are extracted and their lines parsed in column expressions; quoted-
-printable values, which need bytes, pass through an Arrow-batched UDF.
+Cards are extracted, their lines parsed and quoted-printable values decoded in
+column expressions.
 """
 
 from __future__ import annotations
 
-import quopri
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..config import LIMITS, Limits
 from ..functions.bind import let
 from ..functions.text import base64_bytes, is_safe_url, unescape_text
 from ..operators.search import numbered_within, ranked
 from ..session import stored
-from .properties import first_value, named, parameter, parse_lines
+from .properties import first_value, named, parameter, parse_line
 
 UNNAMED = "(Unnamed contact)"
 BEGIN, END = r"(?i)\nBEGIN:VCARD[ \t]*\n", r"(?i)\nEND:VCARD(?=\s|$)"
 VERSIONS = ["2.1", "3.0", "4.0"]
-CHARSETS = {"": "utf-8", "utf-8": "utf-8", "us-ascii": "utf-8", "iso-8859-1": "cp1252", "latin1": "cp1252", "windows-1252": "cp1252"}
+LATIN = ["iso-8859-1", "latin1", "windows-1252"]
+CHARSETS = ["", "utf-8", "utf8", "us-ascii", *LATIN]
+#: Bytes 80 to 9F of Latin text are read as Windows has them, where it has some.
+CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+MARKS = CONTROLS.encode("latin-1").decode("cp1252")
 ADDRESS = ["po_box", "extended", "street", "locality", "region", "postal_code", "country"]
 
 
@@ -34,18 +35,26 @@ class Contacts:
     diagnostics: DataFrame
 
 
-@F.pandas_udf(StringType())
-def _quoted_printable(value: pd.Series, charset: pd.Series) -> pd.Series:
-    def one(v: str, c: str) -> str:
-        name = CHARSETS.get((c or "").lower())
-        if name is None:
-            return v
-        try:
-            return quopri.decodestring(v.encode("utf-8")).decode(name)
-        except UnicodeDecodeError:
-            return v
+def decoded(value: Column, charset: Column) -> Column:
+    """(text, fine) of a quoted-printable value.
 
-    return pd.Series([one(v, c) for v, c in zip(value, charset, strict=True)])
+    Escapes become bytes by `unhex`, all else its UTF-8 bytes; the bytes together are then a text of the charset. Bytes
+    that aren't UTF-8 are read as Latin text if no charset is named, and leave the value as it is otherwise; both
+    aren't fine. A value of an unknown charset stays as it is.
+    """
+    name = F.replace(F.lower(charset), F.lit("_"), F.lit("-"))
+    parts = F.split(value, "=")
+    bytes_of = lambda t: F.hex(F.encode(t, "UTF-8"))
+    piece = lambda p, i: F.when(i == 0, bytes_of(p)).when(p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.left(p, F.lit(2)), bytes_of(F.substring(p, 3, 2**31 - 1)))).otherwise(bytes_of(F.concat(F.lit("="), p)))
+
+    def of(raw: Column) -> Column:
+        latin = F.translate(F.decode(raw, "ISO-8859-1"), CONTROLS, MARKS)
+        fine = F.is_valid_utf8(raw.cast("string")) | name.isin(LATIN)
+        text = F.when(name.isin(LATIN) | (~fine & (name == "")), latin).when(fine, F.decode(raw, "UTF-8")).otherwise(value)
+        return F.struct(text.alias("text"), fine.alias("fine"))
+
+    read = let(F.unhex(F.array_join(F.transform(parts, piece), "")), of)
+    return F.when(name.isin(CHARSETS), read).otherwise(F.struct(value.alias("text"), F.lit(True).alias("fine")))
 
 
 def unfold_vcf(c: Column) -> Column:
@@ -63,23 +72,26 @@ def card_blocks(body: Column) -> Column:
 
 
 def cards(files: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """A row per card with its parsed properties, quoted-printable values decoded."""
+    """A row per card with its parsed properties, quoted-printable values decoded, and `told`."""
     body = files.select("source_index", "source_file", unfold_vcf(F.coalesce("text", F.lit(""))).alias("body"))
     return parsed_cards(body.select("source_index", "source_file", F.posexplode(F.slice(card_blocks(F.col("body")), 1, limits.contacts)).alias("original_index", "block")), limits)
 
 
 def parsed_cards(each: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """The same of blocks (source_index, source_file, original_index, block)."""
-    lines = F.filter(F.split("block", "\n"), lambda x: F.length(x) <= limits.property_chars)
-    parsed = each.select("source_index", "source_file", "original_index", F.concat(F.lit("BEGIN:VCARD\r\n"), F.replace("block", F.lit("\n"), F.lit("\r\n")), F.lit("END:VCARD")).alias("raw"), F.explode(F.array(parse_lines(F.array_join(lines, "\n")))).alias("p"))
-    quoted = lambda x: F.exists(F.coalesce(x["parameters"]["ENCODING"], F.array().cast("array<string>")), lambda e: F.upper(e).isin("QUOTED-PRINTABLE", "Q")) | F.exists(F.coalesce(x["parameters"]["TYPE"], F.array().cast("array<string>")), lambda e: F.upper(e) == "QUOTED-PRINTABLE")
-    coded = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("i"), quoted(x).alias("q"), x["value"].alias("v"), parameter(x, "CHARSET").alias("c"))), lambda x: x["q"])
-    # only cards with such values meet Python; they are keyed by their place
-    key = ["source_index", "original_index"]
-    decoded = parsed.select(*key, F.explode(coded).alias("x")).select(*key, "x.i", _quoted_printable("x.v", "x.c").alias("v")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("decoded"))
-    joined = parsed.join(decoded, key, "left")
-    fixed = F.transform("p", lambda x, i: x.withField("value", F.coalesce(F.col("decoded")[i], x["value"])))
-    return joined.select("source_index", "source_file", "original_index", "raw", F.when(F.col("decoded").isNull(), F.col("p")).otherwise(fixed).alias("p"))
+    """The same of blocks (source_index, source_file, original_index, block), with `told`, what was wrong with lines: oversized, invalid, encoding.
+
+    Lines over the limit, and lines that are no properties, don't count. A value whose encoding can't be read stays as it is.
+    """
+    lines = F.split("block", "\n")
+    fits = F.filter(lines, lambda x: F.length(x) <= limits.property_chars)
+    kept = each.select("source_index", "source_file", "original_index", F.concat(F.lit("BEGIN:VCARD\r\n"), F.replace("block", F.lit("\n"), F.lit("\r\n")), F.lit("END:VCARD")).alias("raw"), (F.size(lines) - F.size(fits)).alias("oversized"), F.explode(F.array(F.transform(F.filter(fits, lambda x: F.trim(x) != ""), parse_line))).alias("lines"))
+    types = lambda x, name: F.coalesce(x["parameters"][name], F.array().cast("array<string>"))
+    quoted = lambda x: F.exists(types(x, "ENCODING"), lambda e: F.upper(e).isin("QUOTED-PRINTABLE", "QP", "Q")) | F.exists(types(x, "TYPE"), lambda e: F.upper(e) == "QUOTED-PRINTABLE")
+    valued = lambda x: F.struct(x.alias("p"), F.when(quoted(x), decoded(x["value"], parameter(x, "CHARSET"))).alias("v"))
+    read = kept.select("*", F.explode(F.array(F.transform(F.filter("lines", lambda x: x["name"] != ""), valued))).alias("read"))
+    p = F.transform("read", lambda r: r["p"].withField("value", F.coalesce(r["v"]["text"], r["p"]["value"])))
+    told = F.struct(F.col("oversized"), F.exists("lines", lambda x: x["name"] == "").alias("invalid"), F.exists("read", lambda r: F.coalesce(~r["v"]["fine"], F.lit(False))).alias("encoding"))
+    return read.select("source_index", "source_file", "original_index", "raw", told.alias("told"), F.explode(F.array(p)).alias("p"))
 
 
 def types_of(p: Column) -> Column:
@@ -185,13 +197,16 @@ def contacts_of(rows: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, Da
     version = F.trim(first_value(p, "VERSION"))
     one = finding
     found = F.array_compact(F.array(
+        F.when(F.col("told.oversized") > 0, one("warning", "OVERSIZED_PROPERTY", "A line is too long and was left out.")),
+        F.when(F.col("told.invalid"), one("warning", "INVALID_PROPERTY", "A line is no property.")),
+        F.when(F.col("told.encoding"), one("warning", "INVALID_ENCODING", "A quoted-printable value can't be read.")),
         F.when(F.size(p) == 0, one("error", "MALFORMED_VCARD", "The card is empty.")),
         F.when((F.size(p) > 0) & (version == ""), one("warning", "MISSING_VERSION", "The card has no version.")),
         F.when((version != "") & ~version.isin(VERSIONS), one("warning", "UNSUPPORTED_VERSION", "The card's version isn't supported.")),
         F.when((F.size(p) > 0) & (F.trim(text("FN")) == ""), one("warning", "MISSING_FN", "The card has no formatted name.")),
         F.when(F.exists(named(p, "URL"), lambda x: ~is_safe_url(F.trim(x["value"]))), one("warning", "UNSAFE_URI", "An address isn't http or https.")),
         F.when(F.size(named(p, "PHOTO", "LOGO")) > 0, one("warning", "UNSUPPORTED_BINARY_FIELD", "Media are kept as metadata only.")),
-        F.when(F.exists(p, lambda x: ~F.lower(parameter(x, "CHARSET")).isin(list(CHARSETS))), one("warning", "UNSUPPORTED_CHARSET", "A value's charset isn't supported.")),
+        F.when(F.exists(p, lambda x: ~F.replace(F.lower(parameter(x, "CHARSET")), F.lit("_"), F.lit("-")).isin(CHARSETS)), one("warning", "UNSUPPORTED_CHARSET", "A value's charset isn't supported.")),
         F.when(F.greatest(*(F.size(named(p, n)) for n in ("EMAIL", "TEL", "ADR", "URL"))) > limits.repeated_values, one("warning", "REPEATED_VALUE_LIMIT_REACHED", "A field has too many values.")),
     ))
     return contacts, rows.select("source_index", "source_file", "original_index", F.explode(found).alias("i"))
