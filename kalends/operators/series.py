@@ -138,7 +138,8 @@ def expand_events(events: DataFrame, start: str, end: str, series_ids: DataFrame
     both = both.where(~changed | inside | (F.col("cancelled") & F.col("source").isNotNull()))
     both = both.join(own.select("series_id", F.col("idx").alias("master_idx")), "series_id")
     rows = both.select("series_id", "tzid", "identity", F.coalesce("new_start", "identity").alias("start"), F.coalesce("changed_by", "master_idx").alias("idx"), changed.alias("modified"), F.coalesce("cancelled", F.lit(False)).alias("cancelled"), F.when(changed, "override").otherwise(F.col("source")).alias("source"), (changed & F.col("source").isNull()).alias("mismatch"))
-    rows = stored(capped(rows, limits.series_occurrences, limits.occurrences))
+    # expanded once: counts of series and the capped rows themselves both read it
+    rows = stored(capped(stored(rows), limits.series_occurrences, limits.occurrences))
     codes = expansion_codes(rules, start, end, limits.series_occurrences).where("code = 'RECURRENCE_LIMIT_REACHED'").unionByName(rows.where("truncated").select("series_id", F.lit("RECURRENCE_LIMIT_REACHED").alias("code")).distinct())
     told = found.diagnostics.unionByName(_told(additions.where("kind <> own_kind"), "RECURRENCE_TIME_KIND_MISMATCH", F.lit("RDATE")))
     told = told.unionByName(_told(own.join(codes.select("series_id"), "series_id", "left_semi"), "RECURRENCE_LIMIT_REACHED"))
