@@ -48,6 +48,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
             n = own.encode(text, counts_only=True)[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(text).cast(pa.int64()), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
+    if not encoder(tokenizer).proven:  # a splice isn't proven either
+        return rows.mapInArrow(count, COUNTS).withColumn("over_limit", F.col("n_tokens") > limit)
     small = rows.where(F.length("text") <= chunk_chars).mapInArrow(count, COUNTS)
     huge = stored(rows.where(F.length("text") > chunk_chars).withColumn("h", F.xxhash64("text")))  # read again by each widening
     counted = small.unionByName(count_huge(huge, tokenizer, chunk_chars, overlap_chars))

@@ -30,3 +30,16 @@ def test_counts_equal_library(spark, texts):
 
 def test_counts_of_no_rows(texts):
     assert count_tokens(texts([]), public("word_bpe_49k.json")).collect() == []
+
+
+def test_other_vocabularies_are_not_spliced(texts, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    # a merge reaches over blanks, so a splice at a blank would be wrong
+    own = Tokenizer(models.BPE({"a": 0, " ": 1, "a ": 2, "a a ": 3, "b": 4}, [("a", " "), ("a ", "a ")]))
+    own.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    own.save(str(tmp_path / "own.json"))
+    text = "a " * 701 + "b" + "a " * 33
+    rows = [(1, text), (2, None), (3, "a a")]
+    got = {r.doc_id: r.n_tokens for r in count_tokens(texts(rows), str(tmp_path / "own.json"), chunk_chars=100, overlap_chars=20).collect()}
+    assert got == {i: len(own.encode(t or "").ids) for i, t in rows}
