@@ -242,10 +242,12 @@ def confidence_histogram(groups: DataFrame) -> DataFrame:
     return every.join(found, "confidence", "left").select("place", "confidence", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("members", F.lit(0)).alias("members"))
 
 
-def filter_groups(groups: DataFrame, confidence: str | None = None, exact: bool | None = None) -> DataFrame:
-    """Groups of a confidence, and exact or other ones."""
+def filter_groups(groups: DataFrame, confidence: str | None = None, exact: bool | None = None, resolved: bool | None = None, decided: DataFrame | None = None) -> DataFrame:
+    """Groups of a confidence, exact or other ones, and those that have a decision or none; decided has the rows `group` that have (`contact_merge.latest`)."""
     if confidence is not None:
         groups = groups.where(F.col("confidence") == confidence)
+    if resolved is not None:
+        groups = groups.join(decided.select("group").distinct(), "group", "left_semi" if resolved else "left_anti")
     return groups if exact is None else groups.where(F.col("exact") == exact)
 
 

@@ -93,5 +93,20 @@ def preview(events: DataFrame, operation: str, target: str = "", source: str = "
     return done.withColumn("result", F.col("_outcome.result")).withColumn("code", F.col("_outcome.code")).withColumn("new_start", new(start)).withColumn("new_end", F.when(end.isNotNull(), new(end))).drop("_outcome")
 
 
+#: What a change may apply to.
+SCOPES = ["eligible", "matching", "floating", "selected"]
+
+
+def preview_scope(events: DataFrame, scope: str, operation: str, target: str, source: str = "", chosen: DataFrame | None = None) -> DataFrame:
+    """`preview` of the events in a scope: all (eligible), those in the zone `source` (matching), those without a zone
+    (floating), or those whose idx is among the rows of `chosen` (selected); the others are unchanged."""
+    if scope not in SCOPES:
+        raise ValueError(f"scope is one of {', '.join(SCOPES)}")
+    if scope == "selected":
+        marked = events.join(chosen.select("idx", F.lit(True).alias("_chosen")).distinct(), "idx", "left")
+        return preview(marked, operation, target, selected=F.coalesce("_chosen", F.lit(False))).drop("_chosen")
+    return preview(events, operation, target, source if scope == "matching" else "", F.col("start_time.kind") == "floating" if scope == "floating" else None)
+
+
 def result_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(*(F.count_if(F.col("result") == r).alias(r) for r in ("changed", "blocked", "warning", "unchanged")))

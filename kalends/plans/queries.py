@@ -6,6 +6,7 @@ them against brute force.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -127,6 +128,21 @@ def tz_assign(spark, d):
     return timezones.preview(calendar_events(spark, d), "assign", "Africa/Lagos").groupBy("result").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+with e as (select event_id, {KIND} as kind, event_id % 5 = 0 as recurring, {RESOLVES} as resolves from events),
+r as (select *, case when kind = 'date' then 'unchanged' when kind = 'floating' then 'warning' when kind = 'zoned' and not resolves then 'blocked' when recurring then 'blocked' else 'changed' end as result from e),
+x as (select 'eligible' as scope, result from r union all select 'floating', case when kind = 'floating' then result else 'unchanged' end from r
+  union all select 'matching', case when kind in ('zoned', 'floating') then result else 'unchanged' end from r union all select 'selected', case when event_id % 3 = 0 then result else 'unchanged' end from r)
+select scope, count(*) filter (result = 'changed') as changed, count(*) filter (result = 'blocked') as blocked, count(*) filter (result = 'warning') as warning, count(*) filter (result = 'unchanged') as unchanged from x group by 1
+""")
+def tz_scopes(spark, d):
+    """FLT7, JN13, AGG15: what a conversion does to all events, those in a zone, those without one, and chosen ones."""
+    e = calendar_events(spark, d)
+    chosen = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("idx"))
+    each = [timezones.result_counts(timezones.preview_scope(e, s, "convert", "Europe/Lisbon", "America/New_York", chosen)).select(F.lit(s).alias("scope"), "*") for s in timezones.SCOPES]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 @query("select o_orderkey, case when timezone('America/Sao_Paulo', timezone('America/Sao_Paulo', date_trunc('day', o_orderdate))) = date_trunc('day', o_orderdate) then 'valid' else 'nonexistent' end as status from orders")
 def wall_time_resolution(spark, d):
     """FN-T5, FN-T6: midnights in a zone whose clocks skip some."""

@@ -164,3 +164,14 @@ def test_merge_and_resolutions(spark):
     assert last("merge", "reset") == [] and last("merge", "reset", "keep") == ["keep"]
     kept = contact_merge.derive(c, groups, log("merge")).orderBy("position").collect()
     assert [(r.position, r.merged) for r in kept] == [(0, True), (2, False)]
+
+
+def test_groups_by_decision(spark):
+    from kalends.operators.contact_duplicates import filter_groups
+    from kalends.operators.contact_merge import latest
+
+    groups = spark.createDataFrame([(1, "certain", True), (2, "likely", False), (3, "certain", False)], "group long, confidence string, exact boolean")
+    made = spark.createDataFrame([(1, 1, "merge"), (2, 2, "keep"), (3, 2, "undo"), (4, 3, "keep"), (5, 3, "merge")], "seq long, group long, type string")
+    of = lambda **k: sorted(r.group for r in filter_groups(groups, decided=latest(made), **k).collect())
+    assert of(resolved=True) == [1, 3] and of(resolved=False) == [2]
+    assert of(confidence="certain", resolved=True, exact=False) == [3]
