@@ -69,13 +69,17 @@ def issue(severity: str, code: str, message: str) -> Column:
 
 
 def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
-    """Calendars of FILES rows. Text without BEGIN:VCALENDAR, empty and null text give an error row and no events."""
+    """Calendars of FILES rows. Text without BEGIN:VCALENDAR, empty and null text give an error row and no events.
+
+    An event's diagnostics have the line, from 1, at which it begins in its file.
+    """
     whole = files.select("source_index", "source_file", F.concat(F.lit("\n"), unfold(F.coalesce("text", F.lit("")))).alias("body"))
     is_calendar = F.col("body").contains("\nBEGIN:VCALENDAR")
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
     blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
     # a file's events spread over the cluster, parsing being the costly part; one file may hold most of them
     events, per_event = parse_blocks(blocks.repartition("source_index", "event_index"), limits)
+    per_event = per_event.join(event_lines(files), ["source_index", "event_index"], "left")
     file_issues = F.array_compact(F.array(
         F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")),
         F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
@@ -83,10 +87,18 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
         F.when(is_calendar & (begins > limits.events), issue("error", "LIMIT_EXCEEDED", "The file has too many events.")),
     ))
     per_file = whole.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(file_issues).alias("i"))
-    diagnostics = per_event.unionByName(per_file).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
+    diagnostics = per_event.unionByName(per_file, allowMissingColumns=True).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message", "line")
     return Calendars(events, metadata(whole.where(is_calendar)), diagnostics)
 
 
+def event_lines(files: DataFrame) -> DataFrame:
+    """(source_index, event_index, line): where the events of FILES rows begin. A file whose markers are folded or cased otherwise has none."""
+    text = F.coalesce("text", F.lit(""))
+    blocks = event_blocks(F.concat(F.lit("\n"), unfold(text)))
+    known = let(block_lines(text), lambda x: F.when(F.size(x) == F.size(blocks), x))
+    return files.select("source_index", F.posexplode(known).alias("event_index", "line"))
+
+
 def parse_components(rows: DataFrame, limits: Limits = LIMITS) -> Calendars:
     """Calendars of COMPONENTS rows (see `splits`) of VEVENT; files and events are numbered by name and place.
 
@@ -105,7 +117,7 @@ def parse_components(rows: DataFrame, limits: Limits = LIMITS) -> Calendars:
     whole = outside.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(F.array_compact(F.array(
         F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")), F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
     ))).alias("i"))
-    diagnostics = per_event.unionByName(torn).unionByName(whole).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
+    diagnostics = per_event.unionByName(torn).unionByName(whole).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message", F.lit(None).cast("int").alias("line"))
     calendars = outside.where(is_calendar)
     return Calendars(events.join(calendars.select("source_index"), "source_index", "left_semi"), metadata(calendars), diagnostics)
 
