@@ -128,6 +128,22 @@ def tz_assign(spark, d):
     return timezones.preview(calendar_events(spark, d), "assign", "Africa/Lagos").groupBy("result").agg(F.count("*").alias("n"))
 
 
+@query("""
+with o as (select o_orderkey, date_trunc('day', o_orderdate)::timestamp - case when o_orderkey % 2 = 1 then interval 30 minute else interval 0 minute end as wall from orders),
+i as (select *, timezone('America/Sao_Paulo', wall) as instant from o),
+k as (select *, timezone('America/Sao_Paulo', instant) <> wall as skipped, timezone('America/Sao_Paulo', instant - interval 1 hour) = wall or timezone('America/Sao_Paulo', instant + interval 1 hour) = wall as repeated from i)
+select o_orderkey, case when skipped or repeated then 'blocked' else 'changed' end as result, case when skipped then 'NONEXISTENT_LOCAL_TIME' when repeated then 'AMBIGUOUS_LOCAL_TIME' else '' end as code from k
+""")
+def tz_assign_gaps(spark, d):
+    """TG11: floating midnights, and half hours before, set in a zone that skips some of the ones and repeats some of the others."""
+    o = table(spark, d, "orders")
+    wall = F.date_trunc("day", "o_orderdate").cast("timestamp") - F.make_dt_interval(mins=F.when(F.col("o_orderkey") % 2 == 1, 30).otherwise(0))
+    none = F.lit(None).cast(TM.TIME)
+    times = F.array().cast(f"array<{TM.TIME}>")
+    e = o.select("o_orderkey", TM.typed(F.date_format(wall, "yyyyMMdd'T'HHmmss"), F.lit(""), F.lit(False)).alias("start_time"), none.alias("end_time"), none.alias("recurrence_id"), times.alias("rdates"), times.alias("exdates"), F.lit("").alias("rrule"))
+    return timezones.preview(e, "assign", "America/Sao_Paulo").select("o_orderkey", "result", "code")
+
+
 @query(f"""
 with e as (select event_id, {KIND} as kind, event_id % 5 = 0 as recurring, {RESOLVES} as resolves from events),
 r as (select *, case when kind = 'date' then 'unchanged' when kind = 'floating' then 'warning' when kind = 'zoned' and not resolves then 'blocked' when recurring then 'blocked' else 'changed' end as result from e),
