@@ -123,6 +123,35 @@ def test_a_cap_on_pairs_is_reported(spark):
     assert contact_duplicates.find_duplicates(people).metrics.first().candidate_pairs == 45
 
 
+def test_pairs_of_a_bucket_come_once_and_are_not_shuffled(spark, monkeypatch):
+    from itertools import combinations
+
+    shared = {i: [f"e{i % 3}@x.com", f"e{i % 4}@x.com", *(f"m{i // 2 * 2 + k}@x.com" for k in range(i % 5))] for i in range(40)}
+    rows = [(i, 2, e, k) for i, own in shared.items() for k, e in enumerate(dict.fromkeys(own))] + [(i, 3, f"p{i % 6}", 0) for i in shared]
+    keys = spark.createDataFrame(rows, "idx long, rank int, key string, position int")
+    seen = {}
+    for i, rank, key, _ in rows:
+        seen.setdefault((rank, key), set()).add(i)
+    want = {}
+    for (rank, _), members in sorted(seen.items()):
+        for a, b in combinations(sorted(members), 2):
+            want.setdefault((a, b), rank)
+    for carried in (64, 4, 0):  # contacts of more buckets go the other way
+        monkeypatch.setattr(contact_duplicates, "CARRIED", carried)
+        got = [tuple(r) for r in contact_duplicates.pair_seeds(keys)[0].collect()]
+        assert len(got) == len(want) and {(a, b): rank for a, b, rank in got} == want, carried
+    # 400 contacts of one address are 79,800 pairs; none of them goes through a shuffle
+    monkeypatch.setattr(contact_duplicates, "CARRIED", 64)
+    many = contact_duplicates.pair_seeds(spark.range(400).selectExpr("id as idx", "2 as rank", "'a@x.com' as key", "0 as position"))[0]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in range(before, after))
+    ids = spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    before = ids()
+    assert many.write.format("noop").mode("overwrite").save() is None and many.count() == 79_800
+    after = ids()
+    assert written() < 20_000
+
+
 def test_signature_is_of_all_fields(spark):
     def card(*lines):
         return "\n".join(["BEGIN:VCARD", "VERSION:3.0", "FN:Ann Lee", "N:Lee;Ann", "EMAIL;TYPE=home:ann@x.com", *lines, "END:VCARD"])
