@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bind import let
 from ..functions.text import as_is, nfkc_each, normalize_email, normalize_name, normalize_phone, normalize_text
 from ..sources.properties import vendor_properties
 from .contact_duplicates import richness
@@ -90,16 +91,18 @@ def unite(values: Column, raw: Column, key) -> Column:
     """The first struct of each non-empty key with the types and parameters of all; a preference stays if there is no other. raw: the values in NFKC."""
     keyed = F.filter(F.transform(values, lambda x, i: F.struct(key(F.get(raw, i), as_is).alias("k"), x.alias("v"))), lambda x: x["k"] != "")
 
-    def one(k: Column) -> Column:
-        same = F.filter(keyed, lambda x: x["k"] == k)
+    def one(same: Column) -> Column:
         prefs = F.array_distinct(F.filter(F.transform(same, lambda x: x["v"]["preference"]), lambda p: p.isNotNull()))
         types = F.array_distinct(F.flatten(F.transform(same, lambda x: x["v"]["types"])))
         named = F.flatten(F.transform(same, lambda x: F.map_entries(F.coalesce(x["v"]["parameters"], F.expr("cast(map() as map<string,array<string>>)")))))
+        return F.get(same, F.lit(0))["v"].withField("types", types).withField("parameters", let(named, joined)).withField("preference", let(prefs, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0)))))
+
+    def joined(named: Column) -> Column:
         names = F.array_distinct(F.transform(named, lambda e: e["key"]))
-        joined = F.map_from_arrays(names, F.transform(names, lambda n: F.array_distinct(F.flatten(F.transform(F.filter(named, lambda e: e["key"] == n), lambda e: e["value"])))))
-        return F.get(same, F.lit(0))["v"].withField("types", types).withField("parameters", joined).withField("preference", F.when(F.size(prefs) == 1, F.get(prefs, F.lit(0))))
+        return let(names, lambda names: F.map_from_arrays(names, F.transform(names, lambda n: F.array_distinct(F.flatten(F.transform(F.filter(named, lambda e: e["key"] == n), lambda e: e["value"]))))))
 
-    return F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), one)
+    # bound, as Spark would work out all keys again at each mention, for each key
+    return let(keyed, lambda kept: F.transform(F.array_distinct(F.transform(kept, lambda x: x["k"])), lambda k: let(F.filter(kept, lambda x: x["k"] == k), one)))
 
 
 # decisions on groups
