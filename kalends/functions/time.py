@@ -13,6 +13,8 @@ import zoneinfo
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 TIME = "struct<kind:string,raw:string,value:string,tzid:string,instant:timestamp>"
 QUARTER, FARTHEST, REACH = 900, 50_400, 36
 
@@ -56,9 +58,12 @@ def wall_status(instants: Column) -> Column:
 
 def wall_instant(wall: Column, tz: Column) -> Column:
     """The one instant of a wall time; null in a gap, a fold or an unknown zone."""
-    known = is_supported_zone(tz)
-    found = wall_instants(wall, F.when(known, tz).otherwise("UTC"))
-    return F.when(known & (F.size(found) == 1), F.get(found, F.lit(0)))
+    def found(x: Column) -> Column:
+        only = let(wall_instants(x["wall"], x["tz"]), lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))))
+        return F.when(x["tz"].isNotNull(), only)
+
+    # bound, as Spark would read the wall time, look the zone up and search for the instants again at each mention
+    return let(F.struct(wall.alias("wall"), F.when(is_supported_zone(tz), tz).alias("tz")), found)
 
 
 def extended(raw: Column) -> Column:
@@ -68,9 +73,12 @@ def extended(raw: Column) -> Column:
 
 def parse_wall(raw: Column) -> Column:
     """TIMESTAMP_NTZ of a basic date-time or date; null if it isn't a real one. A 60th second is the next minute's first."""
-    base = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(raw, "Z$", ""), r"T(\d{4})60$", "T$159"), F.when(F.length(raw) == 8, F.lit("yyyyMMdd")).otherwise(F.lit("yyyyMMdd'T'HHmmss")))
-    leap = raw.rlike(r"T\d{4}60Z?$")
-    return F.when(leap, base + F.expr("interval '1' second")).otherwise(base).cast("timestamp_ntz")
+    # the extended form is cast: a pattern that depends on the row makes Spark build a formatter for each
+    at = lambda k, n: F.substring(raw, k, n)
+    day = F.concat(at(1, 4), F.lit("-"), at(5, 2), F.lit("-"), at(7, 2))
+    leap = F.concat(at(9, 1), at(14, 2)) == "T60"
+    time = F.concat(day, F.lit("T"), at(10, 2), F.lit(":"), at(12, 2), F.lit(":"), F.when(leap, "59").otherwise(at(14, 2))).try_cast("timestamp_ntz")
+    return F.when(raw.rlike(r"^\d{8}\z"), day.try_cast("timestamp_ntz")).when(raw.rlike(r"^\d{8}[Tt]\d{6}Z?\z"), F.when(leap, time + F.expr("interval '1' second")).otherwise(time))
 
 
 def typed(raw: Column, tzid: Column, is_date: Column) -> Column:
