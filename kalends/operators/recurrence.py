@@ -45,40 +45,48 @@ def _within(low: int, high: int) -> Callable[[Column], Column]:
 
 def rule_code(rrule: Column) -> Column:
     """INVALID_RRULE for a rule that can't be read, UNSUPPORTED_RRULE_PART for one with other parts, null else."""
-    m = rule_map(rrule)
-    fine = F.coalesce(m["FREQ"].isin(list(PERIODS)), F.lit(False))
-    for name, pattern in PATTERNS.items():
-        fine = fine & F.coalesce(m[name].rlike(f"^(?:{pattern})$"), ~F.map_contains_key(m, F.lit(name)))
-    for name, (low, high) in NUMBERED.items():
-        fine = fine & F.coalesce(F.forall(F.split(m[name], ","), _within(low, high)), ~F.map_contains_key(m, F.lit(name)))
-    other = F.size(unsupported_parts(rrule)) > 0
-    return F.when(F.coalesce(rrule, F.lit("")) == "", None).when(other, F.lit("UNSUPPORTED_RRULE_PART")).when(~fine, F.lit("INVALID_RRULE"))
+    def code(m: Column) -> Column:
+        fine = F.coalesce(m["FREQ"].isin(list(PERIODS)), F.lit(False))
+        for name, pattern in PATTERNS.items():
+            fine = fine & F.coalesce(m[name].rlike(f"^(?:{pattern})$"), ~F.map_contains_key(m, F.lit(name)))
+        for name, (low, high) in NUMBERED.items():
+            fine = fine & F.coalesce(F.forall(F.split(m[name], ","), _within(low, high)), ~F.map_contains_key(m, F.lit(name)))
+        return F.when(F.size(_other_parts(m)) > 0, F.lit("UNSUPPORTED_RRULE_PART")).when(~fine, F.lit("INVALID_RRULE"))
+
+    # bound, as Spark would take the rule apart again at each mention
+    return F.when(F.coalesce(rrule, F.lit("")) != "", let(rule_map(rrule), code))
 
 
 def unsupported_parts(rrule: Column) -> Column:
-    return F.array_except(F.filter(F.map_keys(rule_map(rrule)), lambda k: k != ""), F.array(*map(F.lit, PARTS)))
+    return _other_parts(rule_map(rrule))
+
+
+def _other_parts(m: Column) -> Column:
+    return F.array_except(F.filter(F.map_keys(m), lambda k: k != ""), F.array(*map(F.lit, PARTS)))
 
 
 def work_estimate(rrule: Column, days: Column, additions: Column) -> Column:
     """About how many occurrences a series can have in a range of days."""
-    m = rule_map(rrule)
-    freq, whole = m["FREQ"], lambda name, least: F.greatest(F.lit(least), F.coalesce(F.try_to_number(m[name], F.lit("99999999")).cast("long"), F.lit(least)))
-    seconds = F.greatest(F.lit(1), days * 86_400)
-    period = F.lit(86_400)
-    for name, size in PERIODS.items():
-        period = F.when(freq == name, F.lit(size if size < 700_000 else {"MONTHLY": 2_592_000, "YEARLY": 31_536_000}[name])).otherwise(period)
-    base = seconds / period / whole("INTERVAL", 1)
-    base = F.when(freq == "MONTHLY", base * 5).when(freq == "YEARLY", base * 366).otherwise(base)
-    for part in ("BYHOUR", "BYMINUTE", "BYSECOND"):
-        base = base * F.greatest(F.lit(1), F.when(m[part].isNull(), F.lit(0)).otherwise(F.size(F.split(m[part], ","))))
-    count = F.coalesce(F.try_to_number(m["COUNT"], F.lit("99999999")).cast("long"), F.lit(2**62))
-    return F.when(F.coalesce(rrule, F.lit("")) == "", additions + 1).otherwise(F.least(count, F.ceil(base)) + additions)
+    def estimate(m: Column) -> Column:
+        freq, whole = m["FREQ"], lambda name, least: F.greatest(F.lit(least), F.coalesce(F.try_to_number(m[name], F.lit("99999999")).cast("long"), F.lit(least)))
+        seconds = F.greatest(F.lit(1), days * 86_400)
+        period = F.lit(86_400)
+        for name, size in PERIODS.items():
+            period = F.when(freq == name, F.lit(size if size < 700_000 else {"MONTHLY": 2_592_000, "YEARLY": 31_536_000}[name])).otherwise(period)
+        base = seconds / period / whole("INTERVAL", 1)
+        base = F.when(freq == "MONTHLY", base * 5).when(freq == "YEARLY", base * 366).otherwise(base)
+        for part in ("BYHOUR", "BYMINUTE", "BYSECOND"):
+            base = base * F.greatest(F.lit(1), F.when(m[part].isNull(), F.lit(0)).otherwise(F.size(F.split(m[part], ","))))
+        count = F.coalesce(F.try_to_number(m["COUNT"], F.lit("99999999")).cast("long"), F.lit(2**62))
+        return F.least(count, F.ceil(base)) + additions
+
+    return F.when(F.coalesce(rrule, F.lit("")) == "", additions + 1).otherwise(let(rule_map(rrule), estimate))
 
 
 def is_simple(rrule: Column) -> Column:
     """A rule of equal steps: INTERVAL, COUNT and UNTIL alone, and no months or years."""
-    m = rule_map(rrule)
-    return m["FREQ"].isin([f for f in PERIODS if f not in ("MONTHLY", "YEARLY")]) & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST"])))) == 0)
+    equal = lambda m: m["FREQ"].isin([f for f in PERIODS if f not in ("MONTHLY", "YEARLY")]) & (F.size(F.array_except(F.map_keys(m), F.array(*map(F.lit, ["FREQ", "INTERVAL", "COUNT", "UNTIL", "WKST"])))) == 0)
+    return let(rule_map(rrule), equal)
 
 
 def until_of(m: Column, tzid: Column | None = None) -> Column:
@@ -107,7 +115,7 @@ def wall_at(at: Column) -> Column:
 
 def expand_simple(series: DataFrame, start: str, end: str) -> DataFrame:
     """(series_id, start TIMESTAMP_NTZ) of simple rules in [start 00:00:00, end 23:59:59]; the sequence begins at the first step inside."""
-    m = rule_map(F.col("rrule"))
+    series, m = series.withColumn("_m", rule_map(F.col("rrule"))), F.col("_m")
     unit = F.create_map(*(F.lit(x) for f, n in PERIODS.items() for x in (f, n)))[m["FREQ"]]
     step = (unit * F.coalesce(m["INTERVAL"].try_cast("long"), F.lit(1))).cast("long")
     lo, hi = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (f"{start} 00:00:00", f"{end} 23:59:59"))
@@ -126,7 +134,7 @@ def expand_simple(series: DataFrame, start: str, end: str) -> DataFrame:
 
 def rule_parts(series: DataFrame) -> DataFrame:
     """series_id and a rule's parts as columns: lists are arrays of int, weekdays those of any week (`wdays`) or n * 7 + weekday of the n-th (`nth`)."""
-    m = rule_map(F.col("rrule"))
+    series, m = series.withColumn("_m", rule_map(F.col("rrule"))), F.col("_m")
     numbers = lambda name: F.coalesce(F.array_sort(F.array_distinct(F.split(m[name], ",").cast("array<int>"))), F.expr("cast(array() as array<int>)"))
     weekday = lambda d: F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.right(d, F.lit(2))).cast("int") - 1
     nth = lambda d: F.coalesce(F.regexp_extract(d, r"^([+-]?\d+)", 1).try_cast("int"), F.lit(0))
@@ -227,11 +235,18 @@ def day_times(day: Column) -> Column:
         zero = day.cast("long") * (86_400 // size) - F.floor(start / size)
         return F.filter(units, lambda u: F.pmod(u + zero, F.col("interval")) == 0)
 
-    short = lambda units, size, rest: F.flatten(F.transform(steps(units, size), lambda u: F.transform(rest, lambda r: u * size + r)))
+    def hourly() -> Column:
+        # of all hours, only those in step are made
+        first = F.pmod(F.floor(start / 3600) - day.cast("long") * 24, F.col("interval")).cast("int")
+        in_step = F.when(first < 24, F.sequence(first, F.lit(23), F.least("interval", F.lit(24)).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.when(F.size("hours") > 0, steps(F.col("hours"), 3600)).otherwise(in_step)
+
+    times = lambda units, size, rest: F.flatten(F.transform(units, lambda u: F.transform(rest, lambda r: u * size + r)))
+    short = lambda units, size, rest: times(steps(units, size), size, rest)
     whole = product((F.col("hours"), 3600), (F.col("minutes"), 60), (F.col("seconds"), 1))
     freq = F.col("freq")
     return (
-        F.when(freq == "HOURLY", short(hours, 3600, chosen(product((F.col("minutes"), 60), (F.col("seconds"), 1)))))
+        F.when(freq == "HOURLY", times(hourly(), 3600, chosen(product((F.col("minutes"), 60), (F.col("seconds"), 1)))))
         .when(freq == "MINUTELY", short(product((hours, 60), (minutes, 1)), 60, chosen(F.col("seconds"))))
         .when(freq == "SECONDLY", short(product((hours, 3600), (minutes, 60), (unlimited("seconds", 60), 1)), 1, chosen(F.array(F.lit(0)))))
         .when(freq == "DAILY", chosen(whole)).otherwise(whole)
@@ -247,7 +262,11 @@ def expand_parts(rules: DataFrame, start: str, end: str) -> DataFrame:
     step = F.when(F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY", "DAILY"), F.col("interval")).otherwise(F.lit(1).cast("long"))
     first = F.col("period0") + F.ceil((period_of(F.col("low")) - F.col("period0")) / step) * step
     own = own.withColumn("first", first.cast("long")).withColumn("last", period_of(F.col("high"))).where("first <= last")
-    own = own.select("*", F.explode(F.sequence(F.col("first"), F.col("last"), step)).alias("period"))
+    # a period that is a day of another weekday gets no row
+    weekly = (F.size("wdays") > 0) & ~F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY")
+    every = F.sequence(F.col("first"), F.col("last"), step)
+    periods = F.when(weekly, F.filter(every, lambda p: F.array_contains("wdays", F.pmod(p + 3, F.lit(7)).cast("int")))).otherwise(every)
+    own = own.select("*", F.explode(periods).alias("period"))
     # a set is chosen from a whole period; a week begins with the start's own day, if that is in it
     sets = (F.size("places") > 0) & F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY")
     single = own.where(~sets).select("*", F.explode(period_days(F.col("low"), F.col("high"))).alias("day")).where(passes(F.col("day")))
