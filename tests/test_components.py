@@ -1,4 +1,22 @@
 from kalends.operators.components import connected_components
+from kalends.session import spread
+
+
+def test_partitions_follow_the_rows_and_go_back(spark):
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    with spread(spark, 40_000_000):
+        assert int(spark.conf.get(name)) == max(40, int(own))
+    with spread(spark, 10):
+        assert spark.conf.get(name) == own
+    assert spark.conf.get(name) == own
+
+
+def test_components_ask_for_partitions_by_their_edges(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr("kalends.operators.components.spread", lambda s, rows: asked.append(rows) or spread(s, rows))
+    connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+    assert asked[:2] == [30, 60]
 
 
 def test_components_of_a_chain_and_a_hub(spark):
