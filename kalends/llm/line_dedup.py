@@ -108,6 +108,30 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
+def numbered_shingles(line: str) -> np.ndarray | set[str]:
+    """A line's distinct shingles: of characters of one byte each as whole numbers in order, of others as texts. Both are exact."""
+    try:
+        x = np.frombuffer(padded(line).encode("latin-1"), np.uint8).astype(np.uint64)
+    except UnicodeEncodeError:
+        return shingles(line)
+    span = 1
+    while span < SHINGLE:  # numbers of 2, 4 and 8 characters from those of half as many
+        x = x[:-span] << np.uint64(8 * span) | x[span:]
+        span *= 2
+    x.sort()
+    first = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def texts(x: np.ndarray | set[str]) -> set[str]:
+    """The shingles of `numbered_shingles` as texts."""
+    if isinstance(x, set):
+        return x
+    whole = x.astype(">u8").tobytes().decode("latin-1")
+    return {whole[i : i + SHINGLE] for i in range(0, len(whole), SHINGLE)}
+
+
 def features(lines: list[str]) -> list[np.ndarray]:
     """Each line's distinct shingles, hashed."""
     h, owner = shingle_hashes([padded(x) for x in lines])
@@ -122,6 +146,18 @@ def jaccard(x: set[str], y: set[str], threshold: float = 0.0) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def similarity(x: np.ndarray | set[str], y: np.ndarray | set[str], threshold: float = 0.0) -> float:
+    """`jaccard` of the values of `numbered_shingles`."""
+    if isinstance(x, set) or isinstance(y, set):
+        return jaccard(texts(x), texts(y), threshold)
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return 0.0
+    every = np.concatenate((x, y))
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return both / (len(x) + len(y) - both)
+
+
 def line_table(rows: DataFrame, min_chars: int) -> DataFrame:
     """A row per line of rows (doc_id, text, t): its place, node h and length; band keys where a task meets a node first."""
 
@@ -170,7 +206,7 @@ def linked(rows: DataFrame, table: DataFrame, places: DataFrame, threshold: floa
     items = parts.select(F.inline("of")).mapInArrow(tidy, "id long, value string")
     # rows that repeat an id and a text give their lines again
     items = stored(items.groupBy("id").agg(F.first("value").alias("value")))
-    return bucket_components(buckets, items, Likeness(shingles, lambda x, y: jaccard(x, y, threshold) >= threshold, features, threshold))
+    return bucket_components(buckets, items, Likeness(numbered_shingles, lambda x, y: similarity(x, y, threshold) >= threshold, features, threshold))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
