@@ -9,7 +9,7 @@ from kalends.operators.contact_merge import unite
 from kalends.operators.recurrence import is_simple, rule_code, work_estimate
 from kalends.operators.search import domain
 from kalends.plans.queries import QUERIES
-from kalends.plans.tables import dealt
+from kalends.plans.tables import dealt, recurring_events
 
 
 def plan(df):
@@ -51,3 +51,10 @@ def test_rules_and_times_are_taken_apart_once(spark):
         assert plan(rows.select(c.alias("c"))).count("str_to_map") == 1
     text = plan(rows.select(wall_instant(F.col("w").cast("timestamp_ntz"), F.col("z")).alias("c")))
     assert text.count("Africa/Abidjan") == 1
+
+
+def test_recurring_events_are_made_by_all_cores(spark):
+    """The tasks that read the file made them, one for a row group."""
+    rows = recurring_events(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id % 5 <= 1").count()
