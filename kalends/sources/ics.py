@@ -7,6 +7,7 @@ exploded. A broken event costs itself alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,25 +15,30 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
 from ..functions.bind import let
-from ..functions.text import unescape_text, unfold
+from ..functions.text import plain_ends, unescape_text, unfold
 from ..functions.time import TIME, typed, zone_label
 from ..operators.search import numbered_within, ranked, running_total
 from ..session import stored
-from .properties import first_value, named, parameter, parse_lines
+from .properties import first, first_value, named, parameter, parse_lines
 
 UNTITLED = "(Untitled event)"
 BEGIN, END = "\nBEGIN:VEVENT\n", "\nEND:VEVENT"
 NESTED = r"(?s)BEGIN:(VALARM|VTODO|VJOURNAL)\n.*?END:\1\n?"
 METADATA = {"prodid": ["PRODID"], "version": ["VERSION"], "method": ["METHOD"], "calscale": ["CALSCALE"], "name": ["NAME", "X-WR-CALNAME"], "description": ["DESCRIPTION", "X-WR-CALDESC"], "timezone": ["X-WR-TIMEZONE", "TIMEZONE-ID"], "refresh_interval": ["REFRESH-INTERVAL", "X-PUBLISHED-TTL"], "color": ["COLOR", "X-APPLE-CALENDAR-COLOR"], "source": ["SOURCE"]}
-#: Properties that an event has once at most; fixed values.
+#: Properties that an event has one value or time of, and those it has once at most; fixed values.
+VALUES = ["UID", "SUMMARY", "DESCRIPTION", "LOCATION", "DURATION", "STATUS", "RRULE", "SEQUENCE", "URL", "GEO"]
+TIMES = ["DTSTART", "DTEND", "RECURRENCE-ID", "CREATED", "LAST-MODIFIED", "DTSTAMP"]
 SINGLE = ["UID", "DTSTART", "DTEND", "SUMMARY", "DESCRIPTION", "LOCATION", "STATUS", "RRULE", "SEQUENCE", "ORGANIZER", "RECURRENCE-ID"]
 
 
 @dataclass(frozen=True)
 class Calendars:
+    """`unplaced` are the diagnostics without their lines, which cost another pass over the texts."""
+
     events: DataFrame
     metadata: DataFrame
     diagnostics: DataFrame
+    unplaced: DataFrame
 
 
 def event_blocks(body: Column) -> Column:
@@ -43,18 +49,19 @@ def event_blocks(body: Column) -> Column:
 
 
 def time_of(p: Column) -> Column:
-    return typed(F.trim(p["value"]), parameter(p, "TZID"), F.upper(parameter(p, "VALUE")) == "DATE")
+    told = F.struct(F.trim(p["value"]).alias("raw"), parameter(p, "TZID").alias("tzid"), (F.upper(parameter(p, "VALUE")) == "DATE").alias("date"))
+    return let(told, lambda x: typed(x["raw"], x["tzid"], x["date"]))
 
 
 def times_of(properties: Column, name: str) -> Column:
     """All values of a list property; periods have none, unreadable values are left out."""
-    each = F.transform(F.filter(named(properties, name), lambda p: F.upper(parameter(p, "VALUE")) != "PERIOD"), lambda p: F.transform(F.split(p["value"], ","), lambda v: typed(F.trim(v), parameter(p, "TZID"), F.upper(parameter(p, "VALUE")) == "DATE")))
-    return F.filter(F.flatten(each), lambda t: t.isNotNull())
+    found = named(properties, name)
+    each = F.transform(F.filter(found, lambda p: F.upper(parameter(p, "VALUE")) != "PERIOD"), lambda p: F.transform(F.split(p["value"], ","), lambda v: typed(F.trim(v), parameter(p, "TZID"), F.upper(parameter(p, "VALUE")) == "DATE")))
+    return F.when(F.size(found) > 0, F.filter(F.flatten(each), lambda t: t.isNotNull())).otherwise(F.array().cast(f"array<{TIME}>"))
 
 
 def time_named(properties: Column, name: str) -> Column:
-    p = F.get(named(properties, name), F.lit(0))
-    return F.when(p.isNotNull(), time_of(p))
+    return let(first(properties, name), lambda p: F.when(p.isNotNull(), time_of(p)))
 
 
 def person(p: Column) -> Column:
@@ -68,18 +75,20 @@ def issue(severity: str, code: str, message: str) -> Column:
     return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"))
 
 
-def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
+def parse_ics(files: DataFrame, limits: Limits = LIMITS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Calendars:
     """Calendars of FILES rows. Text without BEGIN:VCALENDAR, empty and null text give an error row and no events.
 
     An event's diagnostics have the line, from 1, at which it begins in its file.
+    With `stored` as `keep`, events are parsed once for all that is read of them.
     """
     whole = files.select("source_index", "source_file", F.concat(F.lit("\n"), unfold(F.coalesce("text", F.lit("")))).alias("body"))
     is_calendar = F.col("body").contains("\nBEGIN:VCALENDAR")
     begins, ends = F.regexp_count("body", F.lit(r"\nBEGIN:VEVENT(?=\n|$)")), F.regexp_count("body", F.lit(r"\nEND:VEVENT(?=\n|$)"))
     blocks = whole.where(is_calendar).select("source_index", "source_file", F.posexplode(F.slice(event_blocks(F.col("body")), 1, limits.events)).alias("event_index", "block"))
     # a file's events spread over the cluster, parsing being the costly part; one file may hold most of them
-    events, per_event = parse_blocks(blocks.repartition("source_index", "event_index"), limits)
-    per_event = per_event.join(event_lines(files), ["source_index", "event_index"], "left")
+    # a number is given, as blocks are few bytes and Spark would join them to hardly more tasks than cores
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    events, per_event = parse_blocks(blocks.repartition(tasks, "source_index", "event_index"), limits, keep)
     file_issues = F.array_compact(F.array(
         F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")),
         F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
@@ -87,8 +96,10 @@ def parse_ics(files: DataFrame, limits: Limits = LIMITS) -> Calendars:
         F.when(is_calendar & (begins > limits.events), issue("error", "LIMIT_EXCEEDED", "The file has too many events.")),
     ))
     per_file = whole.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(file_issues).alias("i"))
-    diagnostics = per_event.unionByName(per_file, allowMissingColumns=True).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message", "line")
-    return Calendars(events, metadata(whole.where(is_calendar)), diagnostics)
+    fields = ["source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message"]
+    placed = per_event.join(event_lines(files), ["source_index", "event_index"], "left")
+    diagnostics = placed.unionByName(per_file, allowMissingColumns=True).select(*fields, "line")
+    return Calendars(events, metadata(whole.where(is_calendar)), diagnostics, per_event.unionByName(per_file).select(*fields))
 
 
 def event_lines(files: DataFrame) -> DataFrame:
@@ -117,47 +128,58 @@ def parse_components(rows: DataFrame, limits: Limits = LIMITS) -> Calendars:
     whole = outside.select("source_index", "source_file", F.lit(None).cast("int").alias("event_index"), F.lit("").alias("event_uid"), F.explode(F.array_compact(F.array(
         F.when(~is_calendar, issue("error", "MALFORMED_EVENT", "The file isn't a calendar.")), F.when(is_calendar & ~F.col("body").rlike(r"\nEND:VCALENDAR\s*$"), issue("warning", "TRUNCATED_COMPONENT", "The calendar doesn't end.")),
     ))).alias("i"))
-    diagnostics = per_event.unionByName(torn).unionByName(whole).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message", F.lit(None).cast("int").alias("line"))
+    unplaced = per_event.unionByName(torn).unionByName(whole).select("source_index", "source_file", "event_index", "event_uid", "i.severity", "i.code", "i.message")
     calendars = outside.where(is_calendar)
-    return Calendars(events.join(calendars.select("source_index"), "source_index", "left_semi"), metadata(calendars), diagnostics)
+    return Calendars(events.join(calendars.select("source_index"), "source_index", "left_semi"), metadata(calendars), unplaced.withColumn("line", F.lit(None).cast("int")), unplaced)
 
 
-def parse_blocks(blocks: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
-    """Events, and diagnostics as structs `i`, of blocks (source_index, source_file, event_index, block)."""
-    # parsed properties are kept as a column of their own so that each is parsed once
-    parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(F.regexp_replace("block", NESTED, "")))).alias("p"))
+def parse_blocks(blocks: DataFrame, limits: Limits = LIMITS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Events, and diagnostics as structs `i`, of blocks (source_index, source_file, event_index, block). `keep` takes what both are read from."""
+    # what is mentioned often is a column of its own, so that it is worked out once; values and times are found by one lambda for
+    # all names, as an expression for each makes methods that are too long for Java to compile
+    plain = F.when(F.col("block").contains("BEGIN:V"), F.regexp_replace("block", NESTED, "")).otherwise(F.col("block"))
+    parsed = blocks.select("source_index", "source_file", "event_index", F.concat(F.lit("BEGIN:VEVENT\n"), F.col("block"), F.lit("END:VEVENT")).alias("raw"), F.explode(F.array(parse_lines(plain))).alias("p"))
     p = F.col("p")
-    text = lambda *names: unescape_text(first_value(p, *names))
+    each = lambda names, of: let(p["name"], lambda own: F.transform(F.array(*map(F.lit, names)), lambda n: of(F.get(p, (F.array_position(own, n) - 1).cast("int")))))
+    both = F.struct(each(VALUES, lambda q: F.coalesce(q["value"], F.lit(""))).alias("values"), each(TIMES, lambda q: let(q, lambda x: F.when(x.isNotNull(), time_of(x)))).alias("times"))
+    # exploded, as a condition on a plain column is worked out below it once more
+    timed = parsed.select("*", F.explode(F.array(both)).alias("x"))
+    value = lambda name: F.get("x.values", F.lit(VALUES.index(name)))
+    time = lambda name: F.get("x.times", F.lit(TIMES.index(name)))
+    text = lambda name: let(value(name), unescape_text)
+    timed = timed.select("*", time("DTSTART").alias("start_time"), time("DTEND").alias("end_time"), time("RECURRENCE-ID").alias("recurrence_id"), value("SEQUENCE").alias("seq"), text("SUMMARY").alias("summary"))
     attendees = F.slice(F.transform(named(p, "ATTENDEE"), person), 1, limits.attendees)
     sequence = F.expr("try_cast(nullif(" + "trim(seq), '') as int)")
-    timed = parsed.withColumn("start_time", time_named(p, "DTSTART")).withColumn("end_time", time_named(p, "DTEND")).withColumn("recurrence_id", time_named(p, "RECURRENCE-ID")).withColumn("seq", first_value(p, "SEQUENCE"))
-    title = text("SUMMARY")
-    events = timed.where("start_time is not null").select(
-        "source_index", "event_index", "source_file", first_value(p, "UID").alias("uid"),
-        F.when(F.trim(title) == "", UNTITLED).otherwise(title).alias("title"), text("DESCRIPTION").alias("description"), text("LOCATION").alias("location"),
-        F.col("start_time.value").alias("start"), F.coalesce("end_time.value", F.lit("")).alias("end"), "start_time", "end_time", first_value(p, "DURATION").alias("duration"),
-        (F.col("start_time.kind") == "date").alias("all_day"), zone_label(F.col("start_time")).alias("timezone"), F.col("start_time.kind").alias("time_kind"),
-        F.coalesce(F.get(F.transform(named(p, "ORGANIZER"), person), F.lit(0)), F.lit("")).alias("organizer"), attendees.alias("attendees"), F.upper(first_value(p, "STATUS")).alias("status"),
-        first_value(p, "RRULE").alias("rrule"), times_of(p, "RDATE").alias("rdates"), times_of(p, "EXDATE").alias("exdates"), "recurrence_id",
-        F.upper(parameter(F.get(named(p, "RECURRENCE-ID"), F.lit(0)), "RANGE")).alias("recurrence_range"), sequence.alias("sequence"),
-        time_named(p, "CREATED").alias("created"), time_named(p, "LAST-MODIFIED").alias("last_modified"), time_named(p, "DTSTAMP").alias("dtstamp"),
-        F.transform(F.flatten(F.transform(named(p, "CATEGORIES"), lambda x: F.split(x["value"], r"(?<!\\),"))), unescape_text).alias("categories"),
-        first_value(p, "URL").alias("url"), F.replace(first_value(p, "GEO"), F.lit(";"), F.lit(",")).alias("geo"), p.alias("raw_properties"), "raw",
-    )
-    has_start = F.size(named(p, "DTSTART")) > 0
+    has_start = F.array_contains(p["name"], "DTSTART")
+    zoned = F.col("start_time.kind") == "zoned"
+    names = F.when(F.size(F.array_distinct(p["name"])) < F.size(p), F.filter(F.array(*map(F.lit, SINGLE)), lambda n: F.size(F.filter(p, lambda x: x["name"] == n)) > 1)).otherwise(F.array().cast("array<string>"))
     found = F.array_compact(F.concat(
         F.array(
             F.when(~has_start, issue("error", "MALFORMED_EVENT", "The event has no start.")),
             F.when(has_start & F.col("start_time").isNull(), issue("error", "INVALID_DATE", "The event's start isn't a real time.")),
-            F.when(F.trim(first_value(p, "UID")) == "", issue("warning", "MISSING_UID", "The event has no UID.")),
+            F.when(F.trim(value("UID")) == "", issue("warning", "MISSING_UID", "The event has no UID.")),
             F.when(F.exists(named(p, "RDATE"), lambda x: F.upper(parameter(x, "VALUE")) == "PERIOD"), issue("warning", "UNSUPPORTED_RDATE_PERIOD", "Period dates are kept but not expanded.")),
             F.when(F.size(named(p, "ATTENDEE")) > limits.attendees, issue("error", "LIMIT_EXCEEDED", "The event has too many attendees.")),
-            F.when((F.col("start_time.kind") == "zoned") & ~zone_known(F.col("start_time.tzid")), issue("warning", "UNKNOWN_TIMEZONE", "The event's zone isn't known.")),
-            F.when((F.col("start_time.kind") == "zoned") & zone_known(F.col("start_time.tzid")) & F.col("start_time.instant").isNull(), issue("warning", "AMBIGUOUS_LOCAL_TIME", "The local time occurs twice or not at all.")),
+            F.when(zoned & ~zone_known(F.col("start_time.tzid")), issue("warning", "UNKNOWN_TIMEZONE", "The event's zone isn't known.")),
+            F.when(zoned & F.col("start_time.instant").isNull() & zone_known(F.col("start_time.tzid")), issue("warning", "AMBIGUOUS_LOCAL_TIME", "The local time occurs twice or not at all.")),
         ),
-        F.transform(F.filter(F.array(*map(F.lit, SINGLE)), lambda n: F.size(F.filter(p, lambda x: x["name"] == n)) > 1), lambda n: F.struct(F.lit("warning").alias("severity"), F.lit("DUPLICATE_PROPERTY").alias("code"), F.concat(n, F.lit(" occurs more than once; the first counts.")).alias("message"))),
+        F.transform(names, lambda n: F.struct(F.lit("warning").alias("severity"), F.lit("DUPLICATE_PROPERTY").alias("code"), F.concat(n, F.lit(" occurs more than once; the first counts.")).alias("message"))),
     ))
-    return events, timed.select("source_index", "source_file", "event_index", first_value(p, "UID").alias("event_uid"), F.explode(found).alias("i"))
+    columns = timed.select(
+        "source_index", "event_index", "source_file", value("UID").alias("uid"),
+        F.when(F.trim("summary") == "", UNTITLED).otherwise(F.col("summary")).alias("title"), text("DESCRIPTION").alias("description"), text("LOCATION").alias("location"),
+        F.col("start_time.value").alias("start"), F.coalesce("end_time.value", F.lit("")).alias("end"), "start_time", "end_time", value("DURATION").alias("duration"),
+        (F.col("start_time.kind") == "date").alias("all_day"), zone_label(F.col("start_time")).alias("timezone"), F.col("start_time.kind").alias("time_kind"),
+        F.coalesce(F.get(F.transform(named(p, "ORGANIZER"), person), F.lit(0)), F.lit("")).alias("organizer"), attendees.alias("attendees"), F.upper(value("STATUS")).alias("status"),
+        value("RRULE").alias("rrule"), times_of(p, "RDATE").alias("rdates"), times_of(p, "EXDATE").alias("exdates"), "recurrence_id",
+        F.upper(parameter(first(p, "RECURRENCE-ID"), "RANGE")).alias("recurrence_range"), sequence.alias("sequence"),
+        time("CREATED").alias("created"), time("LAST-MODIFIED").alias("last_modified"), time("DTSTAMP").alias("dtstamp"),
+        F.transform(F.flatten(F.transform(named(p, "CATEGORIES"), lambda x: F.split(x["value"], r"(?<!\\),"))), unescape_text).alias("categories"),
+        value("URL").alias("url"), F.replace(value("GEO"), F.lit(";"), F.lit(",")).alias("geo"), p.alias("raw_properties"), "raw", found.alias("found"),
+    )
+    columns = keep(columns)
+    events = columns.where("start_time is not null").drop("found")
+    return events, columns.select("source_index", "source_file", "event_index", F.col("uid").alias("event_uid"), F.explode("found").alias("i"))
 
 
 def zone_known(tz: Column) -> Column:
@@ -186,7 +208,7 @@ def numbered(events: DataFrame) -> DataFrame:
 
 def legacy_blocks(text: Column) -> Column:
     """(headers, events, malformed) of a text: what is before the first event, the event blocks, and how many don't pair up."""
-    body = F.concat(F.lit("\n"), F.regexp_replace(text, r"\r\n?", "\n"))
+    body = F.concat(F.lit("\n"), plain_ends(text))
     begins, ends = F.regexp_count(body, F.lit(r"\nBEGIN:VEVENT")), F.regexp_count(body, F.lit(r"\nEND:VEVENT"))
     return F.struct(F.ltrim(F.substring_index(body, "\nBEGIN:VEVENT", 1)).alias("headers"), F.regexp_extract_all(body, F.lit(r"(?s)BEGIN:VEVENT.*?END:VEVENT"), F.lit(0)).alias("events"), F.abs(begins - ends).alias("malformed"))
 
@@ -200,7 +222,7 @@ def recovery(files: DataFrame) -> DataFrame:
     An event that begins before the one before it ended, or that doesn't end,
     is TRUNCATED_COMPONENT at its beginning; an end without one MALFORMED_EVENT.
     """
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")
+    lines = F.split(plain_ends(F.coalesce("text", F.lit(""))), "\n")
     marked = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.upper(x).alias("mark"))), lambda m: m["mark"].isin("BEGIN:VEVENT", "END:VEVENT"))
 
     def told(m: Column) -> Column:
@@ -217,7 +239,7 @@ def recovery(files: DataFrame) -> DataFrame:
 
 def block_lines(text: Column) -> Column:
     """The line, from 1, at which each whole event of a text begins, in order: an event's is that of its ordinal."""
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    lines = F.split(plain_ends(text), "\n")
     marked = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.upper(x).alias("mark"))), lambda m: m["mark"].isin("BEGIN:VEVENT", "END:VEVENT"))
     whole = lambda m: F.filter(m, lambda x, i: (x["mark"] == "BEGIN:VEVENT") & (F.get(m, i + 1)["mark"] == "END:VEVENT"))
     return F.transform(let(marked, whole), lambda x: x["line"])

@@ -44,3 +44,10 @@ def test_escapes_and_folds_of_odd_texts(spark):
     assert [r[0] for r in rows.select(escape_ics(F.col("s"))).collect()] == ["plain", r"a\;b\,c", r"a\\b", r"a\nb\nc\nd", ""]
     rows = spark.createDataFrame([("a\r\n b\rc\n\td",), ("a\n\n \tb",), ("a\r\r\nb",)], "s string")
     assert [r[0] for r in rows.select(unfold(F.col("s"))).collect()] == ["ab\ncd", "a\n\tb", "a\n\nb"]
+
+
+def test_times_are_read_once(spark):
+    """The condition on an event's start was worked out below its times, from times of its own."""
+    text = plan(parse_ics(spark.createDataFrame([(0, "a.ics", "x")], FILES)).events)
+    filters = [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("T60" in f for f in filters)
