@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,10 +79,13 @@ class Merge:
     summary: DataFrame
 
 
-def analyze(files: DataFrame, excluded: DataFrame | None = None) -> Merge:
-    """The merge of FILES rows' calendars; nothing is left out but the events of `excluded`, rows (idx)."""
-    parsed = parse_ics(files)
-    events = stored(numbered(parsed.events))
+def analyze(files: DataFrame, excluded: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> Merge:
+    """The merge of FILES rows' calendars; nothing is left out but the events of `excluded`, rows (idx), or a function of the numbered events that gives such.
+
+    Events are parsed once and kept; they are numbered where they are read, with the columns read there alone.
+    """
+    parsed = parse_ics(files, keep=stored)
+    events = numbered(parsed.events)
     metadata = stored(parsed.metadata)
     end = F.coalesce(identity_key(F.col("end_time")), F.col("duration"))
     keyed = events.select("idx", "uid", identity_key(F.col("recurrence_id")).alias("identity"), "title", identity_key(F.col("start_time")).alias("start_key"), end.alias("end_key"), "location")
@@ -91,9 +95,9 @@ def analyze(files: DataFrame, excluded: DataFrame | None = None) -> Merge:
     none = F.lit("")
     told = lambda df, code, detail, file=none, uid=none: df.select(F.lit("warning").alias("severity"), code.alias("code"), detail.alias("detail"), file.alias("source_file"), uid.alias("event_uid"))
     pairs = found.join(events.select("idx", "uid", "source_file"), "idx")
-    own = parsed.diagnostics.select("severity", "code", F.col("message").alias("detail"), "source_file", F.coalesce("event_uid", none).alias("event_uid"))
+    own = parsed.unplaced.select("severity", "code", F.col("message").alias("detail"), "source_file", F.coalesce("event_uid", none).alias("event_uid"))
     every = own.unionByName(told(pairs, F.when(F.col("confidence") == "certain", "DUPLICATE_UID").otherwise("DUPLICATE_CANDIDATE"), F.col("confidence"), F.col("source_file"), F.col("uid")))
     every = every.unionByName(told(differing, F.lit("CONFLICTING_VTIMEZONE"), F.col("tzid")))
     every = every.unionByName(told(merged.select(F.explode("warnings").alias("field")), F.lit("MIXED_CALENDAR_METADATA"), F.col("field")))
-    left = excluded if excluded is not None else events.select("idx").limit(0)
+    left = excluded(events) if callable(excluded) else excluded if excluded is not None else events.select("idx").limit(0)
     return Merge(events, found, merged, definitions, every, summary(events, found, definitions, own, left))

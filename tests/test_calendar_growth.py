@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from kalends.functions.text import escape_ics, unfold
 from kalends.functions.time import is_supported_zone, zones
+from kalends.operators import calendar_merge
 from kalends.plans.queries import QUERIES
 from kalends.sinks import ics
 from kalends.sources.files import FILES
-from kalends.sources.ics import parse_ics
+from kalends.sources.ics import numbered, parse_ics
 
 
 def plan(df):
@@ -51,3 +52,13 @@ def test_times_are_read_once(spark):
     text = plan(parse_ics(spark.createDataFrame([(0, "a.ics", "x")], FILES)).events)
     filters = [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Filter")]
     assert filters and not any("T60" in f for f in filters)
+
+
+def test_a_merge_parses_once(spark):
+    files = spark.createDataFrame([(k, f"{k}.ics", calendar(*(f"UID:{k}-{n}\r\nDTSTART:2024010{n + 1}T090000\r\nSUMMARY:t" for n in range(4)), "UID:bad\r\nDTSTART:x")) for k in range(3)], FILES)
+    m = calendar_merge.analyze(files, lambda events: events.where("uid like '%-1'").select("idx"))
+    assert not any("BEGIN:VEVENT\n" in plan(df) for df in (m.events, m.summary.select("events", "included"), m.summary.select("sources")))
+    row = m.summary.first()
+    assert (row.sources, row.events, row.included, row.malformed) == (3, 12, 9, 3)
+    assert [r.idx for r in m.events.orderBy("idx").collect()] == list(range(12))
+    assert [tuple(r) for r in m.events.select("idx", "uid").orderBy("idx").collect()] == [tuple(r) for r in numbered(parse_ics(files).events).select("idx", "uid").orderBy("idx").collect()]
