@@ -82,14 +82,17 @@ class Merge:
 def analyze(files: DataFrame, excluded: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> Merge:
     """The merge of FILES rows' calendars; nothing is left out but the events of `excluded`, rows (idx), or a function of the numbered events that gives such.
 
-    Events are parsed once and kept; they are numbered where they are read, with the columns read there alone.
+    Events are parsed once and kept, with a row number. Their places are numbered beside them and joined by it,
+    so what is asked of an event's own columns is worked out before a shuffle, and the columns stay.
     """
-    parsed = parse_ics(files, keep=stored)
-    events = numbered(parsed.events)
+    parsed = parse_ics(files, keep=lambda df: stored(df.withColumn("row", F.monotonically_increasing_id())))
+    places = stored(numbered(parsed.events.select("row", "source_index", "event_index")).select("row", "source_index", "idx"))
+    place = places.select("row", "idx")
+    events = parsed.events.join(place, "row").drop("row")
     metadata = stored(parsed.metadata)
     end = F.coalesce(identity_key(F.col("end_time")), F.col("duration"))
-    keyed = events.select("idx", "uid", identity_key(F.col("recurrence_id")).alias("identity"), "title", identity_key(F.col("start_time")).alias("start_key"), end.alias("end_key"), "location")
-    found = stored(duplicate_candidates(keyed))
+    keyed = parsed.events.select("row", "uid", identity_key(F.col("recurrence_id")).alias("identity"), "title", identity_key(F.col("start_time")).alias("start_key"), end.alias("end_key"), "location")
+    found = stored(duplicate_candidates(keyed.join(place, "row").drop("row")))
     definitions, differing = zone_definitions(metadata)
     merged = merged_metadata(metadata)
     none = F.lit("")
@@ -100,4 +103,4 @@ def analyze(files: DataFrame, excluded: DataFrame | Callable[[DataFrame], DataFr
     every = every.unionByName(told(differing, F.lit("CONFLICTING_VTIMEZONE"), F.col("tzid")))
     every = every.unionByName(told(merged.select(F.explode("warnings").alias("field")), F.lit("MIXED_CALENDAR_METADATA"), F.col("field")))
     left = excluded(events) if callable(excluded) else excluded if excluded is not None else events.select("idx").limit(0)
-    return Merge(events, found, merged, definitions, every, summary(events, found, definitions, own, left))
+    return Merge(events, found, merged, definitions, every, summary(places, found, definitions, own, left))

@@ -6,25 +6,27 @@ come in an order, and the first holder of a key owns it; a later event pairs
 with the owner of its strongest key that has one, once. An event that pairs
 doesn't register its weaker keys.
 
-`candidates` does this exactly: bucket owners by a window minimum, and the few
-events whose owner may have been kept from registering are resolved in ordered
-passes until nothing changes. `owner_pairs` is the single window pass.
+`candidates` does this exactly, a pass for each kind of key, strongest first:
+what pairs by a key takes no part in the passes after it. `owner_pairs` is the
+single window pass.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_event_text
-from ..session import cut
+from ..session import cut, stored
 
 CONFIDENCE = ["certain", "likely", "possible"]
 
 
 def seed_columns(uid: Column, identity: Column, title: Column, start: Column, end: Column, location: Column) -> dict[str, Column]:
-    """The three keys; the certain one is null without a uid."""
-    key = lambda *c: F.sha2(F.concat_ws("\x1f", *(F.coalesce(x.cast("string"), F.lit("")) for x in c)), 256)
+    """The three keys, 128 bits of a digest each; the certain one is null without a uid."""
+    key = lambda *c: F.substring(F.unhex(F.sha2(F.concat_ws("\x1f", *(F.coalesce(x.cast("string"), F.lit("")) for x in c)), 256)), 1, 16)
     title, location = normalize_event_text(title), normalize_event_text(location)
     return {
         "certain": F.when(F.trim(F.coalesce(uid, F.lit(""))) != "", key(F.lit("c"), F.trim(uid), F.coalesce(identity, F.lit("master")))),
@@ -53,10 +55,34 @@ def owner_pairs(seeds: DataFrame) -> DataFrame:
 def candidates(events: DataFrame, max_rounds: int = 20) -> DataFrame:
     """(idx, owner, confidence): duplicate candidates in the order of events.
 
+    Of the events that no stronger key paired, the first holder of a key can't
+    pair by it, so it registers it and owns it. That holds where an event has
+    one key of a kind; ids that repeat may have more, and go by rounds.
+    """
+    seeds = cut(with_seeds(events))
+    repeated = seeds.where(F.col("rank") == len(CONFIDENCE) - 1).groupBy("idx").count().where("count > 1")
+    pairs = paired_by_rounds(seeds, max_rounds) if not repeated.isEmpty() else paired_by_rank(seeds)
+    return pairs.select("idx", "owner", F.get(F.array(*map(F.lit, CONFIDENCE)), "rank").alias("confidence"))
+
+
+def paired_by_rank(seeds: DataFrame) -> DataFrame:
+    """(idx, owner, rank) of seeds whose ids don't repeat."""
+    found, left = [], seeds
+    for rank in range(len(CONFIDENCE)):
+        own = left.where(F.col("rank") == rank)
+        # stored, as it is read for owners and for their followers; pairs, as Spark leaves few of them out without a shuffle
+        own = stored(own) if found else own
+        found.append(stored(owner_pairs_among(own, own)))
+        left = left.where(F.col("rank") > rank).join(found[-1].select("idx"), "idx", "left_anti")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def paired_by_rounds(seeds: DataFrame, max_rounds: int) -> DataFrame:
+    """(idx, owner, rank) of any seeds.
+
     Rounds alternate: pair with current owners, then take the weaker keys of
     paired events away; a round that changes nothing is the answer.
     """
-    seeds = cut(with_seeds(events))
     live, last = seeds, None
     for _ in range(max_rounds):
         pairs = cut(owner_pairs_among(seeds, live))
@@ -66,7 +92,7 @@ def candidates(events: DataFrame, max_rounds: int = 20) -> DataFrame:
         last = now
         paired = pairs.select("idx", F.col("rank").alias("at"))
         live = seeds.join(paired, "idx", "left").where("at is null or rank < at").drop("at")
-    return pairs.select("idx", "owner", F.get(F.array(*map(F.lit, CONFIDENCE)), "rank").alias("confidence"))
+    return pairs
 
 
 def owner_pairs_among(seeds: DataFrame, live: DataFrame) -> DataFrame:

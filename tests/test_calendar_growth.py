@@ -1,14 +1,18 @@
 """What made written and parsed calendars cost more than once per event."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from kalends.functions.text import escape_ics, unfold
 from kalends.functions.time import is_supported_zone, zones
-from kalends.operators import calendar_merge
+from kalends.operators import calendar_merge, event_duplicates
 from kalends.plans.queries import QUERIES
 from kalends.sinks import ics
 from kalends.sources.files import FILES
 from kalends.sources.ics import numbered, parse_ics
+from kalends.sources.properties import named
 
 
 def plan(df):
@@ -62,3 +66,50 @@ def test_a_merge_parses_once(spark):
     assert (row.sources, row.events, row.included, row.malformed) == (3, 12, 9, 3)
     assert [r.idx for r in m.events.orderBy("idx").collect()] == list(range(12))
     assert [tuple(r) for r in m.events.select("idx", "uid").orderBy("idx").collect()] == [tuple(r) for r in numbered(parse_ics(files).events).select("idx", "uid").orderBy("idx").collect()]
+
+
+def some_events(spark, ids):
+    rng = random.Random(3)
+    some = lambda values: rng.choice(values)
+    events = [(i, some([None, "", " u1 ", "u1", "u2", "u\x1f3"]), some([None, "master", "r1"]), some(["A", "a ", "B", None]), some("12"), "", some(["x", "y", None])) for i in ids]
+    return spark.createDataFrame(events, "idx long, uid string, identity string, title string, start_key string, end_key string, location string")
+
+
+def test_what_a_stronger_key_pairs_takes_no_part_in_later_passes(spark, monkeypatch):
+    """All seeds were compared in each of up to twenty rounds."""
+    given, among = [], event_duplicates.owner_pairs_among
+
+    def counted(seeds, live):
+        given.append(seeds.count())
+        return among(seeds, live)
+
+    monkeypatch.setattr(event_duplicates, "owner_pairs_among", counted)
+    events = some_events(spark, [*range(80), None])
+    got = event_duplicates.candidates(events).collect()
+    paired = [sum(r.confidence == c for r in got) for c in event_duplicates.CONFIDENCE]
+    certain = events.where("trim(coalesce(uid, '')) <> ''").count()
+    assert given == [certain, 81 - paired[0], 81 - paired[0] - paired[1]] and min(paired) > 0
+
+
+@pytest.mark.parametrize("ids", [[*range(90), None], [3 * k % 40 for k in range(90)], [None, None, 1, 1, 2, 3, 2, 5]])
+def test_pairs_of_passes_are_those_of_rounds(spark, ids):
+    """Ids that repeat, whose rows differ, may hold several keys of a kind."""
+    events = some_events(spark, ids)
+    rounds = event_duplicates.paired_by_rounds(event_duplicates.with_seeds(events), 20)
+    expected = {(r.idx, r.owner, event_duplicates.CONFIDENCE[r["rank"]]) for r in rounds.collect()}
+    got = event_duplicates.candidates(events).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_what_is_left_out_is_found_before_a_shuffle(spark):
+    """Events were numbered by a window, which their properties went through with them."""
+    files = spark.createDataFrame([(k, f"{k}.ics", calendar(*(f"UID:{k}-{n}\r\nDTSTART:2024010{n + 1}T090000\r\nX-N:{n}" for n in range(4)))) for k in (1, 0, 0)], FILES)
+    own = F.get(named(F.col("raw_properties"), "X-N"), F.lit(0))["value"]
+    left = []
+    m = calendar_merge.analyze(files, lambda events: left.append(events.where(own == "1").select("idx")) or left[0])
+    text = plan(left[0])
+    assert "Window" not in text and "raw_properties" not in text[: text.index("Filter")]
+    row = m.summary.first()
+    assert (row.sources, row.events, row.included) == (2, 12, 9)
+    # files of one number
+    assert sorted(r.idx for r in m.events.collect()) == list(range(12))
