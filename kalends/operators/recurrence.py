@@ -267,28 +267,37 @@ def expand_parts(rules: DataFrame, start: str, end: str) -> DataFrame:
     every = F.sequence(F.col("first"), F.col("last"), step)
     periods = F.when(weekly, F.filter(every, lambda p: F.array_contains("wdays", F.pmod(p + 3, F.lit(7)).cast("int")))).otherwise(every)
     own = own.select("*", F.explode(periods).alias("period"))
-    # a set is chosen from a whole period; a week begins with the start's own day, if that is in it
+    # a set is chosen from a whole period, which has one row; a week begins with the start's own day, if that is in it
     sets = (F.size("places") > 0) & F.col("freq").isin("YEARLY", "MONTHLY", "WEEKLY")
-    single = own.where(~sets).select("*", F.explode(period_days(F.col("low"), F.col("high"))).alias("day")).where(passes(F.col("day")))
-    single = single.select("series_id", "count", "from", "until", "day", F.explode(day_times(F.col("day"))).alias("time"))
-    single = single.select("series_id", "count", "from", "until", (F.col("day").cast("long") * 86_400 + F.col("time")).alias("at"))
+    days = F.when(sets, F.array(F.lit(None).cast("int"))).otherwise(period_days(F.col("low"), F.col("high")))
+    own = own.select("*", F.explode(days).alias("day")).where(sets | passes(F.col("day")))
     begin = F.when(F.col("freq") == "WEEKLY", F.col("day0")).otherwise(F.lit(-(2**30)))
-    days = F.array_sort(F.filter(period_days(begin, F.lit(2**30)), passes))
-    stamps = let(day_times(F.col("day0")), lambda t: F.flatten(F.transform(days, lambda d: F.transform(t, lambda x: d.cast("long") * 86_400 + x))))
-    of_sets = own.where(sets).select("series_id", "count", "from", "until", F.explode(chosen(stamps)).alias("at"))
-    return single.unionByName(of_sets).where("at >= from and (until is null or at <= until)").select("series_id", "at", "count")
+    among = F.array_sort(F.filter(period_days(begin, F.lit(2**30)), passes))
+    stamps = let(day_times(F.col("day0")), lambda t: F.flatten(F.transform(among, lambda d: F.transform(t, lambda x: d.cast("long") * 86_400 + x))))
+    times = F.when(sets, chosen(stamps)).otherwise(F.transform(day_times(F.col("day")), lambda x: F.col("day").cast("long") * 86_400 + x))
+    every = own.select("series_id", "count", "from", "until", F.explode(times).alias("at"))
+    return every.where("at >= from and (until is null or at <= until)").select("series_id", "at", "count")
 
 
 def expand_any(series: DataFrame, start: str, end: str) -> DataFrame:
     """(series_id, start TIMESTAMP_NTZ) of all other rules.
 
-    Occurrences are ranked within their series for COUNT's sake, by the same
-    shuffle that what follows, joins and aggregates by series, can use.
+    Occurrences are ranked within their series for COUNT's sake. Rules are dealt
+    by series before they are expanded, being far fewer than their occurrences.
+    Of series of several rows one may hold most: those rows go to any task, and
+    their occurrences are dealt by series.
     """
+    spark = series.sparkSession
     low, high = (F.unix_seconds(F.lit(x).cast("timestamp")) for x in (f"{start} 00:00:00", f"{end} 23:59:59"))
-    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("at"))
-    ranked = expand_parts(rule_parts(series), start, end).withColumn("rank", rank)
-    return ranked.where((F.col("count").isNull() | (F.col("rank") <= F.col("count"))) & F.col("at").between(low, high)).select("series_id", wall_at(F.col("at")).alias("start"))
+    # a number is given, as rules are few bytes and Spark would join them to few tasks
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    of_series = Window.partitionBy("series_id")
+    told = series.repartition(2 * tasks, "series_id").withColumn("_rows", F.count(F.lit(1)).over(of_series))
+    # dealt anew, so that no task sorts both rules and occurrences; to another number, as Spark leaves out a deal that changes nothing
+    dealt = told.where("_rows = 1").repartition(tasks, "series_id"), told.where("_rows > 1").repartition(tasks)
+    rank = F.row_number().over(of_series.orderBy("at"))
+    single, several = (expand_parts(rule_parts(x), start, end).withColumn("rank", rank) for x in dealt)
+    return single.unionByName(several).where((F.col("count").isNull() | (F.col("rank") <= F.col("count"))) & F.col("at").between(low, high)).select("series_id", wall_at(F.col("at")).alias("start"))
 
 
 def days_of(start: str, end: str) -> int:
@@ -311,7 +320,9 @@ def expand_rules(series: DataFrame, start: str, end: str, limit: int = LIMITS.se
     Rules that can't be read, have unsupported parts, or could have more than
     four times the limit, have none; `expansion_codes` tells of them.
     """
-    own = series.where(F.coalesce("rrule", F.lit("")) != "").where(rule_code(F.col("rrule")).isNull())
+    # the cheapest condition first: series that begin after the range
+    begun = F.col("dtstart").isNull() | (F.to_date("dtstart") <= F.lit(end).cast("date"))
+    own = series.where(begun).where(F.coalesce("rrule", F.lit("")) != "").where(rule_code(F.col("rrule")).isNull())
     own = own.where(work_estimate(F.col("rrule"), F.lit(days_of(start, end)), F.lit(0)) <= 4 * limit)
     return expand_simple(own.where(is_simple(F.col("rrule"))), start, end).unionByName(expand_any(own.where(~is_simple(F.col("rrule"))), start, end))
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import signal
 import time
+from collections import Counter
 
 from dateutil.rrule import rrulestr
 
@@ -134,3 +135,37 @@ def test_counts_begin_with_the_series(spark):
     for i, rule in enumerate(rules):
         want = wanted(rule, first) if "SECONDLY" not in rule else wanted("FREQ=MONTHLY;BYMONTHDAY=1;BYHOUR=9;BYMINUTE=0;BYSECOND=0,30;COUNT=250", first)
         assert got.get(i, []) == want, rule
+
+
+def series_of(spark, rows):
+    return spark.createDataFrame(rows, "series_id string, dtstart timestamp_ntz, rrule string")
+
+
+def test_rules_are_dealt_and_not_their_occurrences(spark):
+    """Occurrences were shuffled to be ranked, and sets of a period were expanded beside other rules."""
+    rows = [("a", "FREQ=MONTHLY;BYDAY=MO;COUNT=3"), ("b", "FREQ=MONTHLY;BYMONTHDAY=1,15"), ("c", "FREQ=YEARLY;BYMONTH=2,3;BYDAY=TU,FR;BYSETPOS=1,-1")]
+    df = expand_rules(series_of(spark, [(k, dt.datetime(2026, 1, 1, 9), r) for k, r in rows]), "2026-01-01", "2026-06-30")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    ranked = text.index("row_number()")
+    assert text.index("Generate", ranked) < text.index("Exchange", ranked)
+    assert Counter(r.series_id for r in df.collect()) == {"a": 3, "b": 12, "c": 2}
+
+
+def test_series_that_begin_after_the_range_are_left_out_first(spark):
+    """Their rules were taken apart, too; one that begins on the last day, or has no start, isn't left out."""
+    rows = [("a", dt.datetime(2026, 1, 31, 23, 59, 59, 500_000), "FREQ=DAILY"), ("b", dt.datetime(2026, 2, 1), "FREQ=DAILY"), ("c", None, "FREQ=DAILY;COUNT=2"), ("d", None, "FREQ=MONTHLY"), ("e", dt.datetime(2026, 1, 31), "FREQ=MONTHLY;BYMONTHDAY=31")]
+    df = expand_rules(series_of(spark, rows), "2026-01-01", "2026-01-31")
+    assert "dtstart" in df._jdf.queryExecution().optimizedPlan().toString().split("Filter")[-1][:60]
+    assert sorted((r.series_id, str(r.start)) for r in df.collect()) == [("a", "2026-01-31 23:59:59"), ("c", "None"), ("c", "None"), ("e", "2026-01-31 00:00:00")]
+
+
+def test_rows_of_one_series_are_ranked_together(spark):
+    """Ids that repeat, null ones too: a row's COUNT counts the occurrences of all rows, with COUNT or without."""
+    rules = ["FREQ=MONTHLY;BYMONTHDAY=5;COUNT=4", "FREQ=MONTHLY;BYDAY=1MO;COUNT=6", "FREQ=MONTHLY;BYDAY=MO,TU;BYSETPOS=-1"]
+    rows = [(k, dt.datetime(2026, 1, 1, 9, i), r) for k in ("a", None) for i, r in enumerate(rules)]
+    got = [(r.series_id, r.start) for r in expand_rules(series_of(spark, [*rows, ("b", *rows[0][1:])]), "2026-01-01", "2026-12-31").collect()]
+    every = sorted((t, 0 if i == 0 else 6 if i == 1 else 99, i) for i in range(3) for t in rrulestr(rules[i].replace(";COUNT=4", ";COUNT=400").replace(";COUNT=6", ";COUNT=400"), dtstart=dt.datetime(2026, 1, 1, 9, i)).between(dt.datetime(2026, 1, 1), dt.datetime(2026, 12, 31)))
+    want = [t for n, (t, _, i) in enumerate(every, 1) if n <= (4, 6, 99)[i]]
+    for k in ("a", None):
+        assert sorted(t for x, t in got if x == k) == want
+    assert sum(x == "b" for x, _ in got) == 4
