@@ -1,9 +1,11 @@
 """What made queries grow faster than their tables: work done again at each mention, or below a deal."""
 
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from kalends.functions.text import nfkc
 from kalends.functions.time import wall_instant
 from kalends.operators.contact_merge import unite
 from kalends.operators.recurrence import is_simple, rule_code, work_estimate
@@ -58,3 +60,13 @@ def test_recurring_events_are_made_by_all_cores(spark):
     rows = recurring_events(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id % 5 <= 1").count()
+
+
+def test_a_value_is_worked_out_once_before_nfkc(spark):
+    """What was normalised was extracted again above the UDF, from texts carried through it."""
+    df = QUERIES["phone_email_normalize"](spark, "/root/testdata/sf0.001")
+    above, below = plan(df).split("ArrowEvalPython")[0], plan(df).split("ArrowEvalPython")[-1]
+    assert "regexp_extract(text" not in above and "regexp_extract(text" in below
+    odd = ["", None, "plain\n", "a\u0085", "b\u2028", "\uff21\uff22", " \ufb01x ", "caf\u00e9\u2460"]
+    got = spark.createDataFrame([(x,) for x in odd], "x string").select(nfkc(F.col("x"))).collect()
+    assert [r[0] for r in got] == [x and unicodedata.normalize("NFKC", x) for x in odd]
